@@ -5,6 +5,8 @@ from __future__ import annotations
 from murmur.operators.anomalies import anomalies_from_counts
 from murmur.operators.baselines import daily_baselines
 from murmur.operators.counts import daily_counts
+from murmur.operators.trends import trends_from_counts
+from murmur.functions.stats import round_half_up_sql, student_t_p_sql, theta_from_r_sql
 from murmur.plans.catalog import register
 from murmur.plans.oracle import avg_sql, dc_cte, std_sql, with_complaints
 from murmur.sources.tables import complaints
@@ -68,3 +70,47 @@ FROM z WHERE z_score > 2.0E0"""
 @register("daily_anomalies", _ANOMALY_SQL)
 def q_daily_anomalies(spark, sf_dir):
     return anomalies_from_counts(daily_counts(complaints(spark, sf_dir, EV)))
+
+
+# -- daily_trends ------------------------------------------------------------
+def _ols_sql() -> str:
+    return """
+  (n - 1.0E0) * n * (2.0E0 * n - 1.0E0) / 6.0E0 AS sxx_raw, n * (n - 1.0E0) / 2.0E0 AS sx"""
+
+
+_TREND_SQL = with_complaints(EV, dc_cte(), """
+k AS (SELECT *, row_number() OVER (PARTITION BY dimension, dimension_key ORDER BY day) AS rn
+      FROM dc WHERE dimension_key IS NOT NULL)""", """
+t AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM k), (SELECT max(day) FROM k),
+                                          INTERVAL 1 DAY)) AS DATE) AS trend_date)""", """
+w AS (SELECT unnest([7, 14, 30]) AS window_days)""", """
+pts AS (SELECT k.dimension, k.dimension_key, t.trend_date, w.window_days, k.day, k.n, k.rn
+        FROM k JOIN t ON k.day <= t.trend_date AND k.day >= t.trend_date - 30
+               JOIN w ON k.day >= t.trend_date - w.window_days)""", """
+g AS (SELECT dimension, dimension_key, trend_date, window_days, count(*) AS days_used,
+             sum(CAST(n AS DOUBLE)) AS sy, sum(CAST(n AS DOUBLE) * n) AS syy,
+             sum(CAST(rn AS DOUBLE) * n) AS sxy_raw, CAST(min(rn) AS DOUBLE) AS xmin,
+             arg_min(n, day) AS first_n, arg_max(n, day) AS last_n
+      FROM pts GROUP BY dimension, dimension_key, trend_date, window_days HAVING count(*) >= 3)""", """
+s1 AS (SELECT *, CAST(days_used AS DOUBLE) AS nn FROM g)""", """
+s2 AS (SELECT *, (nn - 1.0E0) * nn * (2.0E0 * nn - 1.0E0) / 6.0E0 AS sxx_raw,
+              nn * (nn - 1.0E0) / 2.0E0 AS sx FROM s1)""", """
+s3 AS (SELECT *, nn * sxx_raw - sx * sx AS sxx, nn * (sxy_raw - xmin * sy) - sx * sy AS cxy,
+              nn * syy - sy * sy AS cyy FROM s2)""", """
+s4 AS (SELECT *, CASE WHEN sxx > 0 THEN cxy / sxx ELSE 0.0E0 END AS slope,
+              CASE WHEN sxx > 0 AND cyy > 0 THEN least(1.0E0, greatest(-1.0E0, cxy / sqrt(sxx * cyy)))
+                   ELSE 0.0E0 END AS r_value FROM s3)""", f"""
+s5 AS (SELECT *, {theta_from_r_sql('r_value')} AS theta, days_used - 2 AS nu FROM s4)""", f"""
+s6 AS (SELECT *, {round_half_up_sql(student_t_p_sql('theta', 'nu', 29), 9)} AS significance FROM s5)""") + """
+SELECT trend_date, dimension, dimension_key, CAST(last_n AS DOUBLE) AS metric_value,
+       CASE WHEN significance < 5.0E-2 AND slope > 0 THEN 'UP'
+            WHEN significance < 5.0E-2 AND slope < 0 THEN 'DOWN' ELSE 'STABLE' END AS trend_direction,
+       CASE WHEN first_n <> 0 THEN (last_n - CAST(first_n AS DOUBLE)) / CAST(first_n AS DOUBLE) * 1.0E2
+            ELSE 0.0E0 END AS trend_strength,
+       CAST(window_days AS INTEGER) AS window_days, significance, slope, r_value, days_used
+FROM s6"""
+
+
+@register("daily_trends", _TREND_SQL)
+def q_daily_trends(spark, sf_dir):
+    return trends_from_counts(daily_counts(complaints(spark, sf_dir, EV)))
