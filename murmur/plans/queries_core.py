@@ -48,7 +48,7 @@ def q_daily_baselines(spark, sf_dir):
 
 
 # -- daily_anomalies ---------------------------------------------------------
-_ANOMALY_SQL = with_complaints(EV, dc_cte(), """
+ANOMALY_CTES = (dc_cte(), """
 h AS (SELECT t.dimension, t.dimension_key, t.day, t.n,
              count(x.n) AS cnt,
              coalesce(sum(CAST(x.n AS DOUBLE)), 0) AS s,
@@ -61,10 +61,11 @@ b AS (SELECT day AS anomaly_date, dimension, coalesce(dimension_key, 'None') AS
              CAST(n AS DOUBLE) AS metric_value,
              {avg_sql('cnt', 's')} AS baseline_avg, {std_sql('cnt', 's', 'ss')} AS baseline_std
       FROM h)""", """
-z AS (SELECT *, (metric_value - baseline_avg) / (baseline_std + 1.0E-3) AS z_score FROM b)""") + """
-SELECT anomaly_date, dimension, dimension_key, metric_value, baseline_avg, baseline_std, z_score,
-       CASE WHEN z_score > 3.0E0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, '' AS rca_context
-FROM z WHERE z_score > 2.0E0"""
+z AS (SELECT *, (metric_value - baseline_avg) / (baseline_std + 1.0E-3) AS z_score FROM b)""", """
+an AS (SELECT anomaly_date, dimension, dimension_key, metric_value, baseline_avg, baseline_std, z_score,
+              CASE WHEN z_score > 3.0E0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, '' AS rca_context
+       FROM z WHERE z_score > 2.0E0)""")
+_ANOMALY_SQL = with_complaints(EV, *ANOMALY_CTES) + "SELECT * FROM an"
 
 
 @register("daily_anomalies", _ANOMALY_SQL)
@@ -73,11 +74,6 @@ def q_daily_anomalies(spark, sf_dir):
 
 
 # -- daily_trends ------------------------------------------------------------
-def _ols_sql() -> str:
-    return """
-  (n - 1.0E0) * n * (2.0E0 * n - 1.0E0) / 6.0E0 AS sxx_raw, n * (n - 1.0E0) / 2.0E0 AS sx"""
-
-
 _TREND_SQL = with_complaints(EV, dc_cte(), """
 k AS (SELECT *, row_number() OVER (PARTITION BY dimension, dimension_key ORDER BY day) AS rn
       FROM dc WHERE dimension_key IS NOT NULL)""", """
