@@ -65,3 +65,27 @@ def theta_from_r_sql(r: str) -> str:
     perfect fit finite, as the usual least-squares routines do.
     """
     return f"atan2(abs({r}), sqrt((1.0E0 - ({r}) + 1.0E-20) * (1.0E0 + ({r}) + 1.0E-20)))"
+
+
+def student_t_p(theta: Column, nu: Column) -> Column:
+    """Same value as ``student_t_p_sql`` as a compact Spark expression.
+
+    The series is evaluated with ``aggregate`` over j = m..1 in Horner order,
+    the same operations in the same order as the unrolled SQL text, so both
+    agree to the last bit; the expression stays small whatever the largest
+    number of degrees of freedom (no generated-code size limit is hit when it
+    is fused into an aggregation stage).
+    """
+    c = F.cos(theta) * F.cos(theta)
+    m_even = (nu / 2).cast("int") - 1
+    m_odd = ((nu - 3) / 2).cast("int")
+
+    def horner(m: Column, ratio) -> Column:
+        js = F.when(m >= 1, F.reverse(F.sequence(F.lit(1), m))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(js, F.lit(1.0), lambda acc, j: F.lit(1.0) + ratio(j) * c * acc)
+
+    even = F.sin(theta) * horner(m_even, lambda j: (2.0 * j - 1.0) / (2.0 * j))
+    odd = F.lit(2.0) / F.pi() * (theta + F.sin(theta) * F.cos(theta)
+                                 * horner(m_odd, lambda j: (2.0 * j) / (2.0 * j + 1.0)))
+    a = F.when(nu == 1, F.lit(2.0) * theta / F.pi()).when(nu % 2 == 0, even).otherwise(odd)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - a)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.constants import TREND_MIN_DAYS, TREND_P_THRESHOLD, TREND_WINDOWS
-from murmur.functions.stats import round_half_up, student_t_p_sql, theta_from_r_sql
+from murmur.functions.stats import round_half_up, student_t_p, theta_from_r_sql
 from murmur.operators.common import DateLike, date_scope, target_filter
 from murmur.operators.counts import daily_counts
 
@@ -84,7 +84,7 @@ def trends_from_counts(counts: DataFrame, windows: Iterable[int] = TREND_WINDOWS
     g = g.select("*", slope.alias("slope"), r.alias("r_value"))
     g = g.withColumn("_theta", F.expr(theta_from_r_sql("r_value"))) \
          .withColumn("_nu", F.col("days_used") - 2)
-    p = F.expr(student_t_p_sql("_theta", "_nu", maxw - 1))
+    p = student_t_p(F.col("_theta"), F.col("_nu"))
     g = g.withColumn("significance", round_half_up(p, P_DIGITS))
     direction = (F.when((F.col("significance") < p_threshold) & (F.col("slope") > 0), "UP")
                  .when((F.col("significance") < p_threshold) & (F.col("slope") < 0), "DOWN")

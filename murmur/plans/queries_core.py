@@ -74,7 +74,7 @@ def q_daily_anomalies(spark, sf_dir):
 
 
 # -- daily_trends ------------------------------------------------------------
-_TREND_SQL = with_complaints(EV, dc_cte(), """
+TREND_CTES = ("""
 k AS (SELECT *, row_number() OVER (PARTITION BY dimension, dimension_key ORDER BY day) AS rn
       FROM dc WHERE dimension_key IS NOT NULL)""", """
 t AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM k), (SELECT max(day) FROM k),
@@ -97,14 +97,15 @@ s4 AS (SELECT *, CASE WHEN sxx > 0 THEN cxy / sxx ELSE 0.0E0 END AS slope,
               CASE WHEN sxx > 0 AND cyy > 0 THEN least(1.0E0, greatest(-1.0E0, cxy / sqrt(sxx * cyy)))
                    ELSE 0.0E0 END AS r_value FROM s3)""", f"""
 s5 AS (SELECT *, {theta_from_r_sql('r_value')} AS theta, days_used - 2 AS nu FROM s4)""", f"""
-s6 AS (SELECT *, {round_half_up_sql(student_t_p_sql('theta', 'nu', 29), 9)} AS significance FROM s5)""") + """
-SELECT trend_date, dimension, dimension_key, CAST(last_n AS DOUBLE) AS metric_value,
+s6 AS (SELECT *, {round_half_up_sql(student_t_p_sql('theta', 'nu', 29), 9)} AS significance FROM s5)""", """
+tr AS (SELECT trend_date, dimension, dimension_key, CAST(last_n AS DOUBLE) AS metric_value,
        CASE WHEN significance < 5.0E-2 AND slope > 0 THEN 'UP'
             WHEN significance < 5.0E-2 AND slope < 0 THEN 'DOWN' ELSE 'STABLE' END AS trend_direction,
        CASE WHEN first_n <> 0 THEN (last_n - CAST(first_n AS DOUBLE)) / CAST(first_n AS DOUBLE) * 1.0E2
             ELSE 0.0E0 END AS trend_strength,
        CAST(window_days AS INTEGER) AS window_days, significance, slope, r_value, days_used
-FROM s6"""
+FROM s6)""")
+_TREND_SQL = with_complaints(EV, dc_cte(), *TREND_CTES) + "SELECT * FROM tr"
 
 
 @register("daily_trends", _TREND_SQL)
