@@ -29,13 +29,12 @@ from murmur.operators.common import DateLike, lit_date, target_filter
 
 MTTR_COLUMNS = ["date", "dimension", "dimension_key", "avg_mttr_hours", "total_resolved_count"]
 AGING_COLUMNS = ["date", "dimension", "dimension_key", "slab", "count"]
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 DAY = 86400
 
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, no time-zone conversion."""
-    return F.timestamp_diff("SECOND", EPOCH, ts)
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def _dim_pairs(include_total: bool = True) -> Column:
