@@ -28,7 +28,7 @@ from murmur.constants import (CATEGORY_TERMS, KEYWORD_MIN_LENGTH, KEYWORD_STOP_W
                               NEGATIVE_TERMS, OTHER_CATEGORY, POLARITY_NEGATIVE, POLARITY_POSITIVE,
                               POSITIVE_TERMS, PRIORITY_CRITICAL_SCORE, PRIORITY_HIGH_SCORE,
                               PRIORITY_LEVELS, PRIORITY_MEDIUM_SCORE, SENTIMENT_SCORE, URGENT_TERMS)
-from murmur.functions.text import (EMAIL_PATTERN, NON_WORD_PATTERN, SPECIAL_PATTERN, URL_PATTERN,
+from murmur.functions.text import (EMAIL_PATTERN_ANCHORED, NON_WORD_PATTERN, SPECIAL_PATTERN, URL_PATTERN,
                                    count_contained, any_contained, squeeze_spaces, whole_word_count, words)
 
 ANALYSIS_COLUMNS = ["complaint_id", "original_text", "cleaned_text", "sentiment", "sentiment_score",
@@ -40,10 +40,12 @@ def clean_text(c: Column, lowercase: bool = True, remove_urls: bool = True, remo
     s = F.coalesce(c.cast("string"), F.lit(""))
     if lowercase:
         s = F.lower(s)
+    # a URL needs 'http' or 'www.', an e-mail-like token needs '@': the byte
+    # scans skip the regular expressions for the many texts without them
     if remove_urls:
-        s = F.regexp_replace(s, URL_PATTERN, "")
+        s = F.when(s.contains("http") | s.contains("www."), F.regexp_replace(s, URL_PATTERN, "")).otherwise(s)
     if remove_emails:
-        s = F.regexp_replace(s, EMAIL_PATTERN, "")
+        s = F.when(s.contains("@"), F.regexp_replace(s, EMAIL_PATTERN_ANCHORED, "")).otherwise(s)
     if remove_special_chars:
         s = F.regexp_replace(s, SPECIAL_PATTERN, "")
     return squeeze_spaces(s)
@@ -74,9 +76,10 @@ def lemmatize(df: DataFrame, text_col: str, id_col: str, lemmas: DataFrame | Non
         text_col, F.coalesce(F.col("_lem"), F.col(text_col))).drop("_lem")
 
 
-def sentiment(text: Column, negative: list[str] = NEGATIVE_TERMS, positive: list[str] = POSITIVE_TERMS):
-    """(label, score) columns from substring term hits."""
-    low = F.lower(text)
+def sentiment(text: Column, negative: list[str] = NEGATIVE_TERMS, positive: list[str] = POSITIVE_TERMS,
+              low: Column | None = None):
+    """(label, score) columns from substring term hits (``low``: the text already lower-cased)."""
+    low = F.lower(text) if low is None else low
     neg, pos = count_contained(low, negative), count_contained(low, positive)
     label = (F.when(text.isNull(), "unknown").when(neg > pos, "negative").when(pos > neg, "positive")
              .otherwise("neutral"))
@@ -101,20 +104,26 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
                           .when(F.col("polarity") < POLARITY_NEGATIVE, "negative").otherwise("neutral"))
 
 
-def classify_category(text: Column, categories: dict[str, list[str]] = CATEGORY_TERMS,
-                      whole_word: bool = False) -> Column:
-    """Category with most term hits; list order breaks ties; Other when none."""
-    low = F.lower(text)
+def category_struct(low: Column, categories: dict[str, list[str]] = CATEGORY_TERMS,
+                    whole_word: bool = False) -> Column:
+    """struct(s = best score, o = -position, c = name) of the winning category."""
     scored = []
     for i, (name, terms) in enumerate(categories.items()):
         score = whole_word_count(low, terms) if whole_word else count_contained(low, terms)
         scored.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("c")))
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
+    return F.greatest(*scored) if len(scored) > 1 else scored[0]
+
+
+def classify_category(text: Column, categories: dict[str, list[str]] = CATEGORY_TERMS,
+                      whole_word: bool = False, low: Column | None = None) -> Column:
+    """Category with most term hits; list order breaks ties; Other when none."""
+    best = category_struct(F.lower(text) if low is None else low, categories, whole_word)
     return F.when(text.isNull() | (best["s"] == 0), OTHER_CATEGORY).otherwise(best["c"])
 
 
-def determine_priority(text: Column, score: Column, urgent: list[str] = URGENT_TERMS) -> Column:
-    has_urgent = any_contained(F.lower(text), urgent)
+def determine_priority(text: Column, score: Column, urgent: list[str] = URGENT_TERMS,
+                       low: Column | None = None) -> Column:
+    has_urgent = any_contained(F.lower(text) if low is None else low, urgent)
     return (F.when(text.isNull(), "low")
             .when((score < PRIORITY_CRITICAL_SCORE) & has_urgent, "critical")
             .when(has_urgent | (score < PRIORITY_HIGH_SCORE), "high")
@@ -154,13 +163,35 @@ def keyword_lists(keywords: DataFrame, id_col: str) -> DataFrame:
 def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: str = "complaint_text",
                        n_keywords: int = KEYWORDS_KEPT, whole_word: bool = False) -> DataFrame:
     """The full per-text analysis (ANALYSIS_COLUMNS), computed on the original text."""
-    text = F.col(text_col)
-    label, score = sentiment(text)
-    base = df.select(
-        F.col(id_col).alias("complaint_id"), text.alias("original_text"),
-        clean_text(text).alias("cleaned_text"), label.alias("sentiment"), score.alias("sentiment_score"),
-        classify_category(text, whole_word=whole_word).alias("category"),
-        determine_priority(text, score).alias("priority"),
+    # the lower-cased text is its own column, referenced by every term test
+    # (the optimizer keeps a projection that is used many times)
+    pre = df.select(F.col(id_col).alias("complaint_id"), F.col(text_col).alias("original_text"),
+                    F.lower(F.col(text_col)).alias("_low"))
+    text, low = F.col("original_text"), F.col("_low")
+    # term counts are columns of their own: each is referenced several times
+    # by the decisions below and must be computed once per text
+    hits = pre.select("complaint_id", "original_text",
+                      count_contained(low, NEGATIVE_TERMS).alias("_neg"),
+                      count_contained(low, POSITIVE_TERMS).alias("_pos"),
+                      any_contained(low, URGENT_TERMS).alias("_urg"),
+                      category_struct(low, whole_word=whole_word).alias("_best"))
+    neg, pos = F.col("_neg"), F.col("_pos")
+    label = (F.when(text.isNull(), "unknown").when(neg > pos, "negative").when(pos > neg, "positive")
+             .otherwise("neutral"))
+    score = (F.when(text.isNull(), 0.0).when(neg > pos, -SENTIMENT_SCORE).when(pos > neg, SENTIMENT_SCORE)
+             .otherwise(0.0)).cast("double")
+    scored = hits.select("complaint_id", "original_text", "_urg", "_best", label.alias("sentiment"),
+                         score.alias("sentiment_score"))
+    sc, urg = F.col("sentiment_score"), F.col("_urg")
+    priority = (F.when(text.isNull(), "low")
+                .when((sc < PRIORITY_CRITICAL_SCORE) & urg, "critical")
+                .when(urg | (sc < PRIORITY_HIGH_SCORE), "high")
+                .when(sc < PRIORITY_MEDIUM_SCORE, "medium")
+                .otherwise("low"))
+    category = F.when(text.isNull() | (F.col("_best.s") == 0), OTHER_CATEGORY).otherwise(F.col("_best.c"))
+    base = scored.select(
+        "complaint_id", "original_text", clean_text(text).alias("cleaned_text"), "sentiment", "sentiment_score",
+        category.alias("category"), priority.alias("priority"),
     )
     kw = keyword_lists(extract_keywords(df, id_col, text_col, n_keywords), id_col) \
         .withColumnRenamed(id_col, "complaint_id")

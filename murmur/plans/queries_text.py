@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from murmur.constants import (CATEGORY_TERMS, KEYWORD_STOP_WORDS, NEGATIVE_TERMS, POSITIVE_TERMS,
                               URGENT_TERMS)
-from murmur.functions.text import (EMAIL_PATTERN, NON_WORD_PATTERN, SPECIAL_PATTERN, URL_PATTERN, WS,
-                                   sql_regex)
+from murmur.functions.text import SQL_PATTERNS, sql_regex
 from murmur.operators.text import (analyze_complaints, clean_text, distributions, extract_keywords,
                                    sentiment_by_category, text_summary)
 from murmur.plans.catalog import register
@@ -20,10 +19,10 @@ def _q(s: str) -> str:
 
 def _clean_sql(x: str) -> str:
     s = f"lower(coalesce({x}, ''))"
-    for p in (URL_PATTERN, EMAIL_PATTERN, SPECIAL_PATTERN):
+    for p in (SQL_PATTERNS["URL"], SQL_PATTERNS["EMAIL"], SQL_PATTERNS["SPECIAL"]):
         s = f"regexp_replace({s}, {sql_regex(p)}, '', 'g')"
-    s = f"regexp_replace({s}, {sql_regex(f'^{WS}+|{WS}+$')}, '', 'g')"
-    return f"regexp_replace({s}, {sql_regex(f'{WS}+')}, ' ', 'g')"
+    s = f"regexp_replace({s}, {sql_regex('^' + SQL_PATTERNS['WS'] + '+|' + SQL_PATTERNS['WS'] + '+$')}, '', 'g')"
+    return f"regexp_replace({s}, {sql_regex(SQL_PATTERNS['WS'] + '+')}, ' ', 'g')"
 
 
 def _hits(low: str, terms) -> str:
@@ -38,7 +37,7 @@ def _analysis_sql(src: str, id_expr: str, text_expr: str) -> str:
     cat_case = ("CASE WHEN t IS NULL OR " + best + " = 0 THEN 'Other' "
                 + " ".join(f"WHEN s{i} = {best} THEN {_q(name)}" for i, (name, _) in enumerate(cats)) + " END")
     stops = ", ".join(_q(w) for w in KEYWORD_STOP_WORDS)
-    strip = sql_regex(f"^{WS}+|{WS}+$")
+    strip = sql_regex("^" + SQL_PATTERNS["WS"] + "+|" + SQL_PATTERNS["WS"] + "+$")
     return f"""
 WITH src AS (SELECT {id_expr} AS complaint_id, {text_expr} AS t FROM {src}),
 lw AS (SELECT *, lower(t) AS low FROM src),
@@ -57,9 +56,9 @@ pr AS (SELECT *, CASE WHEN original_text IS NULL THEN 'low'
                       WHEN sentiment_score < -2.0E-1 THEN 'medium' ELSE 'low' END AS priority
        FROM base),
 cl AS (SELECT complaint_id,
-              regexp_replace(regexp_replace(lower(t), {sql_regex(NON_WORD_PATTERN)}, '', 'g'), {strip}, '', 'g') AS x
+              regexp_replace(regexp_replace(lower(t), {sql_regex(SQL_PATTERNS['NON_WORD'])}, '', 'g'), {strip}, '', 'g') AS x
        FROM src WHERE t IS NOT NULL),
-sp AS (SELECT complaint_id, CASE WHEN x = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(x, {sql_regex(WS + '+')})
+sp AS (SELECT complaint_id, CASE WHEN x = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(x, {sql_regex(SQL_PATTERNS['WS'] + '+')})
                             END AS ws FROM cl),
 tok AS (SELECT complaint_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM sp),
 fr AS (SELECT complaint_id, word, count(*) AS freq, min(pos) AS first_pos FROM tok
