@@ -98,7 +98,8 @@ def coerce_complaints(raw: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """All ingestion transforms: (complaints, rejects, supplied columns)."""
     df = rename_priority_status(apply_synonyms(normalize_headers(raw)))
     require_columns(df)
-    supplied = supplied_columns(df.columns)
+    # sr_open_dt is always written: parsed from the file, or derived from the open time
+    supplied = supplied_columns(df.columns + ["sr_open_dt"])
     df = parse_dates(fill_missing_columns(df))
     good, bad = split_unparsed(df)
     return project_to_model(good), bad, supplied

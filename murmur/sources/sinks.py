@@ -104,6 +104,9 @@ def merge_complaints(existing: DataFrame, batch: DataFrame, supplied: list[str],
             v = F.coalesce(F.col(f"_b_{key}"), F.col(f"_e_{key}"))
         elif c in supplied:
             v = F.when(F.col("_in_b"), F.col(f"_b_{c}")).otherwise(F.col(f"_e_{c}"))
+        elif c in batch.columns:
+            # not supplied: keep the stored value; a new key takes the batch row (nulls)
+            v = F.when(F.col("_in_e"), F.col(f"_e_{c}")).otherwise(F.col(f"_b_{c}"))
         else:
             v = F.col(f"_e_{c}")
         cols.append(v.alias(c))
