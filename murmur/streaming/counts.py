@@ -18,11 +18,18 @@ def stream_daily_counts(stream: DataFrame, dimensions=None, lateness: str = "2 d
                         include_total: bool = True) -> DataFrame:
     """Streaming (dimension, dimension_key, day, n) from a stream of complaint rows."""
     dims = resolve_dimensions(dimensions)
-    deduped = stream.withWatermark("sr_open_dttm", lateness).dropDuplicatesWithinWatermark(["sr_number"])
-    long = deduped.select("sr_open_dttm", F.inline(dimension_pairs(dims, include_total)))
-    return (long.groupBy(F.window("sr_open_dttm", "1 day"), "dimension", "dimension_key")
+    # watermarks need an instant (TIMESTAMP); the wall clock of the NTZ open time
+    # is taken as UTC, so one-day windows are exactly the NTZ calendar days
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              F.col("sr_open_dttm"))
+    timed = stream.withColumn("_event", F.timestamp_micros(micros))
+    deduped = timed.withWatermark("_event", lateness).dropDuplicatesWithinWatermark(["sr_number"])
+    long = deduped.select("_event", F.inline(dimension_pairs(dims, include_total)))
+    day = F.date_add(F.lit("1970-01-01").cast("date"),
+                     (F.unix_micros(F.col("window.start")) / 86400000000).cast("int"))
+    return (long.groupBy(F.window("_event", "1 day"), "dimension", "dimension_key")
             .agg(F.count(F.lit(1)).alias("n"))
-            .select("dimension", "dimension_key", F.to_date(F.col("window.start")).alias("day"), "n"))
+            .select("dimension", "dimension_key", day.alias("day"), "n"))
 
 
 def run_counts_to_memory(stream: DataFrame, query_name: str, checkpoint: str, dimensions=None,
