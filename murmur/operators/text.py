@@ -140,28 +140,85 @@ def keyword_tokens(df: DataFrame, id_col: str, text_col: str,
     return toks.filter((F.length("word") >= KEYWORD_MIN_LENGTH) & ~F.array_contains(stops, F.col("word")))
 
 
+def with_top_keywords(df: DataFrame, text_col: str, out_col: str = "_top_keywords", n: int = KEYWORDS_KEPT,
+                      stop_words: list[str] = KEYWORD_STOP_WORDS) -> DataFrame:
+    """Add ``out_col``: array<struct<word, freq, first_pos>> of the ``n`` top keywords, in rank order.
+
+    Row-local, built-in array functions only: a text is one row, so its word
+    frequencies need no shuffle and no join back to the text.  The candidate
+    (word, position) pairs are sorted, runs of equal words are found from
+    their start indices, and each run gives (count, first position, word);
+    sorting the runs by (-count, first position) ranks them.  O(w log w) per
+    text of w words.  The sorted pairs and the run starts are columns of their
+    own (separate projections): lambdas read them instead of re-evaluating
+    them per element.
+    """
+    stops = F.array(*[F.lit(w) for w in stop_words])
+    toks = F.filter(
+        F.transform(words(F.regexp_replace(F.lower(F.col(text_col)), NON_WORD_PATTERN, "")),
+                    lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
+        lambda t: (F.length(t["word"]) >= KEYWORD_MIN_LENGTH) & ~F.array_contains(stops, t["word"]))
+    keep = [c for c in df.columns]
+    step1 = df.select(*keep, F.array_sort(toks).alias("_kw_srt"))
+    srt = F.col("_kw_srt")
+    m = F.size(srt)
+
+    def is_start(i):
+        prev_differs = F.element_at(srt, i)["word"] != F.element_at(srt, F.greatest(i - 1, F.lit(1)))["word"]
+        return F.when(i > m, F.lit(False)).when(i == 1, F.lit(True)).otherwise(prev_differs)
+
+    step2 = step1.select(*keep, "_kw_srt",
+                         F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), is_start).alias("_kw_starts"))
+    starts = F.col("_kw_starts")
+    runs = F.transform(starts, lambda st, j: F.struct(
+        (st - F.coalesce(F.try_element_at(starts, j + 2), m + 1)).alias("neg_freq"),
+        F.element_at(srt, st)["pos"].alias("first_pos"),
+        F.element_at(srt, st)["word"].alias("word")))
+    top = F.transform(F.slice(F.array_sort(runs), 1, n),
+                      lambda r: F.struct(r["word"].alias("word"), (-r["neg_freq"]).cast("bigint").alias("freq"),
+                                         r["first_pos"].cast("bigint").alias("first_pos")))
+    return step2.select(*keep, top.alias(out_col))
+
+
 def extract_keywords(df: DataFrame, id_col: str, text_col: str, n: int = KEYWORDS_KEPT,
-                     stop_words: list[str] = KEYWORD_STOP_WORDS) -> DataFrame:
+                     stop_words: list[str] = KEYWORD_STOP_WORDS, row_local: bool = False) -> DataFrame:
     """(id, word, freq, first_pos, rank) for the top ``n`` keywords of every text.
 
-    One aggregation by (id, word), combined map-side: a text is one input row,
-    so its word counts are complete before the shuffle; then a per-text top-n
-    window.  A single long text only ever occupies one group per distinct word.
+    Default plan: one aggregation by (id, word), combined map-side (a text is
+    one input row, so its counts are complete before the shuffle), then a
+    per-text top-n window whose row limit is applied before its shuffle.
+    ``row_local=True`` uses ``with_top_keywords`` instead: no shuffle at all,
+    at a higher CPU cost (array functions are interpreted).
     """
-    toks = keyword_tokens(df, id_col, text_col, stop_words)
-    freq = toks.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first_pos"))
+    if row_local:
+        top = with_top_keywords(df.select(id_col, text_col), text_col, "_top", n, stop_words)
+        # posexplode_outer + a filter above it: a plain explode makes the optimizer
+        # infer size(_top) > 0 and push it below the projections, re-inlining them
+        top = top.select(id_col, F.posexplode_outer("_top").alias("_r", "_k")).filter(F.col("_k").isNotNull())
+        return top.select(id_col, F.col("_k.word").alias("word"), F.col("_k.freq").alias("freq"),
+                          F.col("_k.first_pos").alias("first_pos"), (F.col("_r") + 1).alias("rank"))
+    freq = word_frequencies(df, id_col, text_col, stop_words)
     w = Window.partitionBy(id_col).orderBy(F.desc("freq"), "first_pos")
-    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+        .select(id_col, "word", "freq", F.col("first_pos").cast("bigint").alias("first_pos"), "rank")
+
+
+def word_frequencies(df: DataFrame, id_col: str, text_col: str,
+                     stop_words: list[str] = KEYWORD_STOP_WORDS) -> DataFrame:
+    """Set-based (id, word, freq, first_pos) of every candidate keyword (all words, not only the top)."""
+    toks = keyword_tokens(df, id_col, text_col, stop_words)
+    return toks.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first_pos"))
 
 
 def keyword_lists(keywords: DataFrame, id_col: str) -> DataFrame:
-    """(id, keywords array in rank order); at most n entries per text."""
+    """(id, keywords array in rank order) from ``extract_keywords`` rows."""
     return keywords.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_k")) \
         .select(id_col, F.transform("_k", lambda s: s["word"]).alias("keywords"))
 
 
 def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: str = "complaint_text",
-                       n_keywords: int = KEYWORDS_KEPT, whole_word: bool = False) -> DataFrame:
+                       n_keywords: int = KEYWORDS_KEPT, whole_word: bool = False,
+                       row_local_keywords: bool = False) -> DataFrame:
     """The full per-text analysis (ANALYSIS_COLUMNS), computed on the original text."""
     # the lower-cased text is its own column, referenced by every term test
     # (the optimizer keeps a projection that is used many times)
@@ -189,15 +246,20 @@ def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: st
                 .when(sc < PRIORITY_MEDIUM_SCORE, "medium")
                 .otherwise("low"))
     category = F.when(text.isNull() | (F.col("_best.s") == 0), OTHER_CATEGORY).otherwise(F.col("_best.c"))
+    empty = F.array().cast("array<string>")
+    if row_local_keywords:
+        scored = with_top_keywords(scored, "original_text", "_top", n_keywords)
+        keywords = F.when(text.isNull(), empty).otherwise(F.transform("_top", lambda k: k["word"]))
+        return scored.select(
+            "complaint_id", "original_text", clean_text(text).alias("cleaned_text"), "sentiment", "sentiment_score",
+            category.alias("category"), priority.alias("priority"), keywords.alias("keywords"))
     base = scored.select(
         "complaint_id", "original_text", clean_text(text).alias("cleaned_text"), "sentiment", "sentiment_score",
-        category.alias("category"), priority.alias("priority"),
-    )
+        category.alias("category"), priority.alias("priority"))
     kw = keyword_lists(extract_keywords(df, id_col, text_col, n_keywords), id_col) \
         .withColumnRenamed(id_col, "complaint_id")
-    out = base.join(kw, "complaint_id", "left")
-    return out.withColumn("keywords", F.coalesce(F.col("keywords"), F.array().cast("array<string>"))) \
-        .select(*ANALYSIS_COLUMNS)
+    return base.join(kw, "complaint_id", "left") \
+        .withColumn("keywords", F.coalesce(F.col("keywords"), empty)).select(*ANALYSIS_COLUMNS)
 
 
 def text_summary(analyzed: DataFrame) -> DataFrame:

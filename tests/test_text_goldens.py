@@ -74,3 +74,16 @@ def test_distributions_and_dedup(spark):
     assert pri == {"low": 1, "medium": 1, "high": 0, "critical": 0}
     x = {r["category"]: (r["negative"], r["positive"]) for r in sentiment_by_category(a).collect()}
     assert x == {"Technical Issues": (1, 0), "Other": (0, 1)}
+
+
+def test_row_local_keywords_equal_set_based(spark):
+    from murmur.operators.text import extract_keywords
+    from murmur.sources.tables import read_table
+    d = read_table(spark, "/root/testdata/sf0.001", "documents")
+    a = extract_keywords(d, "doc_id", "text").collect()
+    b = extract_keywords(d, "doc_id", "text", row_local=True).collect()
+    assert sorted(a) == sorted(b)
+    g = [(i, t) for i, (t, *_r) in enumerate(GOLDEN)]
+    df = spark.createDataFrame(g, "complaint_id long, complaint_text string")
+    x = {r["complaint_id"]: r["keywords"] for r in analyze_complaints(df, row_local_keywords=True).collect()}
+    assert [x[i] for i in range(len(GOLDEN))] == [row[4] for row in GOLDEN]
