@@ -139,3 +139,15 @@ def q_daily_aging(spark, sf_dir):
 @register("daily_aging_orders", _aging_sql(ORD))
 def q_daily_aging_orders(spark, sf_dir):
     return aging_backfill(complaints(spark, sf_dir, ORD))
+
+
+@register("resolution_kpis", "SELECT coalesce(m.date, a.date) AS date, m.avg_mttr_hours AS overall_mttr_hours, "
+          "m.total_resolved_count AS resolved_count, a.open_backlog, a.backlog_over_10_days FROM ("
+          + _mttr_sql(EV) + ") m FULL JOIN (SELECT date, CAST(sum(count) AS BIGINT) AS open_backlog, "
+          "CAST(sum(CASE WHEN slab IN ('> 10 Days', '> 30 Days', '> 60 Days') THEN count ELSE 0 END) AS BIGINT) "
+          "AS backlog_over_10_days FROM (" + _aging_sql(EV) + ") x WHERE dimension = 'Total' GROUP BY date) a "
+          "ON m.date = a.date AND m.dimension = 'Total' WHERE m.dimension = 'Total' OR m.dimension IS NULL")
+def q_resolution_kpis(spark, sf_dir):
+    from murmur.operators.resolution import resolution_kpis
+    c = complaints(spark, sf_dir, EV)
+    return resolution_kpis(mttr(c), aging_backfill(c))

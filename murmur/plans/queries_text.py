@@ -143,3 +143,19 @@ SELECT page_id, {_clean_sql("url || ' ' || html")} AS cleaned_text FROM pages"""
 def q_clean_pages(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", clean_text(F.concat("url", F.lit(" "), "html")).alias("cleaned_text"))
+
+
+@register("overview_kpis", _DOC_SQL + """
+SELECT count(*) AS total, count(CASE WHEN sentiment = 'negative' THEN 1 END) * 1.0E2 / count(*) AS pct_negative,
+       count(CASE WHEN priority IN ('high', 'critical') THEN 1 END) AS high_priority,
+       count(DISTINCT category) AS categories FROM an""")
+def q_overview_kpis(spark, sf_dir):
+    from murmur.operators.text import overview_kpis
+    return overview_kpis(_documents(spark, sf_dir))
+
+
+@register("category_distribution", _CONV_SQL + """
+SELECT category, count(*) AS count FROM an GROUP BY category ORDER BY count DESC, category LIMIT 10""")
+def q_category_distribution(spark, sf_dir):
+    from murmur.operators.text import value_distribution
+    return value_distribution(_conversations(spark, sf_dir), "category", top=10)
