@@ -178,3 +178,10 @@ def filter_insights(insights: DataFrame, since) -> DataFrame:
     """Insights created on or after ``since``, newest first."""
     return insights.filter(F.col("created_at") >= F.lit(str(since)).cast("timestamp_ntz")) \
         .orderBy(F.desc("created_at"), F.desc("z_score"))
+
+
+def persistent_anomalies(anomalies: DataFrame) -> DataFrame:
+    """Anomalies whose (dimension, key) was also anomalous the day before (an equi-join)."""
+    prev = anomalies.select(F.date_add("anomaly_date", 1).alias("anomaly_date"), "dimension",
+                            "dimension_key").distinct()
+    return anomalies.join(prev, ["anomaly_date", "dimension", "dimension_key"], "left_semi")

@@ -185,3 +185,25 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_baselines(baselines: DataFrame, path: str) -> None:
+    """Persist baselines partitioned by (dimension, as_of); other dates and dimensions are kept."""
+    write_partitioned(baselines, path, ["dimension", "as_of"])
+
+
+def read_baselines(spark: SparkSession, path: str, dimensions: list[str] | None = None,
+                   as_of=None) -> DataFrame | None:
+    """Stored baselines (partition-pruned); ``None`` when nothing is stored.
+
+    A dimension without stored baselines simply has no rows (it is skipped,
+    not an error); anomalies then see avg = std = 0 for it.
+    """
+    if not path_exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    if dimensions is not None:
+        df = df.filter(F.col("dimension").isin(*dimensions))
+    if as_of is not None:
+        df = df.filter(F.col("as_of") == F.lit(str(as_of)).cast("date"))
+    return df
