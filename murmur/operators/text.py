@@ -218,7 +218,7 @@ def keyword_lists(keywords: DataFrame, id_col: str) -> DataFrame:
 
 def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: str = "complaint_text",
                        n_keywords: int = KEYWORDS_KEPT, whole_word: bool = False,
-                       row_local_keywords: bool = False) -> DataFrame:
+                       row_local_keywords: bool = False, with_keywords: bool = True) -> DataFrame:
     """The full per-text analysis (ANALYSIS_COLUMNS), computed on the original text."""
     # the lower-cased text is its own column, referenced by every term test
     # (the optimizer keeps a projection that is used many times)
@@ -247,6 +247,11 @@ def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: st
                 .otherwise("low"))
     category = F.when(text.isNull() | (F.col("_best.s") == 0), OTHER_CATEGORY).otherwise(F.col("_best.c"))
     empty = F.array().cast("array<string>")
+    if not with_keywords:
+        # summaries that never read keywords skip their aggregation and join
+        return scored.select(
+            "complaint_id", "original_text", clean_text(text).alias("cleaned_text"), "sentiment", "sentiment_score",
+            category.alias("category"), priority.alias("priority"), empty.alias("keywords"))
     if row_local_keywords:
         scored = with_top_keywords(scored, "original_text", "_top", n_keywords)
         keywords = F.when(text.isNull(), empty).otherwise(F.transform("_top", lambda k: k["word"]))

@@ -76,17 +76,17 @@ def _export(df):
     return df.withColumn("keywords", F.array_join("keywords", ", "))
 
 
-def _documents(spark, sf_dir):
+def _documents(spark, sf_dir, with_keywords=True):
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("complaint_id"),
                                                       F.col("text").alias("complaint_text"))
-    return analyze_complaints(d)
+    return analyze_complaints(d, with_keywords=with_keywords)
 
 
-def _conversations(spark, sf_dir):
+def _conversations(spark, sf_dir, with_keywords=True):
     c = read_table(spark, sf_dir, "conversations").select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("complaint_id"),
         F.col("text").alias("complaint_text"))
-    return analyze_complaints(c)
+    return analyze_complaints(c, with_keywords=with_keywords)
 
 
 _DOC_SQL = _analysis_sql("documents", "doc_id", "text")
@@ -116,7 +116,7 @@ SELECT 'sentiment' AS field, sentiment AS value, count(*) AS count FROM an GROUP
 UNION ALL SELECT 'category', category, count(*) FROM an GROUP BY category
 UNION ALL SELECT 'priority', priority, count(*) FROM an GROUP BY priority""")
 def q_text_distributions(spark, sf_dir):
-    return distributions(_documents(spark, sf_dir))
+    return distributions(_documents(spark, sf_dir, with_keywords=False))
 
 
 @register("text_summary", _DOC_SQL + """
@@ -125,7 +125,7 @@ SELECT count(*) AS total, avg(sentiment_score) AS mean_sentiment_score,
        count(CASE WHEN priority IN ('high', 'critical') THEN 1 END) AS high_priority,
        count(DISTINCT category) AS categories FROM an""")
 def q_text_summary(spark, sf_dir):
-    return text_summary(_documents(spark, sf_dir))
+    return text_summary(_documents(spark, sf_dir, with_keywords=False))
 
 
 @register("sentiment_by_category", _DOC_SQL + """
@@ -135,7 +135,7 @@ SELECT category, count(CASE WHEN sentiment = 'negative' THEN 1 END) AS negative,
        count(CASE WHEN sentiment = 'unknown' THEN 1 END) AS unknown
 FROM an GROUP BY category""")
 def q_sentiment_by_category(spark, sf_dir):
-    return sentiment_by_category(_documents(spark, sf_dir))
+    return sentiment_by_category(_documents(spark, sf_dir, with_keywords=False))
 
 
 @register("clean_pages", f"""
@@ -151,11 +151,11 @@ SELECT count(*) AS total, count(CASE WHEN sentiment = 'negative' THEN 1 END) * 1
        count(DISTINCT category) AS categories FROM an""")
 def q_overview_kpis(spark, sf_dir):
     from murmur.operators.text import overview_kpis
-    return overview_kpis(_documents(spark, sf_dir))
+    return overview_kpis(_documents(spark, sf_dir, with_keywords=False))
 
 
 @register("category_distribution", _CONV_SQL + """
 SELECT category, count(*) AS count FROM an GROUP BY category ORDER BY count DESC, category LIMIT 10""")
 def q_category_distribution(spark, sf_dir):
     from murmur.operators.text import value_distribution
-    return value_distribution(_conversations(spark, sf_dir), "category", top=10)
+    return value_distribution(_conversations(spark, sf_dir, with_keywords=False), "category", top=10)
