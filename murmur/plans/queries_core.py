@@ -1,4 +1,4 @@
-"""Registered queries: daily counts, baselines and anomalies."""
+"""Registered queries: daily counts, baselines, anomalies and trends."""
 
 from __future__ import annotations
 
