@@ -126,3 +126,14 @@ FROM enr WHERE severity <> 'INFO'""")
 def q_exec_insights(spark, sf_dir):
     c, counts, an = _base(spark, sf_dir)
     return narrate(enrich_anomalies(an, counts, daily_rca_counts(c)))
+
+
+@register("correlation_top_keys", with_complaints(EV, *ANOMALY_CTES, _CORR_CTES[0], _CORR_CTES[1]) + """
+SELECT t, dimension, dimension_key, CAST(rows AS BIGINT) AS rows, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY t, dimension ORDER BY rows DESC, dimension_key ASC NULLS FIRST) AS rank
+  FROM tot) WHERE rank <= 5""")
+def q_correlation_top_keys(spark, sf_dir):
+    """Top 5 types and regions by rows in [t - 30, t] for every anomaly date t."""
+    from murmur.operators.enrich import top_keys
+    _, counts, an = _base(spark, sf_dir)
+    return top_keys(counts, an.select(an.anomaly_date.alias("t")))
