@@ -180,3 +180,18 @@ SELECT count(*) AS row_count, min(sr_open_dt) AS min_date, max(sr_open_dt) AS ma
        count(DISTINCT sr_open_dt) AS distinct_dates FROM c""")
 def q_profile_table(spark, sf_dir):
     return profile_table(complaints(spark, sf_dir, EV))
+
+
+def _register_level(level: str, cols: list[str]):
+    sel = ", ".join(cols + ['"date"', '"count"'])
+
+    @register(f"{level}_trend", with_complaints(EV, *_series_ctes()) + f"SELECT {sel} FROM ser WHERE level = '{level}'")
+    def q(spark, sf_dir):
+        from murmur.operators.plots import level_trend, total_trend
+        s = _series(spark, sf_dir)
+        return total_trend(s) if level == "total" else level_trend(s, level)
+    return q
+
+
+for _lvl, _cols in _LEVEL_KEYS:
+    _register_level(_lvl, _cols)
