@@ -3,8 +3,11 @@ folding, hashing inside Arrow tasks and distributed prefix sums."""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,19 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package sent to the executors first (once a
+    Spark context), so that tasks can import it wherever they run."""
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_murmur_sent", False):
+        root = Path(__file__).resolve().parents[2]
+        if root.is_dir():
+            zipped = shutil.make_archive(f"{tempfile.mkdtemp()}/murmur", "zip", root, "murmur")
+            sc.addPyFile(zipped)
+        sc._murmur_sent = True
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other code point unchanged.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from murmur.llm.common import fold_words, text_chunks
+from murmur.llm.common import fold_words, map_arrow, text_chunks
 
 SEED_WORDS = 3
 SEED_SHARE = 0.75           # of an item's n-grams, the rarest
@@ -153,7 +153,7 @@ def _gram_totals(texts: DataFrame, shared) -> dict[int, int]:
         some = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(block.grams[some]), pa.array(totals[some])], ["gram", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = map_arrow(texts.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in counted.collect()}
 
 
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                              pa.array(first, pa.int64()), pa.array(n, pa.int64())],
                             ["doc", "item", "similarity", "first_word", "n_words"])
 
-        out = out.union(texts.mapInArrow(run, schema))
+        out = out.union(map_arrow(texts, run, schema))
     return out
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.common import text_chunks
+from murmur.llm.common import map_arrow, text_chunks
 
 ROWS_PER_LANG = 4_000
 TOP_WORDS = 40_000
@@ -69,7 +69,7 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
                                                           pa.array(g), pa.array(c, pa.int64())],
                                                          ["lang", "n", "gram", "count"])
 
-    return (labelled.mapInArrow(run, "lang string, n int, gram string, count long")
+    return (map_arrow(labelled, run, "lang string, n int, gram string, count long")
             .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")))
 
 
@@ -147,4 +147,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
                     [*(batch.column(k)[i:j] for k in range(len(keep))), pa.array([f[0] for f in found], pa.string()),
                      pa.array([f[1] for f in found], pa.float64())], [*keep, "lang_pred", "lang_score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)

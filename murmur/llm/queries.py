@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, langid, line_dedup, mixing, simhash
+from murmur.llm import decontaminate, langid, line_dedup, lm, mixing, simhash
 from murmur.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
 
 
+@register("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)))
+    return lm.score_texts(docs, docs.filter(~F.col("held_out")), keep=["doc_id", "held_out"])
+
+
 @register("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fold_words, signed, staged, text_chunks
+from murmur.llm.common import fold_words, map_arrow, signed, staged, text_chunks
 from murmur.llm.components import connected_components, spanning_forest
 
 SHINGLE_WORDS = 3
@@ -67,7 +67,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                  ["id", "fp"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run,
+                     f"id {id_type}, fp long")
 
 
 def _bits(a: np.ndarray, b) -> np.ndarray:
@@ -188,7 +189,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_point
                     [pa.array(np.full(len(idx), shard, np.int32)), signed(fp[idx]), pa.array(home[idx] == shard)],
                     ["shard", "fp", "own"])
 
-    sent = distinct.select("fp").mapInArrow(assign, "shard int, fp long, own boolean")
+    sent = map_arrow(distinct.select("fp"), assign, "shard int, fp long, own boolean")
     return sent.groupBy("shard").applyInArrow(_shard_links(max_bits), "a long, b long")
 
 
