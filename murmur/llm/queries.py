@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, langid, line_dedup, lm, mixing, simhash
+from murmur.llm import chat, decontaminate, langid, line_dedup, lm, mixing, passages, simhash, topk, warc
 from murmur.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_duplicate_passages(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("other").alias("other_doc_id"), "first_word", "n_words",
+                        "other_first_word", "other_words", "similarity")
+
+
+@register("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_to_warc(read_table(spark, sf_dir, "pages")).select(
+        F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -85,6 +98,60 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("lang_score", "score"))
 
 
+OP8_SQL = """
+WITH codes AS (
+    SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS bits
+    FROM embeddings WHERE embedding IS NOT NULL
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+           len(list_filter(range(1, 65), lambda i: q.bits[i] <> c.bits[i]))::INT AS distance
+    FROM codes q JOIN codes c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INT AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+
+@register("op8_exact_topk", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_vectors(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP9_SQL = """
+WITH turns AS (
+    SELECT conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+           replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+    FROM conversations
+), speakers AS (
+    SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'
+), seen AS (
+    SELECT t.conv_id, s.speaker, t.pos // 1000 AS part, t.pos, t.role = s.speaker AS target, t.body,
+           '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system'
+                                  ELSE 'user name=' || t.role END || chr(10) AS head
+    FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+    SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+        PARTITION BY conv_id, speaker, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+        + length(head) AS start
+    FROM seen
+)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (target) AS n_target_turns,
+       string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(start || '-' || (start + length(body)), ',' ORDER BY pos) FILTER (target), '') AS mask_spans
+FROM placed GROUP BY conv_id, speaker, part
+"""
+
+
+@register("op9_chat_formatting", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"], m["end"])), ",")
+    return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations")).select(
+        F.col("conv").alias("conv_id"), "speaker", "part", "n_turns", "n_target_turns", "text",
+        spans.alias("mask_spans"))
+
+
 OP10_SQL = """
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
