@@ -1,9 +1,10 @@
 """SimHash near-dedup with vantage-point trees over 64-bit fingerprints.
 
 A tree of vantage points, fitted on a bounded sample of fingerprints, cuts
-the space into shards: a fingerprint belongs to the shard it falls in, and
-by the triangle bound it is also sent as a query to every shard that its
-ball of ``max_bits`` can reach.  Each shard searches its own fingerprints
+the space into shards: a fingerprint belongs to the shard it falls in.  Where
+its ball of ``max_bits`` crosses a boundary (triangle bound), it also visits
+the shards beyond; of two fingerprints that a boundary parts, the inner one
+visits the outer one's side, so each pair is met once.  Each shard searches its own fingerprints
 with a vantage-point tree of its own and returns a spanning forest of the
 pairs found, so no group is ever expanded into all pairs.  Equal fingerprints
 are one point; components of the links are found by distributed joins.
@@ -30,7 +31,7 @@ from murmur.llm.components import connected_components, spanning_forest
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 HASH_SEED = 42
-SHARD_POINTS = 16_384       # fingerprints a shard is meant to hold
+SHARD_POINTS = 32_768       # fingerprints a shard is meant to hold
 SAMPLE_PER_SHARD = 32       # fingerprints the tree is fitted on, per shard
 SAMPLE_MAX = 131_072        # bound of that sample (1 MB on the driver)
 LEAF_POINTS = 512           # points that are compared one by one
@@ -108,30 +109,36 @@ def build_tree(sample: np.ndarray, shards: int) -> list[tuple]:
     return nodes
 
 
-def route(nodes: list[tuple], points: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, indexes of the points whose ball of ``reach`` bits can touch it)."""
-    todo = [(0, np.arange(len(points)))]
+def _sides(d_own: np.ndarray, d_visit: np.ndarray, radius: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Masks (own inside, own inside that visit outside, visitors inside, visitors outside)."""
+    return d_own <= radius, (d_own <= radius) & (d_own > radius - reach), d_visit <= radius + reach, d_visit > radius - reach
+
+
+def route(nodes: list[tuple], points: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, indexes of its own points, indexes of its visitors) for every shard that has any."""
+    todo = [(0, np.arange(len(points)), np.empty(0, np.int64))]
     while todo:
-        at, idx = todo.pop()
+        at, own, visit = todo.pop()
         node = nodes[at]
         if len(node) == 1:
-            if len(idx):
-                yield node[0], idx
+            if len(own) or len(visit):
+                yield node[0], own, visit
             continue
-        d = _bits(points[idx], node[0])
-        todo += [(node[2], idx[d <= node[1] + reach]), (node[3], idx[d > node[1] - reach])]
+        inner, crossing, near, far = _sides(_bits(points[own], node[0]), _bits(points[visit], node[0]), node[1], reach)
+        todo += [(node[2], own[inner], visit[near]), (node[3], own[~inner], np.concatenate([visit[far], own[crossing]]))]
 
 
-def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (query, point) of all pairs of different values at most ``reach`` bits apart."""
+def near_pairs(points: np.ndarray, visitors: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of the pairs of different values at most ``reach`` bits apart: points with points and with visitors."""
     rng = np.random.default_rng(11)
-    todo = [(points, queries)]
+    todo = [(points, visitors)]
     while todo:
         p, q = todo.pop()
-        if not len(p) or not len(q):
+        if not len(p):
             continue
         split = _vantage(p, rng) if len(p) > LEAF_POINTS else None
         if split is None:
+            q = np.concatenate([p, q])
             step = max(1, 2_000_000 // len(p))
             for i in range(0, len(q), step):
                 d = np.bitwise_count(q[i:i + step, None] ^ p[None, :])
@@ -140,16 +147,16 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[
                     yield q[i:i + step][x], p[y]
             continue
         v, radius = split
-        dp, dq = _bits(p, v), _bits(q, v)
-        todo += [(p[dp <= radius], q[dq <= radius + reach]), (p[dp > radius], q[dq > radius - reach])]
+        inner, crossing, near, far = _sides(_bits(p, v), _bits(q, v), radius, reach)
+        todo += [(p[inner], q[near]), (p[~inner], np.concatenate([q[far], p[crossing]]))]
 
 
 def _shard_links(reach: int):
     def run(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
-        own = fp[group.column("own").to_numpy(zero_copy_only=False)]
+        own = group.column("own").to_numpy(zero_copy_only=False)
         a, b, held = [], [], 0
-        for x, y in near_pairs(own, fp, reach):
+        for x, y in near_pairs(fp[own], fp[~own], reach):
             a.append(x)
             b.append(y)
             held += len(x)
@@ -181,12 +188,10 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, shard_point
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            home = np.empty(len(fp), np.int64)
-            for shard, idx in route(tree.value, fp, 0):
-                home[idx] = shard
-            for shard, idx in route(tree.value, fp, max_bits):
+            for shard, own, visit in route(tree.value, fp, max_bits):
+                idx = np.concatenate([own, visit])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(idx), shard, np.int32)), signed(fp[idx]), pa.array(home[idx] == shard)],
+                    [pa.array(np.full(len(idx), shard, np.int32)), signed(fp[idx]), pa.array(np.arange(len(idx)) < len(own))],
                     ["shard", "fp", "own"])
 
     sent = map_arrow(distinct.select("fp"), assign, "shard int, fp long, own boolean")
