@@ -53,7 +53,8 @@ def daily_baselines(counts: DataFrame, windows: Iterable[int] = BASELINE_WINDOWS
     """(dimension, dimension_key, as_of, avg_Wd, std_Wd, samples_Wd for each W).
 
     ``targets`` (column ``as_of``) selects the baseline dates; by default every
-    date that has complaint rows, limited to [start, end].  A key gets a row
+    date of [start, end] if both are given, else every date that has complaint
+    rows within them.  A key gets a row
     for an ``as_of`` when it has at least one day of history in the largest
     window; windows without data are 0, as a full outer merge would fill them.
     """
@@ -64,9 +65,10 @@ def daily_baselines(counts: DataFrame, windows: Iterable[int] = BASELINE_WINDOWS
                         F.explode(F.sequence(F.lit(1), F.lit(maxw))).alias("lag"))
                 .withColumn("as_of", F.date_add("day", F.col("lag")))
                 .filter(target_filter("as_of", start, end)))
-    if targets is None:
+    if targets is None and (start is None or end is None):
         targets = counts.select(F.col("day").alias("as_of")).distinct()
-    exploded = exploded.join(targets.filter(target_filter("as_of", start, end)), "as_of", "left_semi")
+    if targets is not None:
+        exploded = exploded.join(targets.filter(target_filter("as_of", start, end)), "as_of", "left_semi")
     grouped = exploded.groupBy("dimension", "dimension_key", "as_of").agg(*_window_stats("lag", "n", windows))
     return _finish(grouped, windows, ["dimension", "dimension_key", "as_of"])
 

@@ -139,8 +139,10 @@ def refine_severity(anomalies: DataFrame, widespread: int = WIDESPREAD_REGION_AN
     prev = anomalies.select(F.date_add("anomaly_date", 1).alias("anomaly_date"), "dimension", "dimension_key",
                             F.lit(True).alias("_persistent")).distinct()
     j = anomalies.join(prev, ["anomaly_date", "dimension", "dimension_key"], "left")
-    regions = F.count(F.when(F.col("dimension") == "Region", 1)).over(Window.partitionBy("anomaly_date"))
-    j = j.withColumn("_wide", regions > widespread)
+    # Region anomalies per date, counted map-side: a day's anomalies never meet in one task
+    wide = (anomalies.filter(F.col("dimension") == "Region").groupBy("anomaly_date")
+            .agg((F.count(F.lit(1)) > widespread).alias("_wide")))
+    j = j.join(wide, "anomaly_date", "left").withColumn("_wide", F.coalesce("_wide", F.lit(False)))
     upgrade = (F.col("severity") == "WARNING") & (
         F.coalesce(F.col("_persistent"), F.lit(False)) | (F.col("_wide") & (F.col("dimension") == "Type")))
     return j.withColumn("severity", F.when(upgrade, "CRITICAL").otherwise(F.col("severity"))) \
@@ -158,8 +160,8 @@ def enrich_anomalies(anomalies: DataFrame, counts: DataFrame, rca_counts: DataFr
     return refine_severity(j)
 
 
-def narrate(anomalies: DataFrame) -> DataFrame:
-    """Executive insight rows: (created_at, title, summary, severity, z_score)."""
+def narrate(anomalies: DataFrame, with_dimension: bool = False) -> DataFrame:
+    """Executive insight rows: (created_at, title, summary, severity, z_score[, dimension])."""
     a = anomalies.filter(F.col("severity") != "INFO")
     title = F.concat(F.lit("Spike in "), F.col("dimension_key"), F.lit(" ("), F.col("dimension"), F.lit(")"))
     summary = F.concat(
@@ -171,7 +173,7 @@ def narrate(anomalies: DataFrame) -> DataFrame:
                F.concat(F.lit("\nContext: "), F.col("rca_context"))).otherwise(F.lit("")),
     )
     return a.select(F.col("anomaly_date").cast("timestamp_ntz").alias("created_at"), title.alias("title"),
-                    summary.alias("summary"), "severity", "z_score")
+                    summary.alias("summary"), "severity", "z_score", *(["dimension"] if with_dimension else []))
 
 
 def filter_insights(insights: DataFrame, since) -> DataFrame:

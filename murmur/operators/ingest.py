@@ -80,13 +80,13 @@ def split_unparsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("sr_open_dttm").isNotNull()), df.filter(F.col("sr_open_dttm").isNull())
 
 
-def project_to_model(df: DataFrame) -> DataFrame:
-    """Model columns in schema order (absent ones null); rows without sr_number dropped."""
+def project_to_model(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Model columns in schema order (absent ones null) and ``keep``; rows without sr_number dropped."""
     cols = []
     for f in COMPLAINTS_SCHEMA.fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols).filter(F.col("sr_number").isNotNull() & (F.trim(F.col("sr_number")) != ""))
+    return df.select(*cols, *(keep or [])).filter(F.col("sr_number").isNotNull() & (F.trim(F.col("sr_number")) != ""))
 
 
 def supplied_columns(raw_columns: list[str]) -> list[str]:
@@ -94,15 +94,15 @@ def supplied_columns(raw_columns: list[str]) -> list[str]:
     return [c for c in COMPLAINT_COLUMNS if c in raw_columns]
 
 
-def coerce_complaints(raw: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """All ingestion transforms: (complaints, rejects, supplied columns)."""
+def coerce_complaints(raw: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All ingestion transforms: (complaints, rejects, supplied columns); ``keep`` passes columns through."""
     df = rename_priority_status(apply_synonyms(normalize_headers(raw)))
     require_columns(df)
     # sr_open_dt is always written: parsed from the file, or derived from the open time
     supplied = supplied_columns(df.columns + ["sr_open_dt"])
     df = parse_dates(fill_missing_columns(df))
     good, bad = split_unparsed(df)
-    return project_to_model(good), bad, supplied
+    return project_to_model(good, keep), bad, supplied
 
 
 def ingest_report(parsed: DataFrame) -> DataFrame:

@@ -218,8 +218,13 @@ def keyword_lists(keywords: DataFrame, id_col: str) -> DataFrame:
 
 def analyze_complaints(df: DataFrame, id_col: str = "complaint_id", text_col: str = "complaint_text",
                        n_keywords: int = KEYWORDS_KEPT, whole_word: bool = False,
-                       row_local_keywords: bool = False, with_keywords: bool = True) -> DataFrame:
-    """The full per-text analysis (ANALYSIS_COLUMNS), computed on the original text."""
+                       row_local_keywords: bool = True, with_keywords: bool = True) -> DataFrame:
+    """The full per-text analysis (ANALYSIS_COLUMNS), computed on the original text.
+
+    Keywords are row-local by default: no shuffle, and repeated or null ids
+    keep their own.  ``row_local_keywords=False`` aggregates by (id, word) and
+    needs unique ids.
+    """
     # the lower-cased text is its own column, referenced by every term test
     # (the optimizer keeps a projection that is used many times)
     pre = df.select(F.col(id_col).alias("complaint_id"), F.col(text_col).alias("original_text"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from murmur.constants import TREND_MIN_DAYS, TREND_P_THRESHOLD, TREND_WINDOWS
 from murmur.functions.stats import round_half_up, student_t_p, theta_from_r_sql
-from murmur.operators.common import DateLike, date_scope, target_filter
+from murmur.operators.common import DateLike, date_scope, lit_date, target_filter
 from murmur.operators.counts import daily_counts
 
 TREND_COLUMNS = ["trend_date", "dimension", "dimension_key", "metric_value", "trend_direction",
@@ -58,11 +58,11 @@ def ols_columns(n, sy, syy, sxy_raw, xmin):
 def trends_from_counts(counts: DataFrame, windows: Iterable[int] = TREND_WINDOWS,
                        start: DateLike = None, end: DateLike = None,
                        p_threshold: float = TREND_P_THRESHOLD, min_days: int = TREND_MIN_DAYS) -> DataFrame:
-    """Trends for every calendar target date up to the last day of ``counts``."""
+    """Trends for every calendar target date up to ``end`` (default: the last day of ``counts``)."""
     windows = sorted(set(windows))
     maxw = windows[-1]
     counts = counts.filter(F.col("dimension_key").isNotNull())
-    last_day = counts.agg(F.max("day")).scalar()
+    last_day = counts.agg(F.max("day")).scalar() if end is None else lit_date(end)
     numbered = counts.withColumn(
         "rn", F.row_number().over(Window.partitionBy("dimension", "dimension_key").orderBy("day")))
     copies = (numbered

@@ -49,9 +49,11 @@ def validation_issues(complaints: DataFrame, start: DateLike = None, end: DateLi
     nulls = missing_value_counts(complaints, start=start, end=end).filter(F.col("null_count") > 0).select(
         F.lit("missing_values").alias("check"),
         F.format_string("Found %d rows with missing %s", F.col("null_count"), F.col("column_name")).alias("issue"))
-    gaps = hourly_gaps(complaints, start, end).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.slice(F.array_sort(F.collect_list(F.date_format("hour", "yyyy-MM-dd HH:00:00"))), 1, 5).alias("first"))
+    missing = hourly_gaps(complaints, start, end)
+    # the message lists five hours: an ordered limit finds them, not a list of all
+    first = missing.orderBy("hour").limit(5).agg(
+        F.array_sort(F.collect_list(F.date_format("hour", "yyyy-MM-dd HH:00:00"))).alias("first"))
+    gaps = missing.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(first))      # one row each
     gaps = gaps.filter(F.col("n") > 0).select(
         F.lit("missing_hours").alias("check"),
         F.format_string("Missing data for %d hours: %s...", F.col("n"), F.array_join("first", ", ")).alias("issue"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.session import scratch_table_path
@@ -46,48 +46,81 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: list[str]) -> No
        .partitionBy(*partition_cols).parquet(path))
 
 
+def _swap_partitions(spark: SparkSession, staged: str, table: str, specs: set[str]) -> None:
+    """Put the staged partitions ``specs`` (``a=1/b=2``) in place of the table's; those not staged are dropped.
+
+    A partition is deleted and then renamed in, so a run that was interrupted
+    is repaired by running it again.
+    """
+    fs, root = _fs(spark, table)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for spec in sorted(specs):
+        old, new = path(f"{table.rstrip('/')}/{spec}"), path(f"{staged}/{spec}")
+        if fs.exists(old):
+            fs.delete(old, True)
+        if fs.exists(new):
+            fs.mkdirs(old.getParent())
+            if not fs.rename(new, old):
+                raise OSError(f"could not move {new} to {old}")
+    fs.delete(path(staged), True)
+
+
+def _partition_specs(spark: SparkSession, path: str, depth: int) -> set[str]:
+    """Relative names of the partition folders ``depth`` levels below ``path``."""
+    fs, root = _fs(spark, path)
+    level = {""} if fs.exists(root) else set()
+    for _ in range(depth):
+        level = {f"{base}/{st.getPath().getName()}".lstrip("/") for base in level
+                 for st in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{base}" if base else path))
+                 if st.isDirectory() and "=" in st.getPath().getName()}
+    return level
+
+
+def _stage_beside(df: DataFrame, table: str, parts: list[str]) -> str:
+    """Write ``df`` next to the table (same file system, so renames are moves); returns the folder."""
+    staged = f"{table.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).parquet(staged)
+    return staged
+
+
 def replace_by_date(spark: SparkSession, df: DataFrame, table: str, date_col: str, dates: list,
                     dimensions: list[str] | None = None) -> None:
     """Replace the rows of ``dates`` (x ``dimensions``) in a result table with ``df``.
 
     Partitions of requested (date, dimension) pairs without rows in ``df`` are
     dropped, so a rerun that finds nothing also clears the old rows; pairs not
-    requested are left alone.
+    requested are left alone.  ``df`` is computed once, into a folder beside
+    the table, and its partitions are moved in.
     """
-    parts = [date_col, "dimension"] if "dimension" in df.columns else [date_col]
-    want = {str(d) for d in dates}
-    df = df.filter(F.col(date_col).cast("string").isin(*want))
-    if dimensions is not None and "dimension" in df.columns:
+    by_dimension = "dimension" in df.columns
+    parts = [date_col, "dimension"] if by_dimension else [date_col]
+    df = df.filter(F.col(date_col).isin(*[F.lit(str(d)).cast("date") for d in dates]))
+    if dimensions is not None and by_dimension:
         df = df.filter(F.col("dimension").isin(*dimensions))
-    present = {tuple(str(v) for v in r) for r in df.select(*parts).distinct().collect()}
-    if present:
-        write_partitioned(df, table, parts)
-    if not path_exists(spark, table):
-        return
-    for d in want:
-        if len(parts) == 1:
-            if (d,) not in present:
-                delete_path(spark, _partition_dir(table, {date_col: d}))
-        else:
-            fs, p = _fs(spark, _partition_dir(table, {date_col: d}))
-            if not fs.exists(p):
-                continue
-            for st in fs.listStatus(p):
-                name = st.getPath().getName()
-                if not name.startswith("dimension="):
-                    continue
-                dim = name.split("=", 1)[1]
-                if (dimensions is None or dim in dimensions) and (d, dim) not in present:
-                    fs.delete(st.getPath(), True)
-
-
-def dedupe_batch(batch: DataFrame, key: str = "sr_number", order_col: str | None = None) -> DataFrame:
-    """Keep the last row per key; "last" is the largest ``order_col`` (default: read order)."""
-    if order_col is None:
-        batch = batch.withColumn("_seq", F.monotonically_increasing_id())
-        order_col = "_seq"
-    w = Window.partitionBy(key).orderBy(F.desc(order_col))
-    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "_seq")
+    staged = _stage_beside(df, table, parts)
+    wanted = {f"{date_col}={d}" for d in dates}
+    specs = _partition_specs(spark, staged, len(parts))
+    for spec in _partition_specs(spark, table, len(parts)):
+        head, _, tail = spec.partition("/")
+        if head in wanted and (not by_dimension or dimensions is None or tail.removeprefix("dimension=") in dimensions):
+            specs.add(spec)
+    _swap_partitions(spark, staged, table, specs)
+
+
+def dedupe_batch(batch: DataFrame, key: str = "sr_number", order_cols: list[str] | None = None) -> DataFrame:
+    """Keep the last row per key: the largest by ``order_cols``.
+
+    Default order: ``_file`` and ``_position`` (name of the file, place in the
+    file) if the batch has them, else read order.  One aggregation that keeps
+    one row a key and task before the shuffle; the order columns are dropped.
+    """
+    order = order_cols or [c for c in ("_file", "_position") if c in batch.columns]
+    if not order:
+        batch, order = batch.withColumn("_position", F.monotonically_increasing_id()), ["_position"]
+    cols = [c for c in batch.columns if c not in ("_file", "_position") and c != key]
+    return (batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_row"))
+            .select(*[F.col(key) if c == key else F.col(f"_row.{c}") for c in batch.columns
+                      if c not in ("_file", "_position")]))
 
 
 def merge_complaints(existing: DataFrame, batch: DataFrame, supplied: list[str],
@@ -118,34 +151,33 @@ def upsert_complaints(spark: SparkSession, table: str, batch: DataFrame, supplie
                       key: str = "sr_number", date_col: str = "sr_open_dt") -> dict:
     """Insert or update ``batch`` (already coerced) into the partitioned table at ``table``.
 
-    Only partitions that hold a touched key (its old and its new date) are
-    rewritten, with all their rows.  Returns counts of inserted and updated keys.
+    The deduplicated batch is written once.  The stored dates of its keys come
+    from a semi-join over the table's key and date columns alone; only the
+    partitions of those and of the batch's own dates are read, merged and
+    replaced.  Returns counts of inserted and updated keys.
     """
-    batch = dedupe_batch(batch, key)
+    stage = scratch_table_path(spark, f"upsert-{uuid.uuid4().hex}")
+    dedupe_batch(batch, key).write.parquet(stage)
+    batch = spark.read.schema(spark.read.parquet(stage).schema).parquet(stage)
     if not path_exists(spark, table):
         write_partitioned(batch, table, [date_col])
         n = batch.count()
+        delete_path(spark, stage)
         return {"inserted": n, "updated": 0}
     existing = spark.read.parquet(table)
     batch = batch.select(*existing.columns)
-    merged = merge_complaints(existing, batch, supplied, key)
-    touched = merged.filter("_touched").select(
-        F.explode(F.array_distinct(F.array(F.col(date_col), F.col("_old_dt")))).alias("d")) \
-        .filter(F.col("d").isNotNull()).distinct()
-    stats = merged.filter("_touched").agg(F.count_if(F.col("_old_dt").isNull()).alias("inserted"),
-                                          F.count_if(F.col("_old_dt").isNotNull()).alias("updated")).first()
-    dates = [r["d"] for r in touched.collect()]           # bounded: distinct dates of one batch
-    out = merged.filter(F.col(date_col).isin(*dates)).select(*existing.columns)
-    stage = scratch_table_path(spark, f"upsert-{uuid.uuid4().hex}")
-    out.write.mode("overwrite").partitionBy(date_col).parquet(stage)
-    staged = spark.read.parquet(stage).select(*existing.columns)
-    write_partitioned(staged, table, [date_col])
-    present = {str(r[0]) for r in staged.select(date_col).distinct().collect()}
-    for d in dates:
-        if str(d) not in present:
-            delete_path(spark, _partition_dir(table, {date_col: d}))
+    held = existing.select(key, date_col).join(batch.select(key), key, "left_semi").groupBy(date_col).agg(
+        F.count(F.lit(1)).alias("n")).collect()                 # a row a date
+    new = batch.groupBy(date_col).agg(F.count(F.lit(1)).alias("n")).collect()
+    dates = {r[date_col] for r in (*held, *new) if r[date_col] is not None}
+    touched = existing.filter(F.col(date_col).isin(*dates))
+    merged = merge_complaints(touched, batch, supplied, key).select(*existing.columns)
+    staged = _stage_beside(merged, table, [date_col])
+    _swap_partitions(spark, staged, table, {f"{date_col}={d}" for d in dates}
+                     | _partition_specs(spark, staged, 1))
     delete_path(spark, stage)
-    return {"inserted": stats["inserted"], "updated": stats["updated"]}
+    updated = sum(r["n"] for r in held)
+    return {"inserted": sum(r["n"] for r in new) - updated, "updated": updated}
 
 
 def delete_date_range(spark: SparkSession, tables: dict[str, str], start, end) -> DataFrame:

@@ -1,34 +1,49 @@
 """Structured Streaming: a drop folder of complaint CSV files ingested as they arrive.
 
-The stream reads every column as a string with an explicit schema (streams
-cannot infer), and each micro-batch goes through the same coercion and keyed
-upsert as a batch file.  The checkpoint location makes the stream restartable
-and exactly-once per file; ``availableNow`` processes what is there and stops.
+The stream carries the names of new files; each micro-batch reads its files
+like a batch ingest does (encoding, separator and header of every file, quoted
+newlines, row order by file and place), coerces them and upserts them.
+Rows without an open time are appended to the rejects folder.  The checkpoint
+location makes the stream restartable, and the upsert makes a repeated batch
+harmless; ``available_now`` processes what is there and stops.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
 
-from murmur.operators.ingest import coerce_complaints
+from murmur.operators.ingest import SchemaError, coerce_complaints
+from murmur.sources.csv import FILE_COLUMN, POSITION_COLUMN, read_complaints_csv
 from murmur.sources.sinks import upsert_complaints
 
+FILE_SCHEMA = "path string, modificationTime timestamp_ltz, length long, content binary"
 
-def string_schema(columns: list[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])
 
+def ingest_stream(spark: SparkSession, in_dir: str, table: str, checkpoint: str, columns: list[str] | None = None,
+                  sep: str | None = None, encoding: str | None = None, available_now: bool = True,
+                  rejects_path: str | None = None, max_files: int = 1000):
+    """Start the ingest stream; returns the StreamingQuery.
 
-def ingest_stream(spark: SparkSession, in_dir: str, table: str, checkpoint: str, columns: list[str],
-                  sep: str = ",", encoding: str = "UTF-8", available_now: bool = True):
-    """Start the ingest stream; returns the StreamingQuery."""
-    stream = (spark.readStream.option("header", True).option("sep", sep).option("encoding", encoding)
-              .schema(string_schema(columns)).csv(in_dir))
+    ``columns`` are names that the files of a micro-batch must have between
+    them; ``max_files`` bounds a micro-batch.
+    """
+    # the path column alone: the files' contents are not read here
+    names = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files)
+             .load(in_dir).select("path"))
 
     def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
-        complaints, _rejects, supplied = coerce_complaints(batch)
-        upsert_complaints(batch.sparkSession, table, complaints, supplied)
-
-    writer = stream.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
+        session = batch.sparkSession
+        files = [r["path"] for r in batch.collect()]            # max_files at most
+        if not files:
+            return
+        raw = read_complaints_csv(session, files, encoding, sep, with_position=True)
+        if lacking := [c for c in columns or [] if c not in raw.columns]:
+            raise SchemaError(lacking, raw.columns, columns)
+        complaints, rejects, supplied = coerce_complaints(raw, keep=[FILE_COLUMN, POSITION_COLUMN])
+        upsert_complaints(session, table, complaints, supplied)
+        if rejects_path:
+            rejects.write.mode("append").parquet(rejects_path)
+
+    writer = names.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
