@@ -19,6 +19,7 @@ from murmur.session import scratch_table_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
+BATCH_ROWS, MAX_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,7 +45,9 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package sent to the executors first (once a
     Spark context), so that tasks can import it wherever they run."""
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if int(spark.conf.get(BATCH_ROWS)) > MAX_BATCH_ROWS:    # whole texts: 10,000 of them are too many for one batch
+        spark.conf.set(BATCH_ROWS, str(MAX_BATCH_ROWS))
     if not getattr(sc, "_murmur_sent", False):
         root = Path(__file__).resolve().parents[2]
         if root.is_dir():
@@ -87,7 +90,7 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
 
 
-def text_chunks(batch: pa.RecordBatch, column: str, max_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def text_chunks(batch: pa.RecordBatch, column: str, max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of a batch whose texts hold about ``max_chars`` together.
 
     One very long text makes a range of its own, so the memory of a task is

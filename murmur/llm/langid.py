@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from murmur.llm.common import map_arrow, text_chunks
 
-ROWS_PER_LANG = 4_000
-TOP_WORDS = 40_000
-TOP_GRAMS = 20_000
+ROWS_PER_LANG = 1_500
+TOP_WORDS = 20_000
+TOP_GRAMS = 8_000
 MAX_GRAM = 4
 EVIDENCE_WORDS = 40         # a text's mean word score counts as that of at most so many words
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000
+BROADCAST_LANGS = 10_000     # above so many languages the sampling shares are joined by a shuffle
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -74,35 +75,32 @@ def _gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams; ``vectors[n][gram]`` is one value a language."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_GRAM + 1)]
-        for lang, n, gram, c in rows:
-            counts[n].setdefault(gram, np.zeros(len(at)))[at[lang]] = c
-        self.vectors = []
-        for table in counts:
-            total = sum(table.values(), np.zeros(len(at))) + 0.5 * max(1, len(table))
-            self.vectors.append({g: np.log10((c + 0.5) / total) for g, c in table.items()})
+    """Log frequencies of words and n-grams: ``rows[n][gram]`` is a row of ``logs[n]``, one column a language."""
+
+    def __init__(self, lang: list[str], n: list[int], gram: list[str], count: list[int]):
+        self.langs = sorted(set(lang))
+        at = {x: i for i, x in enumerate(self.langs)}
+        self.rows: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+        place = [self.rows[k].setdefault(g, len(self.rows[k])) for k, g in zip(n, gram, strict=True)]
+        counts = [np.zeros((len(r), len(at))) for r in self.rows]
+        for k, i, x, c in zip(n, place, lang, count, strict=True):
+            counts[k][i, at[x]] = c
+        self.logs = [np.log10((c + 0.5) / (c.sum(axis=0) + 0.5 * max(1, len(c)))) for c in counts]
         self.cache: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
-        """Back-off vector of a word that was not learned; zeros without any known n-gram."""
-        for n in range(MAX_GRAM, 0, -1):
-            known = [v for g in grams_of(word, n) if (v := self.vectors[n].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
-
-    def vector(self, word: str) -> np.ndarray:
+        """Back-off scores of a word that was not learned; zeros without any known n-gram."""
         v = self.cache.get(word)
         if v is None:
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            v = self.vectors[0].get(word)
-            v = self.cache[word] = self.unseen(word) if v is None else v
+            v = np.zeros(len(self.langs))
+            for n in range(MAX_GRAM, 0, -1):
+                known = [i for g in grams_of(word, n) if (i := self.rows[n].get(g)) is not None]
+                if known:
+                    v = self.logs[n][known].mean(axis=0)
+                    break
+            self.cache[word] = v
         return v
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -110,7 +108,14 @@ class Model:
         if not counts:
             return UNKNOWN, 0.0
         weights = np.fromiter(counts.values(), np.float64, len(counts))
-        mean = weights @ np.array([self.vector(w) for w in counts]) / weights.sum()
+        get = self.rows[0].get
+        row = np.fromiter((get(w, -1) for w in counts), np.int64, len(counts))
+        known = row >= 0
+        total = weights[known] @ self.logs[0][row[known]]
+        for w, c, k in zip(counts, weights, known, strict=True):
+            if not k:
+                total = total + c * self.unseen(w)
+        mean = total / weights.sum()
         scaled = (mean - mean.max()) * min(weights.sum(), EVIDENCE_WORDS) * np.log(10)
         p = np.exp(scaled)
         best = int(p.argmax())
@@ -124,12 +129,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("lang", "_lang")
     share = F.least(F.lit(1.0), rows_per_lang / F.col("_n")) * 1_000_000
+    if totals.count() <= BROADCAST_LANGS:
+        totals = F.broadcast(totals)                            # a row a language
     sample = (rows.join(totals, F.col("lang") == F.col("_lang"))
               .filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text", "lang"))
     ranked = _gram_counts(sample).withColumn("_r", F.row_number().over(
         Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")))
     top = ranked.filter(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
-    return Model([tuple(r) for r in top.select("lang", "n", "gram", "count").collect()])
+    table = top.select("lang", "n", "gram", "count").toArrow()  # TOP_WORDS and TOP_GRAMS a language
+    return Model(*(table.column(i).to_pylist() for i in range(4)))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
