@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from murmur.llm import decontaminate, langid, line_dedup, mixing, simhash
 from murmur.llm.common import read_table, staged
 
-MIN_LANG_SCORE = 0.5
+MIN_LANG_SCORE = 0.3
 ORACLE_SQL = None
 
 
