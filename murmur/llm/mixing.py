@@ -84,16 +84,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix(docs, id_col, text_col, source_col, keep={"_mt": t}, **rules).filter(F.col("taken") > 0)
     same = lambda *cols: F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(0)))
     # rows alike in id, source and text are interchangeable; numbering them pairs each with its own share
-    plan = plan.select("size", "taken", F.col("doc").alias("_doc"), F.col("source").alias("_src"), "_mt",
-                       same("doc", "source", "_mt").alias("_mn"))
+    plan = plan.select(F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("doc").alias("_doc"),
+                       F.col("source").alias("_src"), "_mt", same("doc", "source", "_mt").alias("_mn"))
     full = docs.withColumn("_t", t).withColumn("_n", same(id_col, source_col, "_t"))
     rows = full.join(plan, full[id_col].eqNullSafe(plan["_doc"]) & full[source_col].eqNullSafe(plan["_src"])
                      & (F.col("_t") == F.col("_mt")) & (F.col("_n") == F.col("_mn")))
-    each = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")) - 1)))
-    words = F.least(F.col("size"), F.col("taken") - F.col("mix_epoch") * F.col("size"))
-    cut = F.regexp_extract(F.col(text_col), r"^[\x20\x09-\x0D]*", 0)
-    first = F.array_join(F.slice(F.split(F.substr(F.col(text_col), F.char_length(cut) + 1), r"[\x20\x09-\x0D]+"),
+    each = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")) - 1)))
+    words = F.least(F.col("_size"), F.col("_taken") - F.col("_epoch") * F.col("_size"))
+    lead = F.regexp_extract(F.col(text_col), r"^[\x20\x09-\x0D]*", 0)
+    first = F.array_join(F.slice(F.split(F.substr(F.col(text_col), F.char_length(lead) + 1), r"[\x20\x09-\x0D]+"),
                                  F.lit(1), words.cast("int")), " ")
-    text = F.when(words < F.col("size"), first).otherwise(F.col(text_col))
+    text = F.when(words < F.col("_size"), first).otherwise(F.col(text_col))
     return each.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                       F.col("mix_epoch").cast("long"), words.cast("long").alias("mix_words"))
+                       F.col("_epoch").cast("long").alias("mix_epoch"), words.cast("long").alias("mix_words"))
