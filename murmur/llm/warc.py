@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from murmur.llm.common import map_arrow, staged
 from murmur.session import scratch_table_path
 
-GZIP_LEVEL = 4
+GZIP_LEVEL = 6
 EMPTY_MEMBER_FROM = 1 << 24
 SOURCE_ID = "X-Source-Id"           # carries the table's id through the formats
 ARC_VERSIONS = {
