@@ -32,7 +32,7 @@ TOP_WORDS = 20_000
 TOP_GRAMS = 8_000
 MAX_GRAM = 4
 EVIDENCE_WORDS = 40         # a text's mean word score counts as that of at most so many words
-CACHED_WORDS = 50_000
+GATHERED_GRAMS = 100_000    # n-grams of unseen words that are scored at once
 BROADCAST_LANGS = 10_000     # above so many languages the sampling shares are joined by a shuffle
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,22 +86,28 @@ class Model:
         for k, i, x, c in zip(n, place, lang, count, strict=True):
             counts[k][i, at[x]] = c
         self.logs = [np.log10((c + 0.5) / (c.sum(axis=0) + 0.5 * max(1, len(c)))) for c in counts]
-        self.cache: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Back-off scores of a word that was not learned; zeros without any known n-gram."""
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
-            v = np.zeros(len(self.langs))
-            for n in range(MAX_GRAM, 0, -1):
-                known = [i for g in grams_of(word, n) if (i := self.rows[n].get(g)) is not None]
-                if known:
-                    v = self.logs[n][known].mean(axis=0)
-                    break
-            self.cache[word] = v
-        return v
+
+    def unseen(self, words: list[str], counts: list[float]) -> np.ndarray:
+        """Back-off scores of words that were not learned, summed; nothing for a word without any known n-gram."""
+        total, left = np.zeros(len(self.langs)), list(zip(words, counts, strict=True))
+        for n in range(MAX_GRAM, 0, -1):
+            get, logs, shorter = self.rows[n].get, self.logs[n], []
+            at: list[int] = []
+            weights: list[float] = []
+            for w, c in left:
+                known = [i for g in grams_of(w, n) if (i := get(g)) is not None]
+                if not known:
+                    shorter.append((w, c))
+                    continue
+                at += known
+                weights += [c / len(known)] * len(known)
+                if len(at) >= GATHERED_GRAMS:
+                    total += np.array(weights) @ logs[at]
+                    at, weights = [], []
+            if at:
+                total += np.array(weights) @ logs[at]
+            left = shorter
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text)) if text and self.langs else None
@@ -112,9 +118,9 @@ class Model:
         row = np.fromiter((get(w, -1) for w in counts), np.int64, len(counts))
         known = row >= 0
         total = weights[known] @ self.logs[0][row[known]]
-        for w, c, k in zip(counts, weights, known, strict=True):
-            if not k:
-                total = total + c * self.unseen(w)
+        if not known.all():
+            new = [(w, c) for (w, c), k in zip(counts.items(), known.tolist(), strict=True) if not k]
+            total = total + self.unseen([w for w, _ in new], [c for _, c in new])
         mean = total / weights.sum()
         scaled = (mean - mean.max()) * min(weights.sum(), EVIDENCE_WORDS) * np.log(10)
         p = np.exp(scaled)
