@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from murmur.constants import DIMENSIONS
 
-DateLike = str | _dt.date | None
+DateLike = str | _dt.date | Column | None
 
 
 def resolve_dimensions(dimensions: Iterable[str] | dict | None = None) -> dict[str, str]:
@@ -27,7 +27,7 @@ def resolve_dimensions(dimensions: Iterable[str] | dict | None = None) -> dict[s
 
 
 def lit_date(d: DateLike) -> Column:
-    return F.lit(str(d)).cast("date")
+    return d if isinstance(d, Column) else F.lit(str(d)).cast("date")
 
 
 def date_scope(df: DataFrame, start: DateLike = None, end: DateLike = None,

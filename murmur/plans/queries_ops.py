@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from murmur.operators.repeats import repeat_complainers, repeat_kpis, repeat_summaries, top_repeaters
-from murmur.operators.resolution import aging_backfill, mttr
+from murmur.operators.resolution import aging, aging_backfill, mttr, mttr_breakdown, mttr_trend
 from murmur.plans.catalog import register
 from murmur.plans.oracle import with_complaints
 from murmur.sources.tables import complaints
@@ -151,3 +153,29 @@ def q_resolution_kpis(spark, sf_dir):
     from murmur.operators.resolution import resolution_kpis
     c = complaints(spark, sf_dir, EV)
     return resolution_kpis(mttr(c), aging_backfill(c))
+
+
+# -- one date, stored-table views ---------------------------------------------
+def _last_open_date(c):
+    """The last date with complaints, as a scalar subquery (no driver round trip)."""
+    return c.agg(F.max("sr_open_dt")).scalar()
+
+
+@register("aging_last_date", "SELECT * FROM (" + _aging_sql(ORD) + ") x WHERE date = (SELECT max(date) FROM ("
+          + with_complaints(ORD) + "SELECT max(sr_open_dt) AS date FROM c) m)")
+def q_aging_last_date(spark, sf_dir):
+    c = complaints(spark, sf_dir, ORD)
+    return aging(c, _last_open_date(c))
+
+
+@register("mttr_trend", "SELECT * FROM (" + _mttr_sql(EV) + ") x WHERE dimension = 'Total' AND date > (SELECT t - 30 FROM ("
+          + with_complaints(EV) + "SELECT max(sr_open_dt) AS t FROM c) m) AND date <= (SELECT t FROM ("
+          + with_complaints(EV) + "SELECT max(sr_open_dt) AS t FROM c) m)")
+def q_mttr_trend(spark, sf_dir):
+    c = complaints(spark, sf_dir, EV)
+    return mttr_trend(mttr(c), _last_open_date(c))
+
+
+@register("mttr_breakdown_exchange", "SELECT * FROM (" + _mttr_sql(ORD) + ") x WHERE dimension = 'Exchange'")
+def q_mttr_breakdown_exchange(spark, sf_dir):
+    return mttr_breakdown(mttr(complaints(spark, sf_dir, ORD)), "Exchange")

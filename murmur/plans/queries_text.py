@@ -8,7 +8,8 @@ from murmur.constants import (CATEGORY_TERMS, KEYWORD_STOP_WORDS, NEGATIVE_TERMS
                               URGENT_TERMS)
 from murmur.functions.text import SQL_PATTERNS, sql_regex
 from murmur.operators.text import (analyze_complaints, clean_text, distributions, extract_keywords,
-                                   sentiment_by_category, text_summary)
+                                   filter_text, priority_distribution, sentiment_by_category,
+                                   text_summary)
 from murmur.plans.catalog import register
 from murmur.sources.tables import read_table
 
@@ -159,3 +160,49 @@ SELECT category, count(*) AS count FROM an GROUP BY category ORDER BY count DESC
 def q_category_distribution(spark, sf_dir):
     from murmur.operators.text import value_distribution
     return value_distribution(_conversations(spark, sf_dir, with_keywords=False), "category", top=10)
+
+
+@register("priority_distribution", _DOC_SQL + """
+SELECT CAST(i - 1 AS INTEGER) AS priority_rank, p AS priority, count(an.priority) AS count
+FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS p, unnest([1, 2, 3, 4]) AS i) l
+LEFT JOIN an ON an.priority = l.p GROUP BY i, p""")
+def q_priority_distribution(spark, sf_dir):
+    return priority_distribution(_documents(spark, sf_dir, with_keywords=False))
+
+
+@register("filter_text", _DOC_SQL + """
+SELECT complaint_id, sentiment, category, priority FROM an
+WHERE sentiment IN ('negative', 'positive') AND category IN ('Other', 'Billing/Payment')""")
+def q_filter_text(spark, sf_dir):
+    found = filter_text(_documents(spark, sf_dir, with_keywords=False), ["negative", "positive"],
+                        ["Other", "Billing/Payment"])
+    return found.select("complaint_id", "sentiment", "category", "priority")
+
+
+_PHRASES = [
+    "The charger was broken and faulty, stopped working",
+    "Rude and unhelpful staff, the worst support",
+    "Delivery delayed, the package arrived late",
+    "I was overcharged, wrong amount on the invoice",
+    "The app shows an error and the website is not loading, urgent",
+    "Please refund and replace it, money back",
+    "Locked out of my account, password and login fail, urgent",
+    "Great service, I love it, excellent",
+    "Nothing to report",
+    "Terrible and dangerous, my lawyer will call immediately",
+    "",
+    "Broken on arrival and a rude employee",
+]
+
+
+@register("phrase_categories", _analysis_sql(
+    "(SELECT event_id, list_extract([" + ", ".join(_q(p) for p in _PHRASES)
+    + "], CAST(event_id % 12 AS INTEGER) + 1) AS text FROM events)", "event_id", "text") + """
+SELECT complaint_id AS event_id, sentiment, category, priority FROM an""")
+def q_phrase_categories(spark, sf_dir):
+    """Events with a phrase each: texts that reach every category and term list."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("event_id") % 12 + 1).cast("int"))
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("complaint_id"),
+                                                      phrase.alias("complaint_text"))
+    return analyze_complaints(rows, with_keywords=False).select(
+        F.col("complaint_id").alias("event_id"), "sentiment", "category", "priority")
