@@ -199,7 +199,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
-    """``docs`` without the rows whose id holds a benchmark item (a row without id goes by null)."""
-    bad = contaminated(docs, benchmark, id_col, **rules).select(F.col("doc").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      **rules) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, told apart by (id, text hash)."""
+    mark = F.xxhash64(text_col)
+    named = docs.select(F.struct(F.col(id_col).alias("id"), mark.alias("mark")).alias("doc"), F.col(text_col).alias("text"))
+    bad = contaminated(named, benchmark, "doc", "text", **rules).select(
+        F.col("doc.id").alias("_bad_id"), F.col("doc.mark").alias("_bad_mark")).distinct()
+    rows = docs.withColumn("_mark", mark)
+    same = rows[id_col].eqNullSafe(bad["_bad_id"]) & (rows["_mark"] == bad["_bad_mark"])
+    return rows.join(bad, same, "left_anti").select(*docs.columns)

@@ -212,12 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """``docs`` with one row left of each group: the row with the group's smallest id.
+    """``docs`` with one row left of each group: the first by id (rows without id last), then text hash.
 
-    Of rows that repeat that id one stays.  A row without id cannot be named
-    by a group and stays.
+    Decisions go by (id, text hash), so rows that share an id, or have none,
+    are told apart by their texts.  Of rows that repeat both one stays.
     """
-    groups = near_duplicates(docs, id_col, text_col, **rules)
-    kept = groups.filter(F.col("id") == F.col("component_id")).select("id").distinct()
-    rows = docs.join(kept, docs[id_col] == kept["id"], "left_semi").dropDuplicates([id_col])
-    return rows.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    mark = F.xxhash64(text_col)
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), mark.alias("mark")).alias("id"),
+                        F.col(text_col).alias("text"))
+    groups = near_duplicates(named, "id", "text", **rules)
+    kept = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(
+        F.col("id.id").alias("_kept_id"), F.col("id.mark").alias("_kept_mark")).distinct()
+    rows = docs.withColumn("_mark", mark)
+    same = rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_mark"] == kept["_kept_mark"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_mark"]).select(*docs.columns)
