@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import chat, decontaminate, langid, line_dedup, lm, mixing, passages, simhash, topk, warc
+from murmur.llm import (chat, decontaminate, filter_audit, langid, line_dedup, lm, mixing, passages, simhash, topk,
+                        warc)
 from murmur.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +193,54 @@ FROM placed
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP11_SQL = """
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+    FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS first FROM texts GROUP BY text
+), marks AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+    SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+           (len(t.words) < 100)::INT
+           + 2 * (100 * len(list_distinct(t.words)) < 80 * len(t.words))::INT
+           + 4 * (100 * length(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 10 * length(t.text))::INT
+           + 8 * regexp_matches(t.text, '[#$%&*|]')::INT
+           + 16 * coalesce(t.doc_id > f.first, false)::INT AS mask
+    FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN marks m ON m.doc_id = t.doc_id
+), cells AS (
+    SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step, (ascii(filter_order[step]) - 65)::INT AS f,
+           coalesce(list_sum(list_transform(range(1, step), lambda i: (1 << (ascii(filter_order[i]) - 65)::INT))), 0)::INT
+               AS before
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+    SELECT part, filter_order, step, f,
+           coalesce(sum(n) FILTER (mask & before = 0 AND mask >> f & 1 = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (mask & before = 0 AND mask >> f & 1 = 1), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (mask & before <> 0 AND mask >> f & 1 = 1), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (mask = 1 << f), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (mask & before = 0 AND mask >> f & 1 = 1), 0)::BIGINT AS good_lost,
+           coalesce(sum(toxic) FILTER (mask & before = 0 AND mask >> f & 1 = 1), 0)::BIGINT AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
+@register("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
