@@ -56,11 +56,11 @@ def document_fails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        text.alias("text"))
     rows = staged(rows.select("id", "part", F.sha2(F.col("text").cast("binary"), 256).alias("key"), mask.alias("mask")),
                   "audit-rows")
-    firsts = (rows.filter("id is not null").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-              .filter("first < last").select(F.col("key").alias("first_key"), "first"))
-    # a text of one id only has no row in ``firsts``; the first of the others joins itself and drops out
-    copies = rows.join(firsts, F.col("key") == F.col("first_key"), "left")
-    later = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    firsts = (rows.filter("id is not null").groupBy("key").agg(F.min("id").alias("first"))
+              .select(F.col("key").alias("first_key"), "first"))
+    # joined by text and id, so that the copies of one text are dealt over all tasks
+    copies = rows.join(firsts, (F.col("key") == F.col("first_key")) & (F.col("id") == F.col("first")), "left")
+    later = F.col("id").isNotNull() & F.col("first").isNull()
     return copies.select("id", "part", (F.col("mask") + F.when(later, 1 << 4).otherwise(0)).alias("mask"))
 
 
