@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import (chat, decontaminate, filter_audit, langid, line_dedup, lm, mixing, passages, simhash, topk,
-                        warc, whitening)
+from murmur.llm import (chat, decontaminate, filter_audit, jaccard_join, langid, line_dedup, lm, mixing, passages, simhash,
+                        topk, warc, whitening)
 from murmur.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings")).select(
         F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened",
         "explained", "identity_error")
+
+
+@register("op13_ngram_jaccard_join")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")
