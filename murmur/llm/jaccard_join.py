@@ -8,17 +8,21 @@ smallest hashes of a set the ``a + 2`` rarest, if at most ``a`` of its
 shingles may be missing in a linked set; the order is by the number of sets
 that hold a shingle, then by hash).  Regions of equal members are one.
 
-A region takes pivots among its points.  All distances to them are exact, so
-the pivots' own links are known and they leave.  Every other point goes to the
-Voronoi region of its nearest pivot, or to a region of its own kind if all are
-far, and triangle-inequality windows replicate boundary points: with r the
-link distance, a point at distance d of its nearest pivot also visits a pivot
-at most ``min(d + 2 r, NEAR + r)`` away.  Within a region a point linked to the
-pivot stays only if it can reach a point outside the pivot's component (its
-distance is less than r below the nearest such point's).  Regions that hold
-one component only are done, all others are joined again in the same way, with
-more pivots, until none is left.  Links are stars around pivots, never all
-pairs of a group.
+A region takes pivots among its points, those of the most cells first.  All
+distances to them are exact, so the pivots' own links are known and they leave.
+With r the link distance, a point at most r from its nearest pivot goes to that
+pivot's Voronoi region, where all are of one component through the pivot; the
+points far from all pivots are a region again.  What else may link to points of
+a Voronoi region lies within 2 r of its pivot (triangle inequality): such
+boundary points of other components are replicated there as visitors, and of
+its own points only those can reach one that are at most r nearer to the pivot
+than the nearest visitor.  Own points are held against visitors, the fewer of
+the two being the pivots, until one side is used up or of one component.  In
+the first round, what lies around the pivot that several regions have in common
+is one region.
+Regions that hold one component only are done, regions of equal members are
+one, and all others are joined again with more pivots, until none is left.
+Links are stars around pivots, never all pairs of a group.
 
 Defined cases: a null text, or one without words, has an empty set and links
 with nothing, itself included; fewer words than a shingle are one shingle;
@@ -43,7 +47,7 @@ from murmur.llm.passages import shingle_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 80
-NEAR = 0.6                      # farther from all pivots: no Voronoi region
+AROUND = 0.6                    # points of the first round's regions at most this far from one pivot are one region
 PIVOTS = (1, 8, 32)             # pivots a region, round by round; then four times as many each round
 CHUNK_CODES = 1_500_000         # shingles a task sends together
 CHUNK_DOCS = 60_000
@@ -62,6 +66,11 @@ def missing(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100
 
 
+def pool_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set of n, those of the smallest hashes, its rarest ones are taken from."""
+    return np.minimum(n, 2 * missing(n, percent) + 2)
+
+
 def shingle_sets(texts: list[str | None], shingle_words: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each text, one after the other; set sizes)."""
     parts = []
@@ -155,7 +164,7 @@ def send_sets(docs: DataFrame, shingle_words: int, percent: int, buckets: int) -
                         seen[key] = None
                 starts = np.cumsum(sizes) - sizes
                 place = np.arange(len(sets)) - np.repeat(starts, sizes)
-                pool = np.minimum(sizes, 2 * missing(sizes, percent) + 2) * new
+                pool = pool_size(sizes, percent) * new
                 take = place < np.repeat(pool, sizes)
                 codes.append(mix64(sets[take], 7))
                 owners.append(np.repeat(number, sizes)[take])
@@ -230,7 +239,7 @@ def rarest_cells(percent: int):
         cells, docs = cells[order], docs[order]
         shared = np.bincount(docs, minlength=len(n))
         lost = missing(n, percent)
-        alone = np.minimum(n, 2 * lost + 2) - shared                            # shingles that no other set holds
+        alone = pool_size(n, percent) - shared                            # shingles that no other set holds
         place = np.arange(len(docs)) - (np.cumsum(shared) - shared)[docs]
         take = place < np.minimum(shared, np.maximum(lost + 2 - alone, 0))[docs]
         cells, docs = cells[take], docs[take]
@@ -241,43 +250,79 @@ def rarest_cells(percent: int):
     return run
 
 
+def once_each(members: DataFrame, name: str) -> DataFrame:
+    """The rows of regions that have something to join, those of equal members once.
+
+    (region, pid, n, rank, home, own, turn): ``home`` is the pivot of a Voronoi
+    region, ``own`` tells its own points from visitors; without home all points
+    are held against each other.  The points of turn 0 may become pivots.
+    """
+    held = staged(members, name)
+    mark = ("pid", "own", "turn")
+    sums = (held.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64(*mark)).alias("x1"),
+                                       F.bit_xor(F.xxhash64(F.lit(1), *mark)).alias("x2"),
+                                       F.min("turn").alias("first"), F.max("turn").alias("last"), F.max("home").alias("of"))
+            .filter("members > 1 and first = 0 and (of is null or last = 1)"))
+    kept = sums.groupBy("members", "x1", "x2").agg(F.min("region").alias("at"))
+    return staged(held.join(kept.select("at"), F.col("region") == F.col("at")).drop("at"), name)
+
+
 def top_regions(points: DataFrame) -> DataFrame:
-    """(region, pid, n): cells of two points or more, those of equal members once."""
-    rows = points.select("pid", "n", F.explode(F.array_distinct("cells")).alias("cell"))
-    sums = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("pid")).alias("x1"),
-                                    F.bit_xor(F.xxhash64(F.lit(1), "pid")).alias("x2")).filter("members > 1")
-    once = sums.groupBy("members", "x1", "x2").agg(F.min("cell").alias("region"))
-    return rows.join(once.select("region"), F.col("cell") == F.col("region")).select("region", "pid", "n")
+    """The regions of the cells."""
+    cells = F.array_distinct("cells")
+    return once_each(points.select(F.explode(cells).alias("region"), "pid", "n", (-F.size(cells)).alias("rank"),
+                                   F.lit(None).cast("long").alias("home"), F.lit(True).alias("own"), F.lit(0).alias("turn")), "join-top")
 
 
 # -- distances ---------------------------------------------------------------------------------
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pid, pivot, both, either): exact sizes of intersection and union for distinct (pid, pivot, n) pairs.
+def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(at, pid, pivot, both, either): exact sizes of intersection and union of points and pivots that meet.
 
-    The sets that are held against one pivot are dealt over blocks of a
-    bounded number of shingles, each with a copy of the pivot's set.
+    ``asked``: (at, pid, n, is_pivot); all points and pivots with equal ``at``
+    meet.  Returned are the pairs at most twice the link distance apart and
+    each point's nearest pivots.  Points and pivots are dealt over blocks of a
+    bounded number of shingles, and each block of points meets each of pivots.
     """
-    sizes = pairs.groupBy(F.col("pivot").alias("of")).agg(F.ceil(F.sum("n") / SHINGLES_PER_BLOCK).alias("blocks"))
-    dealt = pairs.join(sizes, F.col("pivot") == F.col("of")).select(
-        "pid", "pivot", F.pmod(F.xxhash64("pid", "pivot"), F.col("blocks")).alias("block"))
-    asked = dealt.union(dealt.select(F.col("pivot").alias("pid"), "pivot", "block").distinct())
+    sizes = asked.groupBy(F.col("at").alias("of")).agg(
+        F.ceil(F.sum(F.when(F.col("is_pivot"), F.col("n"))) / SHINGLES_PER_BLOCK).alias("pivot_blocks"),
+        F.ceil(F.sum(F.when(~F.col("is_pivot"), F.col("n"))) / SHINGLES_PER_BLOCK).alias("point_blocks")).dropna()
+    share = lambda n: F.array(F.pmod(F.xxhash64("pid"), F.col(n)))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    dealt = (asked.join(sizes, F.col("at") == F.col("of"))
+             .withColumn("x", F.explode(F.when(F.col("is_pivot"), every("point_blocks")).otherwise(share("point_blocks"))))
+             .withColumn("y", F.explode(F.when(F.col("is_pivot"), share("pivot_blocks")).otherwise(every("pivot_blocks")))))
 
     def measure(group: pa.Table) -> pa.Table:
-        pid, pivot = group.column("pid").to_numpy(), group.column("pivot")[0].as_py()
+        pid, is_pivot = group.column("pid").to_numpy(), group.column("is_pivot").to_numpy(zero_copy_only=False)
         values = _arrays(group, "set", np.uint64)
-        own = int(np.flatnonzero(pid == pivot)[0])
-        out = []
-        for k, s in enumerate(values):
-            if k != own:
-                at = np.searchsorted(values[own], s)
-                both = int((values[own][np.minimum(at, len(values[own]) - 1)] == s).sum())
-                out.append((int(pid[k]), pivot, both, len(s) + len(values[own]) - both))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("pid", "pivot", "both", "either"), cols, strict=True)})
-
-    fetched = asked.join(sets.select(F.col("pid").alias("set_of"), "set"), F.col("pid") == F.col("set_of"))
-    return fetched.select("pivot", "block", "pid", "set").groupBy("pivot", "block").applyInArrow(
-        measure, "pid long, pivot long, both long, either long")
+        points, pivots = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
+        size = np.array([len(values[k]) for k in points], np.int64)
+        out = [np.empty((4, 0), np.int64)]
+        if len(points) and len(pivots):
+            words, number = np.unique(np.concatenate([values[k] for k in points]), return_inverse=True)
+            starts, held = np.cumsum(size) - size, np.zeros(len(words), bool)
+            nearest, best = np.full(len(points), 2.0), np.zeros((4, len(points)), np.int64)
+            for k in pivots:
+                at = np.searchsorted(words, values[k])
+                at = at[words[np.minimum(at, len(words) - 1)] == values[k]]
+                held[at] = True
+                both = np.add.reduceat(held[number], starts, dtype=np.int64)
+                held[at] = False
+                either = size + len(values[k]) - both
+                d = np.where(pid[points] == pid[k], 2.0, 1 - both / either)
+                rows = np.stack([pid[points], np.full(len(points), pid[k]), both, either])
+                closer = (d < nearest) | ((d == nearest) & (d < 2) & (pid[k] < best[1]))
+                nearest, best = np.where(closer, d, nearest), np.where(closer, rows, best)
+                out.append(rows[:, d <= 2 * (1 - percent / 100) + 1e-9])
+            out.append(best[:, (nearest > 2 * (1 - percent / 100) + 1e-9) & (nearest < 2)])
+        rows = np.concatenate(out, axis=1)
+        return pa.table({"at": pa.array(np.full(rows.shape[1], group.column("at")[0].as_py(), np.int64)),
+                         **{c: pa.array(v) for c, v in zip(("pid", "pivot", "both", "either"), rows, strict=True)}})
+
+    fetched = dealt.select("at", "x", "y", "pid", "is_pivot").join(
+        sets.select(F.col("pid").alias("set_of"), "set"), F.col("pid") == F.col("set_of"))
+    return fetched.select("at", "x", "y", "pid", "is_pivot", "set").groupBy("at", "x", "y").applyInArrow(
+        measure, "at long, pid long, pivot long, both long, either long")
 
 
 def is_link(percent: int) -> Column:
@@ -285,59 +330,89 @@ def is_link(percent: int) -> Column:
 
 
 def region_pivots(members: DataFrame, k: int) -> DataFrame:
-    """(at, pivot): the k first points of each region by hash."""
-    rank = F.struct(F.xxhash64(F.lit(3), "pid").alias("rank"), F.col("pid").alias("pid"))
+    """(at, pivot): the k first points of each region that may become pivots."""
+    able = members.filter("turn = 0")
     if k == 1:
-        return members.groupBy(F.col("region").alias("at")).agg(F.min(rank).alias("first")).select("at", F.col("first.pid").alias("pivot"))
-    order = Window.partitionBy("region").orderBy(F.xxhash64(F.lit(3), "pid"), "pid")
-    return (members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        first = F.min(F.struct("rank", F.xxhash64(F.lit(3), "pid").alias("mark"), F.col("pid").alias("pid")))
+        return able.groupBy(F.col("region").alias("at")).agg(first.alias("first")).select("at", F.col("first.pid").alias("pivot"))
+    order = Window.partitionBy("region").orderBy("rank", F.xxhash64(F.lit(3), "pid"), "pid")
+    return (able.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
             .select(F.col("region").alias("at"), F.col("pid").alias("pivot")))
 
 
-def next_regions(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(region, pid, n): Voronoi regions and windows of (region, pid, n, pivot, both, either) rows that need another round."""
-    r, slack = 1 - percent / 100, 1e-9
+def voronoi(measured: DataFrame, percent: int, merge: bool) -> DataFrame:
+    """Regions of the (region, pid, n, rank, pivot, both, either) rows of points without home, with their distance ``d``.
+
+    ``merge``: of the regions with one pivot the points ``AROUND`` it are one;
+    those that may link to a point beyond are with both.
+    """
+    r = 1 - percent / 100 + 1e-9
     d = 1 - F.col("both") / F.col("either")
-    near = measured.groupBy("region", "pid", "n").agg(F.min(F.struct(d.alias("d"), F.col("pivot").alias("pivot"))).alias("own"),
-                                                      F.collect_list(F.struct(d.alias("d"), "pivot")).alias("all"))  # one a pivot
-    far = F.struct(F.lit(1.0).alias("d"), F.lit(None).cast("long").alias("pivot"))
-    visits = F.filter("all", lambda x: (x["d"] <= F.least(F.col("own.d") + 2 * r, F.lit(NEAR + r)) + slack)
-                      & (x["pivot"] != F.col("own.pivot")))
-    own = F.when(F.col("own.d") <= NEAR + slack, F.struct(F.col("own.d").alias("d"), F.col("own.pivot").alias("pivot"))).otherwise(far)
-    own_too = F.when((F.col("own.d") > NEAR + slack) & (F.col("own.d") <= NEAR + r + slack), F.array(F.col("own"))).otherwise(
-        F.array().cast("array<struct<d:double,pivot:bigint>>"))
-    placed = near.select("region", "pid", "n", F.explode(F.concat(F.array(own), own_too, visits)).alias("x")).select(
-        F.xxhash64("region", F.coalesce("x.pivot", F.lit(-1))).alias("region"), "pid", "n", "x.d", "x.pivot")
-    named = (placed.join(roots.select(F.col("node").alias("m"), F.col("root").alias("of_pid")), F.col("pid") == F.col("m"), "left")
-             .join(roots.select(F.col("node").alias("p"), F.col("root").alias("of_pivot")), F.col("pivot") == F.col("p"), "left")
-             .select("region", "pid", "n", "d", F.coalesce("of_pid", "pid").alias("root"),
-                     F.coalesce("of_pivot", "pivot").alias("pivot_root")))
-    other = ~F.col("root").eqNullSafe(F.col("pivot_root"))
-    sums = named.groupBy(F.col("region").alias("at")).agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(other, F.col("d"))).alias("nearest")).filter("low < high")
-    stays = other | (F.col("d") >= F.col("nearest") - r - slack)
-    return named.join(sums, F.col("region") == F.col("at")).filter(stays).select("region", "pid", "n")
+    seen = measured.select("region", "pid", "n", "rank", "pivot", d.alias("d")).withColumn(
+        "near", F.min(F.struct("d", "pivot")).over(Window.partitionBy("region", "pid")))        # a row for each pivot of the region
+    at = [F.lit(-2)] if merge else [F.lit(-2), F.col("region")]
+    inside = seen.filter(F.col("d") <= 2 * r).select(
+        F.xxhash64("pivot", *at).alias("region"), "pid", "n", "rank", F.col("pivot").alias("home"),
+        ((F.col("near.pivot") == F.col("pivot")) & (F.col("d") <= r)).alias("own"), "d")
+    mutual = ["pid", "n", "rank", F.lit(None).cast("long").alias("home"), F.lit(True).alias("own"), F.lit(0.0).alias("d")]
+    far = seen.filter((F.col("near.d") > r) & (F.col("near.pivot") == F.col("pivot")))
+    beyond = far.filter(F.col("d") > AROUND - r) if merge else far
+    out = inside.union(beyond.select(F.xxhash64("region", F.lit(-1)).alias("region"), *mutual))
+    if merge:
+        out = out.union(far.filter(F.col("d") <= AROUND).select(F.xxhash64("pivot", F.lit(-3)).alias("region"), *mutual)).distinct()
+    return out
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` plus the component of the point and of the home."""
+    of_pid, of_home = (roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"{c}_root")) for c in ("pid", "home"))
+    joined = rows.join(of_pid, F.col("pid") == F.col("_pid"), "left").join(of_home, F.col("home") == F.col("_home"), "left")
+    return joined.select(*rows.columns, F.coalesce("pid_root", "pid").alias("root"), F.coalesce("home_root", "home").alias("home_root"))
+
+
+def next_regions(members: DataFrame, pivots: DataFrame, found: DataFrame, roots: DataFrame, percent: int, merge: bool) -> DataFrame:
+    """The members of the next round."""
+    r = 1 - percent / 100 + 1e-9
+    left = members.join(pivots, (F.col("region") == F.col("at")) & (F.col("pid") == F.col("pivot")), "left_anti")
+    if merge:                                           # measured by pivot, not by region
+        told = found.select(F.col("pid").alias("x"), F.col("at").alias("y"), "pivot", "both", "either")
+        named = left.join(pivots.select("at", F.col("pivot").alias("of")), F.col("region") == F.col("at"))
+        measured = named.join(told, (F.col("pid") == F.col("x")) & (F.col("of") == F.col("y")))
+    else:
+        told = found.select(F.col("pid").alias("x"), F.col("at").alias("y"), "pivot", "both", "either")
+        measured = left.filter("home is null").join(told, (F.col("pid") == F.col("x")) & (F.col("region") == F.col("y")))
+    placed = with_roots(voronoi(measured, percent, merge), roots).filter("home is null or own or root <> home_root")
+    visitor = ~F.col("own")
+    sums = placed.groupBy(F.col("region").alias("at")).agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.when(F.col("own"), 1)).alias("n_own"),
+        F.count(F.when(visitor, 1)).alias("n_visitors"), F.min(F.when(visitor, F.col("d"))).alias("nearest")).filter("low < high")
+    first = F.when(F.col("own") == (F.col("n_own") <= F.col("n_visitors")), 0).otherwise(1)
+    new = (placed.join(sums, F.col("region") == F.col("at")).filter(F.col("home").isNull() | visitor | (F.col("d") >= F.col("nearest") - r))
+           .select("region", "pid", "n", "rank", "home", "own", F.when(F.col("home").isNull(), 0).otherwise(first).alias("turn")))
+    old = with_roots(left.filter("home is not null"), roots).filter("own or root <> home_root").select(*members.columns)
+    return new.union(old)
 
 
 def links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all points that a link joins to another, by rounds of pivots."""
-    spark, members, edges, k = regions.sparkSession, staged(regions, "join-regions"), None, 0
+    spark, members, k = regions.sparkSession, regions, 0
     roots = spark.createDataFrame([], "node long, root long")
     for turn in range(MAX_ROUNDS):
         if members.isEmpty():
             return roots
         k = PIVOTS[turn] if turn < len(PIVOTS) else 4 * k
         pivots = staged(region_pivots(members, k), "join-pivots")
-        is_pivot = (F.col("region") == F.col("at")) & (F.col("pid") == F.col("pivot"))
-        met = members.join(pivots, F.col("region") == F.col("at")).filter("pid <> pivot").select("region", "pid", "n", "pivot")
-        found = staged(distances(met.select("pid", "n", "pivot").distinct(), sets), "join-distances")
+        met = members.join(pivots, F.col("region") == F.col("at"))
+        if turn == 0:                                   # one pivot a region: regions with the same one measure together
+            asked = met.select(F.col("pivot").alias("at"), "pid", "n", (F.col("pid") == F.col("pivot")).alias("is_pivot")).distinct()
+        else:
+            points = members.filter("home is null or turn = 1").select(F.col("region").alias("at"), "pid", "n", F.lit(False).alias("is_pivot"))
+            asked = points.union(met.filter("pid = pivot").select("at", "pid", "n", F.lit(True).alias("is_pivot")))
+        found = staged(distances(asked, sets, percent), "join-distances")
         new = found.filter(is_link(percent)).select(F.col("pid").alias("a"), F.col("pivot").alias("b"))
-        edges = new if edges is None else edges.union(new)
-        roots = staged(connected_components(edges), "join-roots")
-        left = members.join(pivots, is_pivot, "left_anti").join(pivots, F.col("region") == F.col("at")).select("region", "pid", "n", "pivot")
-        told = found.select(F.col("pid").alias("x"), F.col("pivot").alias("y"), "both", "either")
-        measured = left.join(told, (F.col("pid") == F.col("x")) & (F.col("pivot") == F.col("y")))
-        members = staged(next_regions(measured, roots, percent), "join-regions")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))            # stars of the links so far
+        roots = staged(connected_components(known.union(new)), "join-roots")
+        members = once_each(next_regions(members, pivots, found, roots, percent, turn == 0), "join-regions")
     raise RuntimeError(f"regions did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -380,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                .applyInArrow(count_codes, "chunk long, bucket int, a binary, b binary, c binary, d binary, e binary, head boolean"))
     cells = replies.groupBy("chunk").applyInArrow(rarest_cells(min_percent), "k1 long, k2 long, n long, cells array<long>")
     points = staged(cells.dropDuplicates(["k1", "k2"]).withColumn("pid", F.monotonically_increasing_id()), "join-points")
-    regions = staged(top_regions(points), "join-top")
+    regions = top_regions(points)
     live = points.join(regions.select(F.col("pid").alias("live")).distinct(), F.col("pid") == F.col("live"), "left_semi")
     sets = staged(point_sets(texts, doc_rows, live, shingle_words), "join-sets")
     roots = links(regions, sets, min_percent)

@@ -15,7 +15,7 @@ from oracle_compare import compare, duck_connect
 BRUTE_FORCE = {
     "op1_substring_dedup": "test_passages", "op2_warc": "test_operators", "op3_benchmark_decontamination": "test_operators",
     "op5_lm_scoring": "test_operators", "op6_simhash_near_dedup": "test_operators", "op7_language_id": "test_operators",
-    "op12_embedding_whitening": "test_whitening",
+    "op12_embedding_whitening": "test_whitening", "op13_ngram_jaccard_join": "test_jaccard_join",
 }
 
 
