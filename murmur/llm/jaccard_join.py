@@ -48,7 +48,7 @@ from murmur.llm.passages import shingle_hashes, word_hashes
 SHINGLE_WORDS = 5
 MIN_PERCENT = 80
 AROUND = 0.6                    # points of the first round's regions at most this far from one pivot are one region
-PIVOTS = (1, 8, 32)             # pivots a region, round by round; then four times as many each round
+PIVOTS = (1, 16, 256)           # pivots a region, round by round; then 16 times as many each round
 CHUNK_CODES = 1_500_000         # shingles a task sends together
 CHUNK_DOCS = 60_000
 CODES_PER_BUCKET = 1_000_000
@@ -243,6 +243,11 @@ def rarest_cells(percent: int):
         place = np.arange(len(docs)) - (np.cumsum(shared) - shared)[docs]
         take = place < np.minimum(shared, np.maximum(lost + 2 - alone, 0))[docs]
         cells, docs = cells[take], docs[take]
+        order = np.lexsort((cells, docs))
+        cells, docs = cells[order], docs[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (cells[1:] != cells[:-1]) | (docs[1:] != docs[:-1])
+        cells, docs = cells[new], docs[new]
         held, count = np.unique(docs, return_counts=True)
         offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
         return pa.table({"k1": signed(keys[held, 0]), "k2": signed(keys[held, 1]), "n": pa.array(n[held], pa.int64()),
@@ -269,8 +274,7 @@ def once_each(members: DataFrame, name: str) -> DataFrame:
 
 def top_regions(points: DataFrame) -> DataFrame:
     """The regions of the cells."""
-    cells = F.array_distinct("cells")
-    return once_each(points.select(F.explode(cells).alias("region"), "pid", "n", (-F.size(cells)).alias("rank"),
+    return once_each(points.select(F.explode("cells").alias("region"), "pid", "n", (-F.size("cells")).alias("rank"),
                                    F.lit(None).cast("long").alias("home"), F.lit(True).alias("own"), F.lit(0).alias("turn")), "join-top")
 
 
@@ -279,8 +283,10 @@ def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(at, pid, pivot, both, either): exact sizes of intersection and union of points and pivots that meet.
 
     ``asked``: (at, pid, n, is_pivot); all points and pivots with equal ``at``
-    meet.  Returned are the pairs at most twice the link distance apart and
-    each point's nearest pivots.  Points and pivots are dealt over blocks of a
+    meet.  Returned are each point's nearest pivots and the pairs that are near
+    enough to matter: at most the link distance beyond the farthest point that
+    is linked to the pivot and nearest to it (no such point: links only; points
+    dealt over several blocks: at most twice the link distance).  Points and pivots are dealt over blocks of a
     bounded number of shingles, and each block of points meets each of pivots.
     """
     sizes = asked.groupBy(F.col("at").alias("of")).agg(
@@ -292,6 +298,8 @@ def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
              .withColumn("x", F.explode(F.when(F.col("is_pivot"), every("point_blocks")).otherwise(share("point_blocks"))))
              .withColumn("y", F.explode(F.when(F.col("is_pivot"), share("pivot_blocks")).otherwise(every("pivot_blocks")))))
 
+    r = 1 - percent / 100 + 1e-9
+
     def measure(group: pa.Table) -> pa.Table:
         pid, is_pivot = group.column("pid").to_numpy(), group.column("is_pivot").to_numpy(zero_copy_only=False)
         values = _arrays(group, "set", np.uint64)
@@ -301,27 +309,38 @@ def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if len(points) and len(pivots):
             words, number = np.unique(np.concatenate([values[k] for k in points]), return_inverse=True)
             starts, held = np.cumsum(size) - size, np.zeros(len(words), bool)
-            nearest, best = np.full(len(points), 2.0), np.zeros((4, len(points)), np.int64)
-            for k in pivots:
+            whole, nearest, own = bool(group.column("whole")[0].as_py()), np.full(len(points), 2.0), np.zeros(len(points), np.int64)
+            found = []
+            for k in sorted(pivots, key=lambda k: pid[k]):
                 at = np.searchsorted(words, values[k])
                 at = at[words[np.minimum(at, len(words) - 1)] == values[k]]
                 held[at] = True
                 both = np.add.reduceat(held[number], starts, dtype=np.int64)
                 held[at] = False
-                either = size + len(values[k]) - both
-                d = np.where(pid[points] == pid[k], 2.0, 1 - both / either)
-                rows = np.stack([pid[points], np.full(len(points), pid[k]), both, either])
-                closer = (d < nearest) | ((d == nearest) & (d < 2) & (pid[k] < best[1]))
-                nearest, best = np.where(closer, d, nearest), np.where(closer, rows, best)
-                out.append(rows[:, d <= 2 * (1 - percent / 100) + 1e-9])
-            out.append(best[:, (nearest > 2 * (1 - percent / 100) + 1e-9) & (nearest < 2)])
+                d = np.where(pid[points] == pid[k], 2.0, 1 - both / (size + len(values[k]) - both))
+                closer = d < nearest
+                nearest, own = np.where(closer, d, nearest), np.where(closer, k, own)
+                some = np.flatnonzero(d <= 2 * r)
+                found.append((k, some, both[some], d[some]))
+                last = both if not found[:-1] else np.where(closer, both, last)
+            linked = nearest <= r
+            for k, some, both, d in found:
+                mine = linked[some] & (own[some] == k)
+                reach = max(r, d[mine].max(initial=-1.0) + r) if whole else 2 * r
+                keep = (d <= reach) & (own[some] != k)
+                some, both = some[keep], both[keep]
+                out.append(np.stack([pid[points[some]], np.full(len(some), pid[k]), both, size[some] + len(values[k]) - both]))
+            some = np.flatnonzero(nearest < 2)
+            lengths = np.array([len(v) for v in values], np.int64)
+            out.append(np.stack([pid[points[some]], pid[own[some]], last[some], size[some] + lengths[own[some]] - last[some]]))
         rows = np.concatenate(out, axis=1)
         return pa.table({"at": pa.array(np.full(rows.shape[1], group.column("at")[0].as_py(), np.int64)),
                          **{c: pa.array(v) for c, v in zip(("pid", "pivot", "both", "either"), rows, strict=True)}})
 
-    fetched = dealt.select("at", "x", "y", "pid", "is_pivot").join(
+    whole = (F.col("point_blocks") == 1).alias("whole")
+    fetched = dealt.select("at", "x", "y", "pid", "is_pivot", whole).join(
         sets.select(F.col("pid").alias("set_of"), "set"), F.col("pid") == F.col("set_of"))
-    return fetched.select("at", "x", "y", "pid", "is_pivot", "set").groupBy("at", "x", "y").applyInArrow(
+    return fetched.select("at", "x", "y", "pid", "is_pivot", "whole", "set").groupBy("at", "x", "y").applyInArrow(
         measure, "at long, pid long, pivot long, both long, either long")
 
 
@@ -354,6 +373,7 @@ def voronoi(measured: DataFrame, percent: int, merge: bool) -> DataFrame:
     inside = seen.filter(F.col("d") <= 2 * r).select(
         F.xxhash64("pivot", *at).alias("region"), "pid", "n", "rank", F.col("pivot").alias("home"),
         ((F.col("near.pivot") == F.col("pivot")) & (F.col("d") <= r)).alias("own"), "d")
+    inside = inside.join(inside.filter("own").select(F.col("region").alias("held")).distinct(), F.col("region") == F.col("held"), "left_semi")
     mutual = ["pid", "n", "rank", F.lit(None).cast("long").alias("home"), F.lit(True).alias("own"), F.lit(0.0).alias("d")]
     far = seen.filter((F.col("near.d") > r) & (F.col("near.pivot") == F.col("pivot")))
     beyond = far.filter(F.col("d") > AROUND - r) if merge else far
@@ -400,7 +420,7 @@ def links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for turn in range(MAX_ROUNDS):
         if members.isEmpty():
             return roots
-        k = PIVOTS[turn] if turn < len(PIVOTS) else 4 * k
+        k = PIVOTS[turn] if turn < len(PIVOTS) else 16 * k
         pivots = staged(region_pivots(members, k), "join-pivots")
         met = members.join(pivots, F.col("region") == F.col("at"))
         if turn == 0:                                   # one pivot a region: regions with the same one measure together
