@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.constants import (COLUMN_SYNONYMS, COMPLAINT_COLUMNS, EXPECTED_OPTIONAL_COLUMNS,
-                              REQUIRED_COLUMNS)
-from murmur.functions.dates import parse_date_multi, parse_datetime_multi
+from murmur.constants import (COLUMN_SYNONYMS, COMPLAINT_COLUMNS, DATE_FORMATS, DATETIME_FORMATS,
+                              EXPECTED_OPTIONAL_COLUMNS, REQUIRED_COLUMNS)
+from murmur.functions.dates import parse_columns
 from murmur.schemas import COMPLAINTS_SCHEMA
 
 
@@ -61,23 +61,29 @@ def fill_missing_columns(df: DataFrame, columns: list[str] = EXPECTED_OPTIONAL_C
 
 def parse_dates(df: DataFrame) -> DataFrame:
     """sr_open_dttm / sr_close_dttm by the format list, sr_open_dt by date formats or the open time."""
-    out = df.withColumn("raw_sr_open_dttm", F.col("sr_open_dttm").cast("string")) \
-            .withColumn("sr_open_dttm", parse_datetime_multi(F.col("sr_open_dttm")))
+    parsed = {"sr_open_dttm": ("raw_sr_open_dttm", DATETIME_FORMATS)}
     if "sr_close_dttm" in df.columns:
-        out = out.withColumn("sr_close_dttm", parse_datetime_multi(F.col("sr_close_dttm")))
-    open_date = F.to_date(F.col("sr_open_dttm"))
+        parsed["sr_close_dttm"] = ("sr_close_dttm", DATETIME_FORMATS)
     if "sr_open_dt" in df.columns:
-        out = out.withColumn("sr_open_dt", F.coalesce(parse_date_multi(F.col("sr_open_dt")), open_date))
-    else:
-        out = out.withColumn("sr_open_dt", open_date)
+        parsed["sr_open_dt"] = ("sr_open_dt", DATE_FORMATS)
+    out = parse_columns(df.withColumn("raw_sr_open_dttm", F.col("sr_open_dttm").cast("string")), parsed)
+    open_date = F.to_date("sr_open_dttm")
+    out = out.withColumn("sr_open_dt", F.coalesce(F.to_date("sr_open_dt"), open_date) if "sr_open_dt" in df.columns else open_date)
     if "sr_duration" in out.columns:
         out = out.withColumn("sr_duration", F.col("sr_duration").cast("string"))
     return out
 
 
+def reject_reason() -> Column:
+    """Why a parsed row is not kept; null for rows that are."""
+    return F.when(F.col("sr_open_dttm").isNull(), "open time not parsed").when(
+        F.col("sr_number").isNull() | (F.trim(F.col("sr_number").cast("string")) == ""), "no sr_number")
+
+
 def split_unparsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with an open time, rejected rows with the raw text kept)."""
-    return df.filter(F.col("sr_open_dttm").isNotNull()), df.filter(F.col("sr_open_dttm").isNull())
+    """(rows to keep, all others with the raw text kept and a ``reason``)."""
+    marked = df.withColumn("reason", reject_reason())
+    return df.filter(reject_reason().isNull()), marked.filter(F.col("reason").isNotNull())
 
 
 def project_to_model(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -108,8 +114,7 @@ def coerce_complaints(raw: DataFrame, keep: list[str] | None = None) -> tuple[Da
 def ingest_report(parsed: DataFrame) -> DataFrame:
     """One row from one aggregation over the parsed (not yet filtered) frame:
     rows read, kept (open time parsed and sr_number present), rejected."""
-    kept = (F.col("sr_open_dttm").isNotNull() & F.col("sr_number").isNotNull()
-            & (F.trim(F.col("sr_number")) != ""))
+    kept = reject_reason().isNull()
     return parsed.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(kept).alias("rows_kept")).select(
         "rows_read", "rows_kept", (F.col("rows_read") - F.col("rows_kept")).alias("rows_rejected"),
         F.lit(", ".join(parsed.columns)).alias("columns_found"))

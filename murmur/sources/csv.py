@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.constants import ALTERNATE_SEPARATORS
+from murmur.constants import ALTERNATE_SEPARATORS, COLUMN_SYNONYMS, COMPLAINT_COLUMNS
 
 HEADER_CHUNK = 1 << 16
 FILE_COLUMN, POSITION_COLUMN = "_file", "_position"
@@ -90,8 +90,14 @@ def _plain(uri: str) -> str:
 
 
 def sniff_separator(header: str, default: str = ",") -> str:
-    """``default`` if the header splits on it, else the first alternate that occurs."""
-    return default if default in header else next((s for s in ALTERNATE_SEPARATORS if s in header), default)
+    """The separator that reads most known column names out of the header, then fewest torn quotes, then most columns; ties: ``default``."""
+    known = {*COMPLAINT_COLUMNS, *COLUMN_SYNONYMS, *(n for names in COLUMN_SYNONYMS.values() for n in names)}
+
+    def columns(sep: str) -> tuple[int, int, int]:
+        names = [n.strip().lower().replace(" ", "_") for n in next(csv.reader([header], delimiter=sep), [])]
+        return len(known & set(names)), -sum('"' in n for n in names), len(names)
+
+    return max([default, *ALTERNATE_SEPARATORS], key=columns)
 
 
 def _header(spark: SparkSession, path: str, encoding: str, sep: str | None) -> tuple[str, tuple[str, ...]]:

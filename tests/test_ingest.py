@@ -6,10 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.functions.dates import parse_datetime_multi
-from murmur.operators.ingest import SchemaError, coerce_complaints, normalize_headers
+from murmur.constants import DATE_FORMATS, DATETIME_FORMATS
+from murmur.functions.dates import parse_datetime_multi, pattern_shape, text_shape
+from murmur.operators.ingest import SchemaError, coerce_complaints, ingest_report, normalize_headers, parse_dates
 from murmur.plans.daily import ingest_file
-from murmur.sources.csv import read_complaints_csv
+from murmur.sources.csv import read_complaints_csv, sniff_separator
 from murmur.sources.sinks import delete_date_range, replace_by_date
 
 
@@ -143,3 +144,43 @@ def test_baselines_roundtrip_and_cli_text(spark, tmp_dir):
     main(["text", "--input", src, "--output", os.path.join(tmp_dir, "out"), "--generate-report"])
     out = spark.read.option("header", True).csv(os.path.join(tmp_dir, "out", "analyzed"))
     assert sorted(r["category"] for r in out.collect()) == ["Customer Service", "Product Quality"]
+
+
+@pytest.mark.parametrize("header, sep", [
+    ('sr_number;sr_open_dttm;"region, zone"', ";"), ('sr_number,sr_open_dttm,"a; b; c; d; e"', ","), ("SR Number|Open Date|Zone", "|"),
+    ("sr_number\tsr_open_dttm", "\t"), ("id,complaint_text", ","), ("one", ","), ("", ","), ('x;y;"a,b,c"', ";")])
+def test_separator_of_the_parsed_header(header, sep):
+    assert sniff_separator(header) == sep
+
+
+def test_every_row_is_kept_or_rejected_with_a_reason(spark):
+    opened = "02-01-2026 10:00:00"
+    raw = spark.createDataFrame([(None, opened, "r", "e", "t"), ("  ", opened, "r", "e", "t"), ("A1", "nonsense", "r", "e", "t"),
+                                 (None, None, "r", "e", "t"), ("A2", opened, "r", "e", "t")],
+                                "sr_number string, sr_open_dttm string, region string, exc_id string, sr_type string")
+    kept, rejects, _ = coerce_complaints(raw)
+    assert [r["sr_number"] for r in kept.collect()] == ["A2"]
+    assert sorted((r["sr_number"] or "", r["raw_sr_open_dttm"] or "", r["reason"]) for r in rejects.collect()) == [
+        ("", "", "open time not parsed"), ("", opened, "no sr_number"), ("  ", opened, "no sr_number"),
+        ("A1", "nonsense", "open time not parsed")]
+    report = ingest_report(parse_dates(raw)).first()
+    assert (report["rows_read"], report["rows_kept"], report["rows_rejected"]) == (5, 1, 4)
+
+
+def test_a_text_is_tried_with_the_patterns_of_its_shape(spark):
+    by_shape = {}
+    for p in DATETIME_FORMATS:
+        by_shape.setdefault(pattern_shape(p), []).append(p)
+    assert max(map(len, by_shape.values())) <= 2
+    shapes = spark.createDataFrame([("05-Jan-2026 1:02:03",), ("2026-01-05T10:00:00",), ("1/2/26 3:04:05",), ("001/2/2026 3:04",),
+                                    ("12345",), ("",), (None,)], "s string").select(text_shape(F.col("s"))).collect()
+    assert [r[0] for r in shapes] == ["0-a-4 0:0:0", "4-0-0a0:0:0", "0/0/0 0:0:0", "00/0/4 0:0", "40", "", None]
+
+
+def test_parsed_values_are_computed_once(spark):
+    raw = spark.createDataFrame([("A", "02-01-2026 10:00:00", "x", "02-01-2026", "r", "e", "t")],
+                                "sr_number string, sr_open_dttm string, sr_close_dttm string, sr_open_dt string, region string, exc_id string, sr_type string")
+    kept, _, _ = coerce_complaints(raw)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    patterns = [*DATETIME_FORMATS, *DATETIME_FORMATS, *DATE_FORMATS]         # two-digit years name their value twice more
+    assert plan.count("gettimestamp") == len(patterns) + 2 * sum("yyyy" not in p for p in patterns)
