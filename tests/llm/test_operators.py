@@ -190,6 +190,44 @@ def test_lm_scoring(docs, none):
     assert {r["base_score"] for r in lm.score_texts(docs.limit(3), none).collect()} == {0.0}
 
 
+def test_lm_score_against_a_plain_model(docs):
+    """The filter's scores against levels of exact counts: equal but for the filter's seldom false positives."""
+    train = [t for d, t, *_ in ROWS if d is None or d % 2]
+    uni, bi = Counter(), Counter()
+    for t in train:
+        seq = [b"", *tokens(t), b""]
+        uni.update(seq[1:])
+        bi.update(zip(seq, seq[1:]))
+    total, distinct = sum(uni.values()), len(uni)
+
+    def middle(c, none):                                                 # middle count of the level floor(2 log2 c)
+        if c < 2:
+            return none
+        level = math.floor(2 * math.log2(c) + 1e-9)
+        low, high = (math.ceil(2 ** ((level + k) / 2) - 1e-9) for k in (0, 1))
+        return (low + max(high - 1, low)) / 2
+
+    def plain(text):
+        seq, out = [b"", *tokens(text), b""], 0.0
+        for v, w in zip(seq, seq[1:]):
+            c1, cv = middle(uni[w], 0.5), middle(uni[v], 0.5)
+            p1 = (c1 + 1) / (total + distinct + 1)
+            out += math.log10((min(middle(bi[v, w], 0.0), cv) + lm.PRIOR * p1) / (cv + lm.PRIOR))
+        return out
+
+    training = docs.filter("doc_id is null or doc_id % 2 = 1")
+    rows = lm.score_texts(docs, training, keep=["doc_id", "text"]).collect()
+    off = [abs(r["score"] - plain(r["text"])) / r["n_tokens"] for r in rows]
+    assert sum(x < 1e-9 for x in off) > 0.5 * len(off) and max(off) < 0.1
+
+
+def test_lm_scores_do_not_depend_on_the_filter_s_form(docs, none):
+    training = docs.filter("doc_id is null or doc_id % 2 = 1")
+    whole, large = (sorted(map(tuple, lm.score_texts(docs, training, max_filter_bytes=size).collect()), key=str) for size in (1 << 25, 0))
+    assert whole == large and len(whole) == len(ROWS)
+    assert lm.score_texts(none, docs, max_filter_bytes=0).count() == 0
+
+
 def test_log_frequency_filter(spark):
     rng = np.random.default_rng(2)
     codes, n = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)), rng.integers(2, 5000, 20_000)
@@ -199,8 +237,7 @@ def test_log_frequency_filter(spark):
     want = np.floor(2 * np.log2(n[:len(codes)]) + 1e-9)
     assert (got >= want).all() and (got == want).mean() > 0.97       # never too low, seldom too high
     assert (bloom.levels(rng.integers(2**63, 2**64 - 1, 20_000, dtype=np.uint64)) > 0).mean() < 0.03
-    small = lm.build_filter(table, max_bytes=1 << 17)
-    assert len(small.bits) <= 1 << 17 and small.min_level > bloom.min_level
+    assert len(bloom.bits) * 8 >= 10 * int((want - 1).sum()) and bloom.min_level == lm.MIN_LEVEL
 
 
 def test_decontamination(docs, none, spark):
