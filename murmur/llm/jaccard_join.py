@@ -282,12 +282,14 @@ def top_regions(points: DataFrame) -> DataFrame:
 def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(at, pid, pivot, both, either): exact sizes of intersection and union of points and pivots that meet.
 
-    ``asked``: (at, pid, n, is_pivot); all points and pivots with equal ``at``
-    meet.  Returned are each point's nearest pivots and the pairs that are near
-    enough to matter: at most the link distance beyond the farthest point that
-    is linked to the pivot and nearest to it (no such point: links only; points
-    dealt over several blocks: at most twice the link distance).  Points and pivots are dealt over blocks of a
-    bounded number of shingles, and each block of points meets each of pivots.
+    ``asked``: (at, pid, n, is_pivot, mutual); all points and pivots with equal
+    ``at`` meet.  Points and pivots are dealt over blocks of a bounded number
+    of shingles, and each block of points meets each of pivots.  A block
+    returns links that span its components and, if ``mutual``, each point's
+    nearest pivot and the pairs of different components that are at most the
+    link distance beyond the pivot's farthest own point (of several blocks: at
+    most twice the link distance).  Of one block only, own points of a pivot
+    without such visitors are done and left out.
     """
     sizes = asked.groupBy(F.col("at").alias("of")).agg(
         F.ceil(F.sum(F.when(F.col("is_pivot"), F.col("n"))) / SHINGLES_PER_BLOCK).alias("pivot_blocks"),
@@ -323,24 +325,40 @@ def distances(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 some = np.flatnonzero(d <= 2 * r)
                 found.append((k, some, both[some], d[some]))
                 last = both if not found[:-1] else np.where(closer, both, last)
-            linked = nearest <= r
-            for k, some, both, d in found:
-                mine = linked[some] & (own[some] == k)
-                reach = max(r, d[mine].max(initial=-1.0) + r) if whole else 2 * r
-                keep = (d <= reach) & (own[some] != k)
-                some, both = some[keep], both[keep]
-                out.append(np.stack([pid[points[some]], np.full(len(some), pid[k]), both, size[some] + len(values[k]) - both]))
-            some = np.flatnonzero(nearest < 2)
             lengths = np.array([len(v) for v in values], np.int64)
-            out.append(np.stack([pid[points[some]], pid[own[some]], last[some], size[some] + lengths[own[some]] - last[some]]))
+
+            def emit(at_points: np.ndarray, k, both: np.ndarray) -> None:
+                out.append(np.stack([pid[points[at_points]], np.broadcast_to(pid[k], len(both)), both, size[at_points] + lengths[k] - both]))
+
+            # components of this block: of the links only those that join two are sent
+            node = np.unique(pid, return_inverse=True)[1]
+            component = np.arange(node.max() + 1)
+            for k, some, both, d in found:
+                near = np.flatnonzero(d <= r)
+                joined, first = np.unique(component[node[points[some[near]]]], return_index=True)
+                first = near[first[joined != component[node[k]]]]
+                emit(some[first], k, both[first])
+                joined = np.append(joined, component[node[k]])
+                component[np.isin(component, joined)] = joined.min()
+            if group.column("mutual")[0].as_py():
+                wanted = nearest < 2
+                for k, some, both, d in found:
+                    mine = (own[some] == k) & (d <= r)
+                    reach = d[mine].max() + r if whole and mine.any() else -1.0 if whole else 2 * r
+                    keep = (d <= reach) & (own[some] != k) & (component[node[points[some]]] != component[node[k]])
+                    emit(some[keep], k, both[keep])
+                    if whole and not keep.any():            # no visitor: its own points are done
+                        wanted[some[mine]] = False
+                some = np.flatnonzero(wanted)
+                emit(some, own[some], last[some])
         rows = np.concatenate(out, axis=1)
         return pa.table({"at": pa.array(np.full(rows.shape[1], group.column("at")[0].as_py(), np.int64)),
                          **{c: pa.array(v) for c, v in zip(("pid", "pivot", "both", "either"), rows, strict=True)}})
 
-    whole = (F.col("point_blocks") == 1).alias("whole")
-    fetched = dealt.select("at", "x", "y", "pid", "is_pivot", whole).join(
+    whole = ((F.col("point_blocks") == 1) & (F.col("pivot_blocks") == 1)).alias("whole")
+    fetched = dealt.select("at", "x", "y", "pid", "is_pivot", "mutual", whole).join(
         sets.select(F.col("pid").alias("set_of"), "set"), F.col("pid") == F.col("set_of"))
-    return fetched.select("at", "x", "y", "pid", "is_pivot", "whole", "set").groupBy("at", "x", "y").applyInArrow(
+    return fetched.select("at", "x", "y", "pid", "is_pivot", "mutual", "whole", "set").groupBy("at", "x", "y").applyInArrow(
         measure, "at long, pid long, pivot long, both long, either long")
 
 
@@ -424,10 +442,13 @@ def links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pivots = staged(region_pivots(members, k), "join-pivots")
         met = members.join(pivots, F.col("region") == F.col("at"))
         if turn == 0:                                   # one pivot a region: regions with the same one measure together
-            asked = met.select(F.col("pivot").alias("at"), "pid", "n", (F.col("pid") == F.col("pivot")).alias("is_pivot")).distinct()
+            asked = met.select(F.col("pivot").alias("at"), "pid", "n", (F.col("pid") == F.col("pivot")).alias("is_pivot"),
+                               F.lit(True).alias("mutual")).distinct()
         else:
-            points = members.filter("home is null or turn = 1").select(F.col("region").alias("at"), "pid", "n", F.lit(False).alias("is_pivot"))
-            asked = points.union(met.filter("pid = pivot").select("at", "pid", "n", F.lit(True).alias("is_pivot")))
+            points = members.filter("home is null or turn = 1").select(F.col("region").alias("at"), "pid", "n", F.lit(False).alias("is_pivot"),
+                                                                              F.col("home").isNull().alias("mutual"))
+            asked = points.union(met.filter("pid = pivot").select(
+                "at", "pid", "n", F.lit(True).alias("is_pivot"), F.col("home").isNull().alias("mutual")))
         found = staged(distances(asked, sets, percent), "join-distances")
         new = found.filter(is_link(percent)).select(F.col("pid").alias("a"), F.col("pivot").alias("b"))
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))            # stars of the links so far
