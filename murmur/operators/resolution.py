@@ -9,13 +9,20 @@ d 23:59:59, status other than 'Closed'; a null status is excluded) by age
 slab at d 23:59:59, for Total/All and the three dimensions; 'Within 24 Hours'
 is not reported.
 
-Backfill of ageing never expands a complaint to every day it stays open.  A
-complaint's age grows by 24 h per day, so its slab is a step function of the
-date: each complaint emits at most one date interval per slab (bounded by its
-backlog membership), the intervals become +1/-1 boundary events per
-(dimension, key, slab), and a running sum over the boundary dates gives the
-count, which is then spread over the dates between consecutive boundaries.
-Work is proportional to complaints x 7 slabs plus the output size.
+Backfill of ageing never expands a complaint to every day it stays open, nor
+to its slabs.  A complaint's age grows by 24 h per day, so all that its slabs
+depend on are three day numbers: when its age passes full days, when it is
+first reported and when it leaves the backlog.  Complaints are counted by
+(dimension, key, these three) map-side; only the distinct combinations are
+spread over slabs, as weighted differences (+n where a slab begins, -n where
+it ends) whose running sum is the count, which is then spread over the dates
+between consecutive differences.  With a date range, older days are moved to
+its edge first, so the number of combinations depends on the range and not on
+the history.
+
+``resolved_rows`` is the projection that MTTR needs, keyed by close date: kept
+as a table partitioned by that date (``murmur.plans.incremental``), one day's
+MTTR reads one partition.
 """
 
 from __future__ import annotations
@@ -30,11 +37,7 @@ from murmur.operators.common import DateLike, lit_date, target_filter
 MTTR_COLUMNS = ["date", "dimension", "dimension_key", "avg_mttr_hours", "total_resolved_count"]
 AGING_COLUMNS = ["date", "dimension", "dimension_key", "slab", "count"]
 DAY = 86400
-
-
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, no time-zone conversion."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+OLDEST_DAYS = max(hours for _, hours in AGE_SLABS) // 24       # every slab begins at full days
 
 
 def _dim_pairs(include_total: bool = True) -> Column:
@@ -49,16 +52,31 @@ def _valid_key() -> Column:
     return F.col("dimension_key").isNotNull() & (F.col("dimension_key") != "")
 
 
-def mttr(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
-         min_seconds: int = MTTR_MIN_SECONDS) -> DataFrame:
-    """MTTR for every close date in [start, end] (backfill form)."""
-    closed = complaints.filter(F.col("sr_close_dttm").isNotNull()) \
-        .withColumn("date", F.to_date("sr_close_dttm")) \
-        .filter(target_filter("date", start, end))
-    secs = F.timestamp_diff("SECOND", F.col("sr_open_dttm"), F.col("sr_close_dttm"))
-    rows = closed.select("date", secs.alias("secs"), "region", "city", "exc_id") \
-        .filter(F.col("secs") >= min_seconds)
-    long = rows.select("date", "secs", F.inline(_dim_pairs())).filter(_valid_key())
+def _day_start(day: Column) -> Column:
+    return day.cast("date").cast("timestamp_ntz")
+
+
+def resolved_rows(complaints: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
+    """(sr_number, close_dt, secs, region, city, exc_id) of the complaints closed in [start, end].
+
+    The bounds are predicates on ``sr_close_dttm`` itself, so they reach the scan.
+    """
+    close = F.col("sr_close_dttm")
+    closed = complaints.filter(close.isNotNull())
+    if start is not None:
+        closed = closed.filter(close >= _day_start(lit_date(start)))
+    if end is not None:
+        closed = closed.filter(close < _day_start(F.date_add(lit_date(end), 1)))
+    return closed.select("sr_number", F.to_date(close).alias("close_dt"),
+                         F.timestamp_diff("SECOND", F.col("sr_open_dttm"), close).alias("secs"),
+                         "region", "city", "exc_id")
+
+
+def mttr_from_resolved(resolved: DataFrame, start: DateLike = None, end: DateLike = None,
+                       min_seconds: int = MTTR_MIN_SECONDS) -> DataFrame:
+    """MTTR for every close date in [start, end] from (stored) ``resolved_rows``."""
+    rows = resolved.filter(target_filter("close_dt", start, end) & (F.col("secs") >= min_seconds))
+    long = rows.select(F.col("close_dt").alias("date"), "secs", F.inline(_dim_pairs())).filter(_valid_key())
     g = long.groupBy("date", "dimension", "dimension_key").agg(
         F.sum("secs").alias("_s"), F.count(F.lit(1)).alias("total_resolved_count"))
     return g.select("date", "dimension", "dimension_key",
@@ -66,6 +84,13 @@ def mttr(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
                     "total_resolved_count")
 
 
+def mttr(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
+         min_seconds: int = MTTR_MIN_SECONDS) -> DataFrame:
+    """MTTR for every close date in [start, end] (backfill form)."""
+    return mttr_from_resolved(resolved_rows(complaints.withColumn("sr_number", F.lit(None)), start, end),
+                              None, None, min_seconds)
+
+
 def age_slab(age_hours: Column) -> Column:
     """Slab label of an age in hours (strict >, largest first): a native CASE, no UDF."""
     out = None
@@ -97,55 +122,77 @@ def aging(complaints: DataFrame, date: DateLike) -> DataFrame:
         .select(lit_date(date).alias("date"), "dimension", "dimension_key", "slab", "count")
 
 
-def _floor_div(num: Column, den: int) -> Column:
-    return F.floor(num / F.lit(float(den))).cast("bigint")
+def _day_number(ts: Column, last_second: int) -> Column:
+    """Days since 1970 of ``ts``; the next day's when its time of day is past ``last_second``."""
+    day = F.to_date(ts)
+    limit = F.timestamp_add("SECOND", F.lit(last_second), _day_start(day))
+    return F.unix_date(day) + F.when(ts > limit, 1).otherwise(0)
 
 
-def aging_backfill(complaints: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
+def backlog_counts(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
+                   weight: Column | None = None) -> DataFrame:
+    """(dimension, dimension_key, zero_day, first_day, exit_day, n): the backlog by the days that decide its slabs.
+
+    At the end of day D a complaint is more than ``D - zero_day`` times 24 h
+    old (and not more than a day older); it is reported from ``first_day`` on
+    and gone from ``exit_day`` on (null: never).  ``weight`` counts a row other
+    than once.
+    """
+    close = F.col("sr_close_dttm")
+    rows = complaints.filter((F.col("sr_status") != "Closed") & F.col("sr_open_dttm").isNotNull()
+                             & F.col("sr_open_dt").isNotNull())
+    zero = _day_number(F.col("sr_open_dttm"), DAY - 2)
+    first = F.greatest(F.unix_date("sr_open_dt"), zero + 1)
+    gone = F.when(close.isNotNull(), _day_number(close, DAY - 1))
+    if start is not None:
+        lo = F.unix_date(lit_date(start))
+        day_end = F.timestamp_add("SECOND", F.lit(DAY - 1), _day_start(lit_date(start)))
+        rows = rows.filter(close.isNull() | (close > day_end))
+        zero, first = F.greatest(zero, lo - OLDEST_DAYS), F.greatest(first, lo)
+    if end is not None:
+        hi = F.unix_date(lit_date(end))
+        rows = rows.filter(F.col("sr_open_dt") <= lit_date(end))
+        gone = F.least(gone, hi + 1)
+    days = rows.select(zero.alias("zero_day"), first.alias("first_day"), gone.alias("exit_day"),
+                       (F.lit(1) if weight is None else weight).cast("bigint").alias("n"), *RESOLUTION_DIMENSIONS.values())
+    days = days.filter(F.col("exit_day").isNull() | (F.col("exit_day") > F.col("first_day")))
+    if end is not None:
+        days = days.filter(F.col("first_day") <= hi)
+    long = days.select(F.inline(_dim_pairs()), "zero_day", "first_day", "exit_day", "n").filter(_valid_key())
+    return long.groupBy("dimension", "dimension_key", "zero_day", "first_day", "exit_day").agg(F.sum("n").alias("n"))
+
+
+def aging_backfill(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
+                   weight: Column | None = None) -> DataFrame:
     """Ageing counts for every calendar date in [start, end].
 
-    Default range: the first to the last open date of the data (scalar
-    subqueries, no driver round trip).
+    Default range: the first to the last open date of the data (a scalar
+    subquery, no driver round trip).  With a ``weight`` column of +1 and -1
+    (rows after and before a change) the result is the change of the counts.
     """
-    lo = complaints.agg(F.min("sr_open_dt")).scalar() if start is None else lit_date(start)
-    hi = complaints.agg(F.max("sr_open_dt")).scalar() if end is None else lit_date(end)
-    lo_n, hi_n = F.unix_date(lo).cast("bigint"), F.unix_date(hi).cast("bigint")
-    b = complaints.filter((F.col("sr_status") != "Closed") & F.col("sr_open_dttm").isNotNull()
-                          & F.col("sr_open_dt").isNotNull())
-    o = epoch_seconds(F.col("sr_open_dttm"))
-    first_day = F.unix_date("sr_open_dt").cast("bigint")
-    # first day number on which the complaint is no longer in the backlog:
-    # close <= D * 86400 + 86399  <=>  D >= ceil((close - 86399) / 86400)
-    exit_day = F.when(F.col("sr_close_dttm").isNull(), F.lit(None).cast("bigint")) \
-        .otherwise(-_floor_div(-(epoch_seconds(F.col("sr_close_dttm")) - (DAY - 1)), DAY))
-    # age at day D (seconds) = D * 86400 + 86399 - o; slab (L, U] in hours
-    bounds = [h for _, h in AGE_SLABS][::-1]            # 24, 48, 72, 144, 240, 720, 1440
-    labels = [lab for lab, _ in AGE_SLABS][::-1]
+    hi = F.unix_date(complaints.agg(F.max("sr_open_dt")).scalar() if end is None else lit_date(end))
+    counts = backlog_counts(complaints, start, end, weight)
+    bounds = [(label, hours // 24) for label, hours in AGE_SLABS][::-1]
     pieces = []
-    for i, (label, low) in enumerate(zip(labels, bounds)):
-        up = bounds[i + 1] if i + 1 < len(bounds) else None
-        d_lo = _floor_div(F.lit(low * 3600) - (DAY - 1) + o, DAY) + 1
-        d_hi = _floor_div(F.lit(up * 3600) - (DAY - 1) + o, DAY) if up is not None else F.lit(None).cast("bigint")
-        pieces.append(F.struct(F.lit(label).alias("slab"), d_lo.alias("d_lo"), d_hi.alias("d_hi")))
-    iv = b.select(first_day.alias("_d0"), exit_day.alias("_dx"), "region", "city", "exc_id",
-                  F.inline(F.array(*pieces)))
-    start_d = F.greatest(F.col("d_lo"), F.col("_d0"), lo_n)
-    end_d = F.least(F.coalesce(F.col("d_hi"), hi_n), F.coalesce(F.col("_dx") - 1, hi_n), hi_n)
-    iv = iv.select("region", "city", "exc_id", "slab", start_d.alias("s"), end_d.alias("e")) \
-        .filter(F.col("s") <= F.col("e"))
-    keyed = iv.select("slab", "s", "e", F.inline(_dim_pairs())).filter(_valid_key())
-    events = keyed.select("dimension", "dimension_key", "slab",
-                          F.inline(F.array(F.struct(F.col("s").alias("d"), F.lit(1).alias("delta")),
-                                           F.struct((F.col("e") + 1).alias("d"), F.lit(-1).alias("delta")))))
-    deltas = events.groupBy("dimension", "dimension_key", "slab", "d").agg(F.sum("delta").alias("delta"))
+    for i, (label, low) in enumerate(bounds):
+        begins = F.greatest(F.col("zero_day") + low, F.col("first_day"))
+        ends = F.least(F.col("zero_day") + bounds[i + 1][1], F.col("exit_day")) if i + 1 < len(bounds) else F.col("exit_day")
+        pieces.append(F.struct(F.lit(label).alias("slab"), begins.alias("s"), ends.alias("e")))
+    spans = counts.select("dimension", "dimension_key", "n", F.inline(F.array(*pieces))) \
+        .filter(F.col("e").isNull() | (F.col("s") < F.col("e")))
+    events = spans.select("dimension", "dimension_key", "slab",
+                          F.inline(F.array(F.struct(F.col("s").alias("d"), F.col("n").alias("delta")),
+                                           F.struct(F.col("e").alias("d"), (-F.col("n")).alias("delta")))))
+    deltas = events.filter(F.col("d").isNotNull()).groupBy("dimension", "dimension_key", "slab", "d") \
+        .agg(F.sum("delta").alias("delta")).filter(F.col("delta") != 0)
     w = Window.partitionBy("dimension", "dimension_key", "slab").orderBy("d")
     seg = deltas.select("*", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("count"),
                         F.lead("d").over(w).alias("next_d")) \
-        .filter(F.col("count") > 0)
+        .filter((F.col("count") != 0) & (F.col("d") <= hi))
     days = seg.select("dimension", "dimension_key", "slab", "count",
-                      F.explode(F.sequence(F.col("d"), F.col("next_d") - 1)).alias("dn"))
-    return days.select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("dn").cast("int")).alias("date"),
-                       "dimension", "dimension_key", "slab", F.col("count").cast("bigint").alias("count"))
+                      F.explode(F.sequence(F.col("d"), F.least(F.col("next_d") - 1, hi))).alias("dn"))
+    return days.select(F.date_from_unix_date("dn").alias("date"), "dimension", "dimension_key", "slab",
+                       F.col("count").cast("bigint").alias("count"))
 
 
 def resolution_kpis(mttr_df: DataFrame, aging_df: DataFrame) -> DataFrame:
