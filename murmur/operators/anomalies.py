@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.constants import Z_CRITICAL, Z_EPSILON, Z_WARNING
@@ -64,21 +64,42 @@ def daily_anomalies(complaints: DataFrame, start: DateLike = None, end: DateLike
     return anomalies_from_counts(counts, start, end, warning, critical, window, drop_null_keys)
 
 
+def asof_baselines(current: DataFrame, baselines: DataFrame, window: int = 30,
+                   max_age_days: int | None = None) -> DataFrame:
+    """``current`` (dimension, dimension_key, day, n) plus ``as_of``, ``avg`` and ``std`` of the
+    latest stored baseline of the key that is not after the day (null: none).
+
+    One shuffle by (dimension, key) for both sides and a running ``last``; a
+    key's partition holds its dates alone.  With ``max_age_days`` older
+    baselines do not count.  A null key has no baseline.
+    """
+    held = baselines.select("dimension", "dimension_key", F.col("as_of").alias("day"), F.lit(None).cast("bigint").alias("n"),
+                            F.lit(0).alias("_side"), F.struct("as_of", F.col(f"avg_{window}d").alias("avg"),
+                                                              F.col(f"std_{window}d").alias("std")).alias("_held"))
+    asked = current.select("dimension", "dimension_key", "day", F.col("n").cast("bigint").alias("n"), F.lit(1).alias("_side"),
+                           F.lit(None).cast(held.schema["_held"].dataType).alias("_held"))
+    w = Window.partitionBy("dimension", "dimension_key").orderBy("day", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("dimension_key").isNotNull()
+    if max_age_days is not None:
+        known = known & (F.datediff("day", F.col("_last.as_of")) <= max_age_days)
+    rows = asked.unionByName(held.filter(F.col("dimension_key").isNotNull())) \
+        .withColumn("_last", F.last("_held", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    return rows.select("dimension", "dimension_key", "day", "n",
+                       *[F.when(known, F.col(f"_last.{c}")).alias(c) for c in ("as_of", "avg", "std")])
+
+
 def anomalies_from_baselines(current: DataFrame, baselines: DataFrame,
                              warning: float = Z_WARNING, critical: float = Z_CRITICAL,
-                             window: int = 30) -> DataFrame:
-    """Anomalies from stored baselines: ``current`` (dimension, dimension_key, day, n)
-    left-joined to ``baselines`` on (dimension, key, as_of = day); a missing
+                             window: int = 30, max_age_days: int | None = None) -> DataFrame:
+    """Anomalies from stored baselines: each count of ``current`` (dimension, dimension_key,
+    day, n) against the latest baseline of its key not after the day; a missing
     baseline (or a null key) counts as avg = std = 0."""
-    b = baselines.select("dimension", "dimension_key", F.col("as_of").alias("day"),
-                         F.col(f"avg_{window}d").alias("_avg"), F.col(f"std_{window}d").alias("_std"))
-    j = current.join(b, ["dimension", "dimension_key", "day"], "left")
-    scored = j.select(
+    scored = asof_baselines(current, baselines, window, max_age_days).select(
         F.col("day").alias("anomaly_date"), "dimension",
         F.coalesce(F.col("dimension_key"), F.lit("None")).alias("dimension_key"),
         F.col("n").cast("double").alias("metric_value"),
-        F.coalesce(F.col("_avg"), F.lit(0.0)).alias("baseline_avg"),
-        F.coalesce(F.col("_std"), F.lit(0.0)).alias("baseline_std"),
+        F.coalesce(F.col("avg"), F.lit(0.0)).alias("baseline_avg"),
+        F.coalesce(F.col("std"), F.lit(0.0)).alias("baseline_std"),
     ).withColumn("z_score", z_score(F.col("metric_value"), F.col("baseline_avg"), F.col("baseline_std")))
     return (scored.filter(F.col("z_score") > warning)
             .withColumn("severity", severity_of(F.col("z_score"), warning, critical))

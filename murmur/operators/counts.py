@@ -53,3 +53,10 @@ def daily_counts(complaints: DataFrame, dimensions: Iterable[str] | dict | None
 def current_counts(counts: DataFrame, target_date: DateLike) -> DataFrame:
     """Counts per key on one target date."""
     return counts.filter(F.col("day") == F.lit(str(target_date)).cast("date"))
+
+
+def count_changes(images: DataFrame, weight: str, dimensions: Iterable[str] | dict | None = None) -> DataFrame:
+    """Change of ``daily_counts`` (with totals) by rows weighted +1 (after) and -1 (before)."""
+    return (long_form(images, dimensions, include_total=True, keep=[weight])
+            .groupBy("dimension", "dimension_key", "day").agg(F.sum(weight).cast("bigint").alias("n"))
+            .filter(F.col("n") != 0))

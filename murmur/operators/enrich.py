@@ -101,13 +101,14 @@ def correlation_context(correlations: DataFrame) -> DataFrame:
                              F.array_join(F.transform("_items", lambda s: s["txt"]), ", ")).alias("correlation_text"))
 
 
-def daily_rca_counts(complaints: DataFrame, dimensions: dict | None = None) -> DataFrame:
-    """(day, dimension, dimension_key, rca, n): rows per key and root cause, one pass."""
+def daily_rca_counts(complaints: DataFrame, dimensions: dict | None = None, weight: Column | None = None) -> DataFrame:
+    """(day, dimension, dimension_key, rca, n): rows (or their ``weight``) per key and root cause, one pass."""
     dims = RCA_DIMENSIONS if dimensions is None else dimensions
     pairs = F.array(*[F.struct(F.lit(nm).alias("dimension"), F.col(col).cast("string").alias("dimension_key"))
                       for nm, col in dims.items()])
-    long = complaints.select(F.col("sr_open_dt").alias("day"), "rca", F.inline(pairs))
-    return long.groupBy("day", "dimension", "dimension_key", "rca").agg(F.count(F.lit(1)).alias("n"))
+    n = (F.lit(1) if weight is None else weight).cast("bigint")
+    long = complaints.select(F.col("sr_open_dt").alias("day"), "rca", n.alias("n"), F.inline(pairs))
+    return long.groupBy("day", "dimension", "dimension_key", "rca").agg(F.sum("n").alias("n"))
 
 
 def top_root_causes(anomalies: DataFrame, rca_counts: DataFrame, k: int = ROOT_CAUSES_KEPT) -> DataFrame:

@@ -36,6 +36,7 @@ from murmur.operators.common import DateLike, lit_date, target_filter
 
 MTTR_COLUMNS = ["date", "dimension", "dimension_key", "avg_mttr_hours", "total_resolved_count"]
 AGING_COLUMNS = ["date", "dimension", "dimension_key", "slab", "count"]
+BACKLOG_KEYS = ["dimension", "dimension_key", "zero_day", "first_day", "exit_day"]
 DAY = 86400
 OLDEST_DAYS = max(hours for _, hours in AGE_SLABS) // 24       # every slab begins at full days
 
@@ -56,7 +57,7 @@ def _day_start(day: Column) -> Column:
     return day.cast("date").cast("timestamp_ntz")
 
 
-def resolved_rows(complaints: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
+def resolved_rows(complaints: DataFrame, start: DateLike = None, end: DateLike = None, keep: tuple = ()) -> DataFrame:
     """(sr_number, close_dt, secs, region, city, exc_id) of the complaints closed in [start, end].
 
     The bounds are predicates on ``sr_close_dttm`` itself, so they reach the scan.
@@ -69,7 +70,7 @@ def resolved_rows(complaints: DataFrame, start: DateLike = None, end: DateLike =
         closed = closed.filter(close < _day_start(F.date_add(lit_date(end), 1)))
     return closed.select("sr_number", F.to_date(close).alias("close_dt"),
                          F.timestamp_diff("SECOND", F.col("sr_open_dttm"), close).alias("secs"),
-                         "region", "city", "exc_id")
+                         "region", "city", "exc_id", *keep)
 
 
 def mttr_from_resolved(resolved: DataFrame, start: DateLike = None, end: DateLike = None,
@@ -129,6 +130,16 @@ def _day_number(ts: Column, last_second: int) -> Column:
     return F.unix_date(day) + F.when(ts > limit, 1).otherwise(0)
 
 
+def _clip(days: DataFrame, lo: Column | None, hi: Column | None) -> DataFrame:
+    """Day combinations that matter for dates in [lo, hi], older and later days moved to its edges."""
+    if lo is not None:
+        days = days.withColumns({"zero_day": F.greatest(F.col("zero_day"), lo - OLDEST_DAYS),
+                                 "first_day": F.greatest(F.col("first_day"), lo)})
+    if hi is not None:
+        days = days.filter(F.col("first_day") <= hi).withColumn("exit_day", F.least(F.col("exit_day"), hi + 1))
+    return days.filter(F.col("exit_day").isNull() | (F.col("exit_day") > F.col("first_day")))
+
+
 def backlog_counts(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
                    weight: Column | None = None) -> DataFrame:
     """(dimension, dimension_key, zero_day, first_day, exit_day, n): the backlog by the days that decide its slabs.
@@ -141,37 +152,25 @@ def backlog_counts(complaints: DataFrame, start: DateLike = None, end: DateLike
     close = F.col("sr_close_dttm")
     rows = complaints.filter((F.col("sr_status") != "Closed") & F.col("sr_open_dttm").isNotNull()
                              & F.col("sr_open_dt").isNotNull())
-    zero = _day_number(F.col("sr_open_dttm"), DAY - 2)
-    first = F.greatest(F.unix_date("sr_open_dt"), zero + 1)
-    gone = F.when(close.isNotNull(), _day_number(close, DAY - 1))
     if start is not None:
-        lo = F.unix_date(lit_date(start))
         day_end = F.timestamp_add("SECOND", F.lit(DAY - 1), _day_start(lit_date(start)))
         rows = rows.filter(close.isNull() | (close > day_end))
-        zero, first = F.greatest(zero, lo - OLDEST_DAYS), F.greatest(first, lo)
     if end is not None:
-        hi = F.unix_date(lit_date(end))
         rows = rows.filter(F.col("sr_open_dt") <= lit_date(end))
-        gone = F.least(gone, hi + 1)
-    days = rows.select(zero.alias("zero_day"), first.alias("first_day"), gone.alias("exit_day"),
+    zero = _day_number(F.col("sr_open_dttm"), DAY - 2)
+    days = rows.select(zero.alias("zero_day"), F.greatest(F.unix_date("sr_open_dt"), zero + 1).alias("first_day"),
+                       F.when(close.isNotNull(), _day_number(close, DAY - 1)).alias("exit_day"),
                        (F.lit(1) if weight is None else weight).cast("bigint").alias("n"), *RESOLUTION_DIMENSIONS.values())
-    days = days.filter(F.col("exit_day").isNull() | (F.col("exit_day") > F.col("first_day")))
-    if end is not None:
-        days = days.filter(F.col("first_day") <= hi)
+    days = _clip(days, None if start is None else F.unix_date(lit_date(start)),
+                 None if end is None else F.unix_date(lit_date(end)))
     long = days.select(F.inline(_dim_pairs()), "zero_day", "first_day", "exit_day", "n").filter(_valid_key())
-    return long.groupBy("dimension", "dimension_key", "zero_day", "first_day", "exit_day").agg(F.sum("n").alias("n"))
-
+    return long.groupBy(*BACKLOG_KEYS).agg(F.sum("n").alias("n"))
 
-def aging_backfill(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
-                   weight: Column | None = None) -> DataFrame:
-    """Ageing counts for every calendar date in [start, end].
 
-    Default range: the first to the last open date of the data (a scalar
-    subquery, no driver round trip).  With a ``weight`` column of +1 and -1
-    (rows after and before a change) the result is the change of the counts.
-    """
-    hi = F.unix_date(complaints.agg(F.max("sr_open_dt")).scalar() if end is None else lit_date(end))
-    counts = backlog_counts(complaints, start, end, weight)
+def aging_from_backlog(backlog: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+    """Ageing counts of the dates up to ``end`` (from ``start`` on, if given) from (stored) ``backlog_counts``."""
+    hi = F.unix_date(lit_date(end))
+    counts = _clip(backlog, None if start is None else F.unix_date(lit_date(start)), hi)
     bounds = [(label, hours // 24) for label, hours in AGE_SLABS][::-1]
     pieces = []
     for i, (label, low) in enumerate(bounds):
@@ -195,6 +194,18 @@ def aging_backfill(complaints: DataFrame, start: DateLike = None, end: DateLike
                        F.col("count").cast("bigint").alias("count"))
 
 
+def aging_backfill(complaints: DataFrame, start: DateLike = None, end: DateLike = None,
+                   weight: Column | None = None) -> DataFrame:
+    """Ageing counts for every calendar date in [start, end].
+
+    Default range: the first to the last open date of the data (a scalar
+    subquery, no driver round trip).  With a ``weight`` column of +1 and -1
+    (rows after and before a change) the result is the change of the counts.
+    """
+    last = complaints.agg(F.max("sr_open_dt")).scalar() if end is None else end
+    return aging_from_backlog(backlog_counts(complaints, start, end, weight), start, last)
+
+
 def resolution_kpis(mttr_df: DataFrame, aging_df: DataFrame) -> DataFrame:
     """Per date: overall MTTR, resolved count, open backlog total, backlog > 10 days."""
     m = mttr_df.filter(F.col("dimension") == "Total").select(

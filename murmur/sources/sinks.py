@@ -46,23 +46,51 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: list[str]) -> No
        .partitionBy(*partition_cols).parquet(path))
 
 
-def _swap_partitions(spark: SparkSession, staged: str, table: str, specs: set[str]) -> None:
-    """Put the staged partitions ``specs`` (``a=1/b=2``) in place of the table's; those not staged are dropped.
+SWAP_FILE = "_swap"
 
-    A partition is deleted and then renamed in, so a run that was interrupted
-    is repaired by running it again.
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _move(fs, path, source, target) -> None:
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def swap_staged(spark: SparkSession, staged: str, table: str) -> None:
+    """Put the partitions staged by ``stage_partitions`` in place of the table's.
+
+    The list of moves was written with the data.  An old partition is moved
+    aside before its successor takes the place, and deleted last with the
+    staging folder, so an interrupted swap is finished by calling this again,
+    and nothing is lost in between.
     """
-    fs, root = _fs(spark, table)
+    fs, root = _fs(spark, staged)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    for spec in sorted(specs):
-        old, new = path(f"{table.rstrip('/')}/{spec}"), path(f"{staged}/{spec}")
-        if fs.exists(old):
-            fs.delete(old, True)
-        if fs.exists(new):
-            fs.mkdirs(old.getParent())
-            if not fs.rename(new, old):
-                raise OSError(f"could not move {new} to {old}")
-    fs.delete(path(staged), True)
+    if path_exists(spark, f"{staged}/{SWAP_FILE}"):
+        for line in read_text(spark, f"{staged}/{SWAP_FILE}").splitlines():
+            kind, spec = line.split(" ", 1)
+            old, new = path(f"{table.rstrip('/')}/{spec}"), path(f"{staged}/{spec}")
+            if kind == "drop" or fs.exists(new):
+                if fs.exists(old):
+                    _move(fs, path, old, path(f"{staged}/_old/{spec}"))
+                if kind == "put":
+                    _move(fs, path, new, old)
+    fs.delete(root, True)
 
 
 def _partition_specs(spark: SparkSession, path: str, depth: int) -> set[str]:
@@ -76,10 +104,17 @@ def _partition_specs(spark: SparkSession, path: str, depth: int) -> set[str]:
     return level
 
 
-def _stage_beside(df: DataFrame, table: str, parts: list[str]) -> str:
-    """Write ``df`` next to the table (same file system, so renames are moves); returns the folder."""
+def stage_partitions(spark: SparkSession, df: DataFrame, table: str, parts: list[str], replaced=()) -> str:
+    """Write ``df`` next to the table (same file system, so renames are moves) for ``swap_staged``.
+
+    Partitions ``replaced`` (``a=1/b=2``) that ``df`` has no rows for are to go.
+    Returns the staging folder.
+    """
     staged = f"{table.rstrip('/')}.staged-{uuid.uuid4().hex}"
     df.write.partitionBy(*parts).parquet(staged)
+    put = _partition_specs(spark, staged, len(parts))
+    moves = [f"put {spec}" for spec in sorted(put)] + [f"drop {spec}" for spec in sorted(set(replaced) - put)]
+    write_text(spark, f"{staged}/{SWAP_FILE}", "\n".join(moves))
     return staged
 
 
@@ -97,14 +132,12 @@ def replace_by_date(spark: SparkSession, df: DataFrame, table: str, date_col: st
     df = df.filter(F.col(date_col).isin(*[F.lit(str(d)).cast("date") for d in dates]))
     if dimensions is not None and by_dimension:
         df = df.filter(F.col("dimension").isin(*dimensions))
-    staged = _stage_beside(df, table, parts)
-    wanted = {f"{date_col}={d}" for d in dates}
-    specs = _partition_specs(spark, staged, len(parts))
+    wanted, specs = {f"{date_col}={d}" for d in dates}, set()
     for spec in _partition_specs(spark, table, len(parts)):
         head, _, tail = spec.partition("/")
         if head in wanted and (not by_dimension or dimensions is None or tail.removeprefix("dimension=") in dimensions):
             specs.add(spec)
-    _swap_partitions(spark, staged, table, specs)
+    swap_staged(spark, stage_partitions(spark, df, table, parts, specs), table)
 
 
 def dedupe_batch(batch: DataFrame, key: str = "sr_number", order_cols: list[str] | None = None) -> DataFrame:
@@ -147,37 +180,58 @@ def merge_complaints(existing: DataFrame, batch: DataFrame, supplied: list[str],
                     F.col("_e_sr_open_dt").alias("_old_dt"))
 
 
-def upsert_complaints(spark: SparkSession, table: str, batch: DataFrame, supplied: list[str],
-                      key: str = "sr_number", date_col: str = "sr_open_dt") -> dict:
-    """Insert or update ``batch`` (already coerced) into the partitioned table at ``table``.
+WEIGHT = "_weight"
+
+
+def prepare_upsert(spark: SparkSession, table: str, batch: DataFrame, supplied: list[str], key: str = "sr_number",
+                   date_col: str = "sr_open_dt", images: str | None = None) -> tuple[str, dict]:
+    """Stage an upsert of ``batch`` (already coerced); ``swap_staged`` makes it visible.
 
     The deduplicated batch is written once.  The stored dates of its keys come
     from a semi-join over the table's key and date columns alone; only the
-    partitions of those and of the batch's own dates are read, merged and
-    replaced.  Returns counts of inserted and updated keys.
+    partitions of those and of the batch's own dates are read and merged.
+    Changed rows are written to ``images`` if it is given, weighted -1 as they
+    were and +1 as they are; rows that stay as they are leave no image.
+    Returns the staging folder and the counts of inserted and updated keys.
     """
     stage = scratch_table_path(spark, f"upsert-{uuid.uuid4().hex}")
     dedupe_batch(batch, key).write.parquet(stage)
     batch = spark.read.schema(spark.read.parquet(stage).schema).parquet(stage)
     if not path_exists(spark, table):
-        write_partitioned(batch, table, [date_col])
-        n = batch.count()
-        delete_path(spark, stage)
-        return {"inserted": n, "updated": 0}
-    existing = spark.read.parquet(table)
-    batch = batch.select(*existing.columns)
-    held = existing.select(key, date_col).join(batch.select(key), key, "left_semi").groupBy(date_col).agg(
-        F.count(F.lit(1)).alias("n")).collect()                 # a row a date
-    new = batch.groupBy(date_col).agg(F.count(F.lit(1)).alias("n")).collect()
-    dates = {r[date_col] for r in (*held, *new) if r[date_col] is not None}
-    touched = existing.filter(F.col(date_col).isin(*dates))
-    merged = merge_complaints(touched, batch, supplied, key).select(*existing.columns)
-    staged = _stage_beside(merged, table, [date_col])
-    _swap_partitions(spark, staged, table, {f"{date_col}={d}" for d in dates}
-                     | _partition_specs(spark, staged, 1))
+        staged = stage_partitions(spark, batch, table, [date_col])
+        changed, report = batch.withColumn(WEIGHT, F.lit(1)), {"inserted": batch.count(), "updated": 0}
+    else:
+        existing = spark.read.parquet(table)
+        cols = existing.columns
+        batch = batch.select(*cols)
+        held = existing.select(key, date_col).join(batch.select(key), key, "left_semi").groupBy(date_col).agg(
+            F.count(F.lit(1)).alias("n")).collect()             # a row a date
+        new = batch.groupBy(date_col).agg(F.count(F.lit(1)).alias("n")).collect()
+        dates = {r[date_col] for r in (*held, *new) if r[date_col] is not None}
+        touched = existing.filter(F.col(date_col).isin(*dates))
+        merged = merge_complaints(touched, batch, supplied, key)
+        staged = stage_partitions(spark, merged.select(*cols), table, [date_col], {f"{date_col}={d}" for d in dates})
+        after = merged.filter("_touched").select(*cols, F.lit(1).alias(WEIGHT))
+        before = touched.join(batch.select(key), key, "left_semi").select(*cols, F.lit(-1).alias(WEIGHT))
+        changed = (after.unionByName(before).groupBy(*cols).agg(F.sum(WEIGHT).cast("int").alias(WEIGHT))
+                   .filter(F.col(WEIGHT) != 0))
+        updated = sum(r["n"] for r in held)
+        report = {"inserted": sum(r["n"] for r in new) - updated, "updated": updated}
+    if images:
+        changed.write.parquet(images)
     delete_path(spark, stage)
-    updated = sum(r["n"] for r in held)
-    return {"inserted": sum(r["n"] for r in new) - updated, "updated": updated}
+    return staged, report
+
+
+def upsert_complaints(spark: SparkSession, table: str, batch: DataFrame, supplied: list[str],
+                      key: str = "sr_number", date_col: str = "sr_open_dt") -> dict:
+    """Insert or update ``batch`` (already coerced) into the partitioned table at ``table``.
+
+    Returns counts of inserted and updated keys (see ``prepare_upsert``).
+    """
+    staged, report = prepare_upsert(spark, table, batch, supplied, key, date_col)
+    swap_staged(spark, staged, table)
+    return report
 
 
 def delete_date_range(spark: SparkSession, tables: dict[str, str], start, end) -> DataFrame:
