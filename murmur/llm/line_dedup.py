@@ -2,11 +2,13 @@
 
 DataFrame functions only.  Every candidate line becomes one small row (two
 64-bit hashes of its key, document, position); the rows are range-partitioned
-by hash with a secondary sort by document (largest first) and position, so
-the first row of a hash is the occurrence that stays, and a hash held by a
-third of all documents spreads over many ranges.  The result per document is
-a sparse drop bitmap (64-line words with their masks, all-keep words left
-out), never text.
+by hash and document, so a hash held by a third of all documents spreads over
+many ranges, and sorted by hash, document and position within.  A task streams
+its sorted rows and marks the first row of each hash and document; the marks
+are counted per hash (partially in the task), which gives the number of
+documents and the largest, the one that keeps the line.  The result per
+document is a sparse drop bitmap (64-line words with their masks, all-keep
+words left out), never text.
 
 Defined cases: a null or empty text is one empty line; a row without id
 counts as a document with the smallest id; repeated rows are one document if
@@ -16,7 +18,7 @@ are ignored by ``line_bitmaps`` and kept by ``drop_repeated_lines``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import WHITE, ascii_lower, staged
@@ -50,11 +52,12 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines; lines of words that are not in the map stay.
     """
     rows = staged(line_rows(docs, id_col, text_col, min_chars), "line-rows")
-    ranged = (rows.repartitionByRange("h1", "h2", F.col("doc").desc_nulls_last())
-              .sortWithinPartitions("h1", "h2", F.col("doc").desc_nulls_last(), "pos"))
-    # per hash and document once (no exchange: the ranges already hold them together), then per hash
-    per_doc = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
-    repeated = (per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("first_doc"))
+    # the window's sort runs inside the ranges: they hold a hash's rows of one document together, no exchange
+    in_doc = Window.partitionBy("h1", "h2", "doc").orderBy("pos", "t")
+    marked = (rows.select("h1", "h2", "doc", "pos", "t").repartitionByRange("h1", "h2", "doc")
+              .withColumn("first", F.lag(F.lit(1)).over(in_doc).isNull()))
+    repeated = (marked.filter("first").groupBy("h1", "h2")
+                .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("first_doc"))
                 .filter(F.col("n_docs") >= min_docs).drop("n_docs"))
     dropped = rows.join(repeated, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("first_doc")))
     words = (dropped.groupBy("doc", "t", F.shiftright("pos", 6).alias("word"))
@@ -87,7 +90,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """Per document: id, n_lines, n_dropped, SHA-256 of the kept text and the drop bitmap."""
+    """Per document: id, n_lines, n_dropped and SHA-256 of the kept text (the bitmaps: ``line_bitmaps``)."""
     marked = with_bitmaps(docs.select(id_col, text_col), id_col, text_col, **rules)
     n_dropped = F.aggregate(F.map_values("_drops"), F.lit(0), lambda a, m: a + F.bit_count(m))
     return marked.select(
