@@ -1,9 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared A-Z lower-cased and without ASCII punctuation at their
-ends.  The benchmark's n-grams are counted over all documents; each item
-keeps its rarest as seeds (by rank within the item, so an item whose passage
-is everywhere keeps seeds too).  A document that holds a seed is aligned
+ends.  The benchmark's n-grams are counted over all documents; of those that
+occur at all, each item keeps its rarest as seeds, by rank within the item (so
+an item whose passage is everywhere keeps seeds too) and so many that a copy
+with as many changed or missing words as the threshold allows still holds
+one (words put in cost half as much and break n-grams too: a copy with one
+after every second word of the item holds no whole n-gram and is not found).
+A document that holds a seed is aligned
 locally with the item around the seed's diagonal.  An exact bound (words of
 the window that occur in the item at all) skips windows that cannot reach the
 threshold.  Items are taken in blocks of bounded size, one broadcast a block.
@@ -27,7 +31,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from murmur.llm.common import fold_words, map_arrow, text_chunks
 
 SEED_WORDS = 3
-SEED_SHARE = 0.75           # of an item's n-grams, the rarest
 MIN_SIMILARITY = 0.6        # Smith-Waterman score per word of the item
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK_WORDS = 500_000       # words of the items of one block
@@ -81,12 +84,22 @@ class Block:
         hit = self.grams[place] == codes[at]
         return at[hit], place[hit]
 
-    def choose_seeds(self, counts: dict[int, int], share: float) -> None:
+    def choose_seeds(self, counts: dict[int, int], min_similarity: float) -> None:
+        """The rarest n-grams that occur, all but the commonest that a copy within the threshold cannot do without.
+
+        Each changed word costs a match and a penalty and breaks ``n`` n-grams
+        at most; the copy holds all others, so leaving out one fewer than
+        these many leaves at least one seed in it.
+        """
         by_item: dict[int, list] = {}
         for g, k, at in self.pairs:
-            by_item.setdefault(k, []).append((counts.get(g, 0), at, g))
+            if counts.get(g, 0):
+                by_item.setdefault(k, []).append((counts[g], at, g))
         for k, grams in by_item.items():
-            for _, at, g in sorted(grams)[:max(1, round(share * len(grams)))]:
+            size = len(self.items[k][1])
+            edits = int((1 - min_similarity) * MATCH * size / (MATCH - MISMATCH) + 1e-9)
+            sure = size - self.n + 1 - self.n * edits
+            for _, at, g in sorted(grams)[:max(1, len(grams) - max(0, sure - 1))]:
                 self.seeds.setdefault(int(np.searchsorted(self.grams, g)), []).append((k, at))
         self.pairs = []
         self.is_seed = np.zeros(len(self.grams), bool)
@@ -159,8 +172,7 @@ def _gram_totals(texts: DataFrame, shared) -> dict[int, int]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS,
-                 seed_share: float = SEED_SHARE, min_similarity: float = MIN_SIMILARITY,
-                 block_words: int = BLOCK_WORDS) -> DataFrame:
+                 min_similarity: float = MIN_SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc, item, similarity, first_word, n_words): one row per document row and item found in it."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
@@ -177,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = Block([(r["item"], r["text"]) for r in rows], seed_words)
         if not block.items:
             continue
-        block.choose_seeds(_gram_totals(texts, spark.sparkContext.broadcast(block)), seed_share)
+        block.choose_seeds(_gram_totals(texts, spark.sparkContext.broadcast(block)), min_similarity)
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

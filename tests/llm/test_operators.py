@@ -353,3 +353,43 @@ def test_chat(spark):
     parts = chat.rotate_perspectives(df, part_turns=2).filter("conv = 1 and speaker = 'ann'").orderBy("part").collect()
     assert [p["n_turns"] for p in parts] == [2, 2, 1] and "".join(p["text"] for p in parts) == got[1, "ann"]["text"]
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 128, 130])
+def test_exact_top_k_of_any_width(spark, width):
+    rng = np.random.default_rng(width)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, width)))] + [(500, [1.0] * (width - 30))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in topk.search_vectors(df, F.col("id") % 20 == 0, k=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["neighbor_id"]))
+    bits = {i: [x > 0 for x in v] + [False] * (width - len(v)) for i, v in rows}
+    assert got == {q: sorted((sum(x != y for x, y in zip(bits[q], b)), i) for i, b in bits.items() if i != q)[:4]
+                   for q in bits if q % 20 == 0}
+
+
+def test_decontamination_by_brute_force(spark):
+    """Every document against every item by plain alignment: copies with words changed or missing, seeds that occur nowhere."""
+    rng = random.Random(8)
+    texts, items = [], [[f"i{k}w{rng.randrange(60)}" for _ in range(rng.choice([12, 25, 40]))] for k in range(6)]
+    for item in items:
+        for share in (0.0, 0.1, 0.2, 0.25, 0.3, 0.4):
+            copy = [w if rng.random() >= share else rng.choice(["new", "old", None]) for w in item]
+            texts.append([f"x{rng.randrange(99)}" for _ in range(20)] + [w for w in copy if w] + [f"x{rng.randrange(99)}" for _ in range(9)])
+        texts.append([w if i % 4 else f"q{i}" for i, w in enumerate(item)])
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
+            score = decontaminate.align(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in text]))[0]
+            if score >= decontaminate.MIN_SIMILARITY * len(item):
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc"], r["item"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_line_dedup_sorts_within_the_ranges(docs):
+    plan = line_dedup.line_bitmaps(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Window [lag(1" in plan
