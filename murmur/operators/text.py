@@ -58,22 +58,50 @@ def remove_stopwords(c: Column, stop_words: list[str]) -> Column:
     return F.array_join(kept, " ")
 
 
-def lemmatize(df: DataFrame, text_col: str, id_col: str, lemmas: DataFrame | None) -> DataFrame:
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text: rows are told apart by their texts, whatever their ids."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
+
+
+def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
+    """(word) of every distinct white-space token."""
+    return df.select(F.explode(words(F.col(text_col))).alias("word")).distinct()
+
+
+def lemmatize(df: DataFrame, text_col: str, id_col: str | None, lemmas: DataFrame | None) -> DataFrame:
     """Replace tokens by lemmas from a (form, lemma) table; identity without a table.
 
-    Tokens are exploded with their positions, left-joined to the lemma table
-    (a lexicon: the planner broadcasts it when its statistics are small) and
-    reassembled in order per text.
+    Only forms of the texts' own vocabulary that change are joined to the
+    tokens (a lexicon: the planner broadcasts it when its statistics are
+    small), and only texts that hold one are rebuilt, once a distinct text.
+    Rows that share an id, or have none, keep their own texts (``id_col`` is
+    not used); of several lemmas of a form the smallest counts.
     """
     if lemmas is None:
         return df
-    toks = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "tok"))
-    j = toks.join(lemmas.select(F.col("form").alias("tok"), "lemma"), "tok", "left")
-    back = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "tok").alias("w"))))
-                                 .alias("_w"))
-    back = back.select(id_col, F.array_join(F.transform("_w", lambda s: s["w"]), " ").alias("_lem"))
-    return df.join(back, id_col, "left").withColumn(
-        text_col, F.coalesce(F.col("_lem"), F.col(text_col))).drop("_lem")
+    forms = (lemmas.filter(F.col("form") != F.col("lemma")).groupBy("form").agg(F.min("lemma").alias("lemma"))
+             .join(vocabulary(df, text_col).withColumnRenamed("word", "form"), "form", "left_semi"))
+    text = F.col(text_col)
+    toks = df.select(*_text_key(text), F.posexplode(words(text)).alias("pos", "form"))
+    back = (toks.join(forms, "form", "left").groupBy("_k1", "_k2")
+            .agg(F.array_sort(F.collect_set(F.struct("pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"),
+                 F.count("lemma").alias("_n")).filter(F.col("_n") > 0)
+            .select("_k1", "_k2", F.array_join(F.transform("_w", lambda t: t["w"]), " ").alias("_lem")))
+    return df.select("*", *_text_key(text)).join(back, ["_k1", "_k2"], "left").select(
+        *[F.coalesce("_lem", text).alias(c) if c == text_col else F.col(c) for c in df.columns])
+
+
+def preprocess(df: DataFrame, text_col: str, stop_words: list[str] | None = KEYWORD_STOP_WORDS,
+               lemmas: DataFrame | None = None, out_col: str = "cleaned_text", **cleaning) -> DataFrame:
+    """``df`` plus ``out_col``: cleaned, stop words dropped, lemmas in place of forms, spaces squeezed.
+
+    A null text gives ''.  ``cleaning`` are the switches of ``clean_text``;
+    None leaves out the stop word or lemma step.
+    """
+    out = clean_text(F.col(text_col), **cleaning)
+    if stop_words:
+        out = remove_stopwords(out, stop_words)
+    return lemmatize(df.withColumn(out_col, squeeze_spaces(out)), out_col, None, lemmas)
 
 
 def sentiment(text: Column, negative: list[str] = NEGATIVE_TERMS, positive: list[str] = POSITIVE_TERMS,
@@ -92,13 +120,13 @@ def lexicon_polarity(df: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     """Mean weight of the matched tokens from a caller's (term, weight) table.
 
     Returns (id, polarity, sentiment) with polarity rounded to 3 digits and the
-    +/- 0.1 thresholds; texts without a matched token get 0 / neutral.
+    +/- 0.1 thresholds; texts without a matched token get 0 / neutral.  Rows
+    that share an id keep their own texts' polarity.
     """
-    toks = df.select(id_col, F.explode(words(F.regexp_replace(F.lower(F.col(text_col)), NON_WORD_PATTERN, "")))
-                     .alias("term"))
-    j = toks.join(lexicon.select("term", "weight"), "term")
-    pol = j.groupBy(id_col).agg(F.avg("weight").alias("_p"))
-    out = df.select(id_col).join(pol, id_col, "left").select(
+    text = F.col(text_col)
+    toks = df.select(*_text_key(text), F.explode(words(F.regexp_replace(F.lower(text), NON_WORD_PATTERN, ""))).alias("term"))
+    pol = toks.join(lexicon.select("term", "weight"), "term").groupBy("_k1", "_k2").agg(F.avg("weight").alias("_p"))
+    out = df.select(id_col, *_text_key(text)).join(pol, ["_k1", "_k2"], "left").select(
         id_col, F.coalesce(F.floor(F.col("_p") * 1000 + 0.5) / 1000, F.lit(0.0)).alias("polarity"))
     return out.withColumn("sentiment", F.when(F.col("polarity") > POLARITY_POSITIVE, "positive")
                           .when(F.col("polarity") < POLARITY_NEGATIVE, "negative").otherwise("neutral"))

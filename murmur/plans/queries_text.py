@@ -8,8 +8,8 @@ from murmur.constants import (CATEGORY_TERMS, KEYWORD_STOP_WORDS, NEGATIVE_TERMS
                               URGENT_TERMS)
 from murmur.functions.text import SQL_PATTERNS, sql_regex
 from murmur.operators.text import (analyze_complaints, clean_text, distributions, extract_keywords,
-                                   filter_text, priority_distribution, sentiment_by_category,
-                                   text_summary)
+                                   filter_text, preprocess, priority_distribution, sentiment_by_category,
+                                   text_summary, vocabulary)
 from murmur.plans.catalog import register
 from murmur.sources.tables import read_table
 
@@ -206,3 +206,20 @@ def q_phrase_categories(spark, sf_dir):
                                                       phrase.alias("complaint_text"))
     return analyze_complaints(rows, with_keywords=False).select(
         F.col("complaint_id").alias("event_id"), "sentiment", "category", "priority")
+
+
+@register("preprocess_documents", f"""
+WITH c AS (SELECT doc_id, {_clean_sql('text')} AS x FROM documents),
+tok AS (SELECT doc_id, unnest(string_split(x, ' ')) AS word, unnest(range(0, len(string_split(x, ' ')))) AS pos FROM c),
+kept AS (SELECT * FROM tok WHERE word <> '' AND lower(word) NOT IN ({", ".join(_q(w) for w in KEYWORD_STOP_WORDS)})),
+voc AS (SELECT DISTINCT word FROM kept),
+lem AS (SELECT f.word AS form, b.word AS lemma FROM voc f JOIN voc b ON f.word = b.word || 's'),
+res AS (SELECT doc_id, string_agg(coalesce(lemma, word), ' ' ORDER BY pos) AS t
+        FROM kept LEFT JOIN lem ON form = word GROUP BY doc_id)
+SELECT c.doc_id, coalesce(res.t, '') AS cleaned_text FROM c LEFT JOIN res ON res.doc_id = c.doc_id""")
+def q_preprocess_documents(spark, sf_dir):
+    """The cleaning chain; lemmas are the words of which the texts hold a form with an s."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    voc = vocabulary(preprocess(docs, "text"), "cleaned_text")
+    lemmas = voc.select(F.concat("word", F.lit("s")).alias("form"), F.col("word").alias("lemma"))
+    return preprocess(docs, "text", lemmas=lemmas).select("doc_id", "cleaned_text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from murmur.operators.anomalies import anomalies_from_counts
 from murmur.operators.counts import daily_counts
 from murmur.operators.dashboard import (anomalies_by_dimension, dashboard_kpis, top_significant_variations,
@@ -55,6 +57,12 @@ def q_trend_drilldown(spark, sf_dir):
     return trend_drilldown(_series(spark, sf_dir))
 
 
+@register("trend_drilldown_points", with_complaints(EV, *_series_ctes()) + "SELECT * FROM ser")
+def q_trend_drilldown_points(spark, sf_dir):
+    """The nested points, one row a point again."""
+    return trend_drilldown(_series(spark, sf_dir)).select("level", *_PLOT_COLS, F.inline("points"))
+
+
 # the five region names of the TPC-H region table
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -63,7 +71,7 @@ _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     f"CAST(coalesce(sum(CASE WHEN region = '{r}' THEN \"count\" END), 0) AS BIGINT) AS \"{r}\"" for r in _REGIONS)
     + " FROM ser WHERE level = 'region' GROUP BY \"date\"")
 def q_trend_wide_region(spark, sf_dir):
-    return trend_wide(_series(spark, sf_dir), "region")
+    return trend_wide(_series(spark, sf_dir), "region", _REGIONS)
 
 
 @register("trend_stats", with_complaints(EV, *_series_ctes()) + """

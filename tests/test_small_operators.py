@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from murmur.operators.enrich import filter_insights
 from murmur.operators.resolution import mttr_breakdown, mttr_trend, slab_rank
 from murmur.operators.surges import surge_table
-from murmur.operators.text import filter_text, lemmatize, lexicon_polarity, remove_stopwords
+from murmur.operators.text import filter_text, lemmatize, lexicon_polarity, preprocess, remove_stopwords
 
 
 def test_lexicon_polarity_lemmas_stopwords(spark):
@@ -47,3 +47,14 @@ def test_filters_and_orderings(spark):
                                (dt.date(2026, 1, 1), "Region", "B", 80.0, "CRITICAL")],
                               "surge_date date, level string, name string, max_surge_percent double, severity string")
     assert [r["name"] for r in surge_table(s).collect()] == ["B", "A", "Total"]
+
+
+def test_texts_of_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(1, "many Apps"), (1, "good apps, apps apps"), (None, "many Apps"), (2, None), (3, "")], "id long, t string")
+    lem = spark.createDataFrame([("apps", "app"), ("apps", "zapp"), ("unused", "x")], "form string, lemma string")
+    got = sorted((str(r["id"]), str(r["t"]), r["cleaned_text"]) for r in preprocess(d, "t", ["many"], lem).collect())
+    assert got == [("1", "good apps, apps apps", "good apps, app app"), ("1", "many Apps", "app"), ("2", "None", ""),
+                   ("3", "", ""), ("None", "many Apps", "app")]
+    lex = spark.createDataFrame([("good", 1.0), ("many", -1.0)], "term string, weight double")
+    p = sorted((str(r["id"]), r["polarity"]) for r in lexicon_polarity(d, "id", "t", lex).collect())
+    assert p == [("1", -1.0), ("1", 1.0), ("2", 0.0), ("3", 0.0), ("None", -1.0)]
