@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from murmur.constants import (CATEGORY_TERMS, KEYWORD_STOP_WORDS, NEGATIVE_TERMS, POSITIVE_TERMS,
                               URGENT_TERMS)
 from murmur.functions.text import SQL_PATTERNS, sql_regex
 from murmur.operators.text import (analyze_complaints, clean_text, distributions, extract_keywords,
-                                   filter_text, preprocess, priority_distribution, sentiment_by_category,
+                                   filter_text, lemmatize, preprocess, priority_distribution, sentiment_by_category,
                                    text_summary, vocabulary)
 from murmur.plans.catalog import register
+from murmur.session import scratch_table_path
 from murmur.sources.tables import read_table
 
 
@@ -220,6 +223,10 @@ SELECT c.doc_id, coalesce(res.t, '') AS cleaned_text FROM c LEFT JOIN res ON res
 def q_preprocess_documents(spark, sf_dir):
     """The cleaning chain; lemmas are the words of which the texts hold a form with an s."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    voc = vocabulary(preprocess(docs, "text"), "cleaned_text")
+    # written once: the vocabulary, the forms and the texts to rebuild all read the cleaned texts
+    path = scratch_table_path(spark, f"cleaned-{uuid.uuid4().hex}")
+    preprocess(docs, "text").select("doc_id", "cleaned_text").write.parquet(path)
+    cleaned = spark.read.parquet(path)
+    voc = vocabulary(cleaned, "cleaned_text")
     lemmas = voc.select(F.concat("word", F.lit("s")).alias("form"), F.col("word").alias("lemma"))
-    return preprocess(docs, "text", lemmas=lemmas).select("doc_id", "cleaned_text")
+    return lemmatize(cleaned, "cleaned_text", "doc_id", lemmas)
