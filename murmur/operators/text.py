@@ -98,10 +98,11 @@ def preprocess(df: DataFrame, text_col: str, stop_words: list[str] | None = KEYW
     A null text gives ''.  ``cleaning`` are the switches of ``clean_text``;
     None leaves out the stop word or lemma step.
     """
-    out = clean_text(F.col(text_col), **cleaning)
+    # each step reads the one before as a column (it is used several times and must be computed once)
+    out = df.withColumn(out_col, clean_text(F.col(text_col), **cleaning))
     if stop_words:
-        out = remove_stopwords(out, stop_words)
-    return lemmatize(df.withColumn(out_col, squeeze_spaces(out)), out_col, None, lemmas)
+        out = out.withColumn(out_col, squeeze_spaces(remove_stopwords(F.col(out_col), stop_words)))
+    return lemmatize(out, out_col, None, lemmas)
 
 
 def sentiment(text: Column, negative: list[str] = NEGATIVE_TERMS, positive: list[str] = POSITIVE_TERMS,
