@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from murmur.constants import DATE_FORMATS, DATETIME_FORMATS
@@ -9,6 +11,8 @@ from murmur.operators.ingest import coerce_complaints, ingest_report, parse_date
 from murmur.operators.text import load_text_dedup
 from murmur.plans.catalog import register
 from murmur.plans.oracle import with_complaints
+from murmur.session import scratch_table_path
+from murmur.sources.csv import read_complaints_csv
 from murmur.sources.tables import complaints, read_table
 
 ORD = "complaints_ord"
@@ -95,3 +99,14 @@ SELECT min(doc_id) AS complaint_id, text AS complaint_text FROM documents WHERE
 def q_load_text_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("complaint_id"), "text")
     return load_text_dedup(docs)
+
+
+@register("read_complaints_csv", """
+SELECT CAST(doc_id AS VARCHAR) AS complaint_id, lang, source, text AS complaint_text FROM documents""")
+def q_read_complaints_csv(spark, sf_dir):
+    """All documents written as CSV files (quotes, separators and newlines in the texts) and read back by blocks."""
+    path = scratch_table_path(spark, f"csv-{uuid.uuid4().hex}")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("complaint_id"), "lang", "source",
+                                                         F.col("text").alias("complaint_text"))
+    docs.write.options(header=True, escape='"', sep=";", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_complaints_csv(spark, path, split_over=0)

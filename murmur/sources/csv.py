@@ -12,7 +12,9 @@ itself, by all of its bytes:
 * header: the file's own, so columns may stand in any order in each file.
 
 Files alike in all three are read together, by name and with quoted newlines
-and doubled quotes, and the groups are united by column name.
+and doubled quotes, and the groups are united by column name.  A file is one
+task up to ``split_over`` bytes; larger ones are read by many (``csv_splits``),
+but for UTF-16 and for lines that end with a bare carriage return.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.constants import ALTERNATE_SEPARATORS, COLUMN_SYNONYMS, COMPLAINT_COLUMNS
+from murmur.sources.csv_splits import read_split_csv
 
 HEADER_CHUNK = 1 << 16
 FILE_COLUMN, POSITION_COLUMN = "_file", "_position"
+SPLIT_OVER = 256 << 20
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -84,6 +88,16 @@ def detect_encodings(spark: SparkSession, files: list[str]) -> dict[str, str]:
     return out
 
 
+def _split_lines(spark: SparkSession, path: str, over: int) -> str | None:
+    """The line end of a file of more than ``over`` bytes; None for smaller ones and bare carriage returns."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() <= over:
+        return None
+    head = header_bytes(spark, path)
+    first = head[:head.find(b"\n") + 1]
+    return None if b"\r" in first.replace(b"\r\n", b"") else "\r\n" if first.endswith(b"\r\n") else "\n"
+
+
 def _plain(uri: str) -> str:
     from urllib.parse import unquote, urlparse
     return unquote(urlparse(uri).path)
@@ -115,7 +129,8 @@ def _header(spark: SparkSession, path: str, encoding: str, sep: str | None) -> t
 
 
 def read_complaints_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, sep: str | None = None,
-                        drop_malformed: bool = False, with_position: bool = False) -> DataFrame:
+                        drop_malformed: bool = False, with_position: bool = False,
+                        split_over: int = SPLIT_OVER) -> DataFrame:
     """All-string DataFrame of a complaint CSV file, folder or list of files.
 
     ``with_position`` adds ``_file`` and ``_position``: together they give the
@@ -126,12 +141,17 @@ def read_complaints_csv(spark: SparkSession, path: str | list[str], encoding: st
     encodings = dict.fromkeys(files, encoding) if encoding else detect_encodings(spark, files)
     groups: dict[tuple, list[str]] = defaultdict(list)
     for f in files:
-        groups[(encodings[f], *_header(spark, f, encodings[f], sep))].append(f)
+        lines = _split_lines(spark, f, split_over) if encodings[f] in ("UTF-8", "ISO-8859-1") else None
+        groups[(encodings[f], *_header(spark, f, encodings[f], sep), lines)].append(f)
     out = None
-    for (enc, s, names), members in groups.items():
+    for (enc, s, names, lines), members in groups.items():
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
         if not names:
             continue
+        if lines:
+            df = read_split_csv(spark, members, names, s, enc, lines == "\r\n", drop_malformed, FILE_COLUMN, POSITION_COLUMN)
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            continue
         df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", enc)
               .option("sep", s).option("quote", '"').option("escape", '"').option("multiLine", True)
               .option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").csv(members))
