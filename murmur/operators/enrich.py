@@ -58,27 +58,49 @@ def top_keys(counts: DataFrame, dates: DataFrame, k: int = CORRELATION_TOP,
     return tot.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def day_vectors(counts: DataFrame, wanted: DataFrame, history_days: int = CORRELATION_HISTORY_DAYS) -> DataFrame:
+    """The columns of ``wanted`` (t, dimension, dimension_key and others) and ``days``: the counts of the key
+    from t back to ``history_days`` before, as a map by day.
+
+    A key's counts are packed into one row, a number a day, and joined by key;
+    no row is copied to other days.  Null keys and those without counts have no vector.
+    """
+    keys = ["dimension", "dimension_key"]
+    packed = counts.groupBy(*keys).agg(F.collect_list(F.struct("day", "n")).alias("_points"))
+    near = F.filter("_points", lambda p: (p["day"] <= F.col("t")) & (p["day"] >= F.date_sub("t", history_days)))
+    return wanted.join(packed, keys).select(*wanted.columns, F.map_from_entries(near).alias("days"))
+
+
 def anomaly_correlations(anomalies: DataFrame, counts: DataFrame, k: int = CORRELATION_TOP,
                          min_r: float = CORRELATION_MIN, min_days: int = CORRELATION_MIN_DAYS,
                          history_days: int = CORRELATION_HISTORY_DAYS) -> DataFrame:
     """(anomaly_date, dimension, dimension_key, target_dimension, target_key, target_rank, r, common_days)
-    for every candidate pair with r > min_r."""
+    for every candidate pair with r > min_r.
+
+    One join by date brings the day vectors of a pair together; its sums are
+    dot products over their common days.
+    """
     a = anomalies.select(F.col("anomaly_date").alias("t"), "dimension", "dimension_key")
     tops = top_keys(counts, a, k, history_days).filter(F.col("dimension_key").isNotNull()) \
-        .select("t", F.col("dimension").alias("target_dimension"),
-                F.col("dimension_key").alias("target_key"), F.col("rank").alias("target_rank"))
-    pairs = a.join(tops, "t").filter(F.col("dimension") != F.col("target_dimension"))
-    days = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(history_days))).alias("_lag")) \
-        .withColumn("day", F.date_sub("t", F.col("_lag"))).drop("_lag")
-    c1 = counts.select("dimension", "dimension_key", "day", F.col("n").alias("n1"))
-    c2 = counts.select(F.col("dimension").alias("target_dimension"), F.col("dimension_key").alias("target_key"),
-                       "day", F.col("n").alias("n2"))
-    j = days.join(c1, ["dimension", "dimension_key", "day"]).join(c2, ["target_dimension", "target_key", "day"])
-    x, y = F.col("n1").cast("double"), F.col("n2").cast("double")
-    g = j.groupBy("t", "dimension", "dimension_key", "target_dimension", "target_key", "target_rank").agg(
-        F.count(F.lit(1)).alias("common_days"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
-    ).filter(F.col("common_days") >= min_days)
+        .select("t", "dimension", "dimension_key", F.col("rank").alias("target_rank"))
+    own = day_vectors(counts, a, history_days)
+    target = day_vectors(counts, tops, history_days).select(
+        "t", F.col("dimension").alias("target_dimension"), F.col("dimension_key").alias("target_key"), "target_rank",
+        F.col("days").alias("_days"))
+    pairs = own.join(target, "t").filter(F.col("dimension") != F.col("target_dimension"))
+    both = F.transform(F.map_entries("days"), lambda e: F.struct(
+        e["value"].alias("x"), F.try_element_at("_days", e["key"]).alias("y")))
+    common = F.filter(both, lambda d: d["y"].isNotNull())
+
+    def add(s, d):
+        x, y = d["x"].cast("double"), d["y"].cast("double")
+        return F.struct((s["sx"] + x).alias("sx"), (s["sy"] + y).alias("sy"), (s["sxx"] + x * x).alias("sxx"),
+                        (s["syy"] + y * y).alias("syy"), (s["sxy"] + x * y).alias("sxy"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
+    g = pairs.withColumn("_common", common).filter(F.size("_common") >= min_days).select(
+        "t", "dimension", "dimension_key", "target_dimension", "target_key", "target_rank",
+        F.size("_common").cast("long").alias("common_days"), F.inline(F.array(F.aggregate("_common", zero, add))))
     n = F.col("common_days").cast("double")
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = n * F.col("syy") - F.col("sy") * F.col("sy")

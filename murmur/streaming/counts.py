@@ -30,13 +30,3 @@ def stream_daily_counts(stream: DataFrame, dimensions=None, lateness: str = "2 d
     return (long.groupBy(F.window("_event", "1 day"), "dimension", "dimension_key")
             .agg(F.count(F.lit(1)).alias("n"))
             .select("dimension", "dimension_key", day.alias("day"), "n"))
-
-
-def run_counts_to_memory(stream: DataFrame, query_name: str, checkpoint: str, dimensions=None,
-                         lateness: str = "2 days"):
-    """Run the counts to an in-memory table (tests / notebooks); update mode."""
-    q = (stream_daily_counts(stream, dimensions, lateness).writeStream.outputMode("update")
-         .format("memory").queryName(query_name).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q

@@ -3,13 +3,16 @@
 The stream carries the names of new files; each micro-batch reads its files
 like a batch ingest does (encoding, separator and header of every file, quoted
 newlines, row order by file and place), coerces them and upserts them.
-Rows without an open time are appended to the rejects folder.  The checkpoint
-location makes the stream restartable, and the upsert makes a repeated batch
-harmless; ``available_now`` processes what is there and stops.
+Rejected rows go to the rejects folder, a partition (``batch``) a micro-batch,
+named by the files it holds.  The checkpoint location makes the stream
+restartable; a repeated batch upserts the same rows and replaces its own
+rejects.  ``available_now`` processes what is there and stops.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.operators.ingest import SchemaError, coerce_complaints
@@ -42,7 +45,8 @@ def ingest_stream(spark: SparkSession, in_dir: str, table: str, checkpoint: str,
         complaints, rejects, supplied = coerce_complaints(raw, keep=[FILE_COLUMN, POSITION_COLUMN])
         upsert_complaints(session, table, complaints, supplied)
         if rejects_path:
-            rejects.write.mode("append").parquet(rejects_path)
+            name = hashlib.sha1("\n".join([str(epoch_id), *sorted(files)]).encode()).hexdigest()
+            rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={name}")
 
     writer = names.writeStream.foreachBatch(upsert_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
