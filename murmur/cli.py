@@ -26,6 +26,8 @@ def main(argv=None) -> None:
     d.add_argument("--date", default=str(_dt.date.today() - _dt.timedelta(days=1)))
     d.add_argument("--end")
     d.add_argument("--file", help="CSV file or folder to ingest first")
+    d.add_argument("--no-ingest", action="store_true", help="do not ingest the file, only analyse the table")
+    d.add_argument("--dimensions", nargs="+", help="dimensions to analyse (default: all)")
     d.add_argument("--baseline", help="also store baselines at this path")
     t = sub.add_parser("text")
     t.add_argument("--input", required=True)
@@ -40,12 +42,12 @@ def main(argv=None) -> None:
         from murmur.operators.counts import daily_counts
         from murmur.plans.daily import cleanup, ingest_file, run_daily
         from murmur.sources.sinks import write_baselines
-        if a.file:
+        if a.file and not a.no_ingest:
             print(json.dumps(ingest_file(spark, a.file, a.table), default=str))
         complaints = spark.read.parquet(a.table)
-        res = run_daily(spark, complaints, a.out, a.date, a.end)
+        res = run_daily(spark, complaints, a.out, a.date, a.end, a.dimensions)
         if a.baseline:
-            write_baselines(daily_baselines(daily_counts(complaints, lookback_days=30, start=a.date,
+            write_baselines(daily_baselines(daily_counts(complaints, a.dimensions, lookback_days=30, start=a.date,
                                                          end=a.end or a.date), start=a.date, end=a.end or a.date),
                             a.baseline)
         cleanup(spark, res)

@@ -173,3 +173,6 @@ PRIORITY_CRITICAL_SCORE = -0.6
 PRIORITY_HIGH_SCORE = -0.5
 PRIORITY_MEDIUM_SCORE = -0.2
 TOP_CATEGORIES = 10
+
+# Key topics of a report on a text without keywords.
+NO_KEYWORDS = "None identified"

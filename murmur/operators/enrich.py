@@ -200,8 +200,9 @@ def narrate(anomalies: DataFrame, with_dimension: bool = False) -> DataFrame:
 
 
 def filter_insights(insights: DataFrame, since) -> DataFrame:
-    """Insights created on or after ``since``, newest first."""
-    return insights.filter(F.col("created_at") >= F.lit(str(since)).cast("timestamp_ntz")) \
+    """Insights created on or after ``since`` (a date, a text or a column), newest first."""
+    first = since if isinstance(since, Column) else F.lit(str(since))
+    return insights.filter(F.col("created_at") >= first.cast("timestamp_ntz")) \
         .orderBy(F.desc("created_at"), F.desc("z_score"))
 
 

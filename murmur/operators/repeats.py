@@ -12,7 +12,7 @@ mdn, so a single mdn holding a large share of the rows is reduced map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.constants import (REPEAT_ALARMING, REPEAT_CRITICAL, REPEAT_HISTORY_DAYS, REPEAT_TOP,
@@ -99,3 +99,17 @@ def repeat_kpis(repeaters: DataFrame) -> DataFrame:
         F.count(F.when(sev == "NORMAL REPEAT", 1)).alias("normal_repeat"),
         F.mode("sr_sub_type", True).alias("top_sub_type"),
     )
+
+
+# rows shown of each breakdown, largest first
+_SHOWN = {"exchange": 10, "city": 10, "subtype": 10, "region_subtype": 20, "exchange_subtype": 20, "city_subtype": 20}
+
+
+def top_breakdowns(summaries: DataFrame, shown: dict[str, int] | None = None) -> DataFrame:
+    """The largest rows of each breakdown of ``repeat_summaries`` with their ``rank``; ties by the keys, nulls first."""
+    limits = _SHOWN if shown is None else shown
+    keys = [F.asc_nulls_first(c) for c in _BREAKDOWN_COLS]
+    w = Window.partitionBy("breakdown").orderBy(F.desc("repeater_count"), *keys)
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return summaries.filter(F.col("breakdown").isin(*limits)).withColumn("rank", F.row_number().over(w)).filter(
+        F.col("rank") <= F.try_element_at(most, F.col("breakdown")))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.constants import (CATEGORY_TERMS, KEYWORD_MIN_LENGTH, KEYWORD_STOP_WORDS, KEYWORDS_KEPT,
+from murmur.constants import (CATEGORY_TERMS, KEYWORD_MIN_LENGTH, KEYWORD_STOP_WORDS, KEYWORDS_KEPT, NO_KEYWORDS,
                               NEGATIVE_TERMS, OTHER_CATEGORY, POLARITY_NEGATIVE, POLARITY_POSITIVE,
                               POSITIVE_TERMS, PRIORITY_CRITICAL_SCORE, PRIORITY_HIGH_SCORE,
                               PRIORITY_LEVELS, PRIORITY_MEDIUM_SCORE, SENTIMENT_SCORE, URGENT_TERMS)
@@ -361,13 +361,14 @@ def filter_text(analyzed: DataFrame, sentiments=None, categories=None) -> DataFr
 
 
 def format_report(analyzed: DataFrame) -> DataFrame:
-    """A multi-line text report per analysed complaint."""
+    """A multi-line text report per analysed complaint; a text without keywords names none."""
+    topics = F.when(F.size("keywords") > 0, F.array_join("keywords", ", ")).otherwise(NO_KEYWORDS)
     report = F.concat(
         F.lit("Complaint: "), F.coalesce(F.col("original_text"), F.lit("")),
-        F.lit("\nSentiment: "), F.col("sentiment"), F.lit(" (score: "),
-        F.format_string("%.3f", F.col("sentiment_score")), F.lit(")"),
-        F.lit("\nCategory: "), F.col("category"), F.lit("\nPriority: "), F.upper(F.col("priority")),
-        F.lit("\nKeywords: "), F.array_join(F.col("keywords"), ", "))
+        F.lit("\nSentiment: "), F.upper("sentiment"),
+        F.lit("\nSentiment Score: "), F.format_string("%.3f", F.col("sentiment_score")),
+        F.lit("\nCategory: "), F.col("category"), F.lit("\nPriority Level: "), F.upper(F.col("priority")),
+        F.lit("\nKey Topics: "), topics)
     return analyzed.select("complaint_id", report.alias("report"))
 
 

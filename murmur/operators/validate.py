@@ -68,6 +68,23 @@ def check_schema(df: DataFrame, required: list[str], forbidden: list[str] = ())
     return issues
 
 
+def schema_issues(tables: dict[str, DataFrame | None], required: dict[str, list[str]],
+                  retired: list[str] = ()) -> list[tuple[str, str]]:
+    """(table, issue) rows: tables that are absent (None), lack columns, or should be gone (names only, no data is read)."""
+    out = [(t, "missing table") for t in required if tables.get(t) is None]
+    out += [(t, issue) for t, columns in required.items() if tables.get(t) is not None
+            for issue in check_schema(tables[t], columns)]
+    return out + [(t, "retired table still exists") for t in retired if tables.get(t) is not None]
+
+
+def validation_result(complaints: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
+    """One row: status, row_count of the range, issues_found and the issues (a few at most) in order."""
+    rows = date_scope(complaints, start, end).agg(F.count(F.lit(1)).alias("row_count"))
+    found = validation_issues(complaints, start, end).agg(
+        F.count(F.lit(1)).alias("issues_found"), F.array_sort(F.collect_list("issue")).alias("issues"))
+    return rows.crossJoin(F.broadcast(found)).select(F.lit("success").alias("status"), "*")      # one row each
+
+
 def schema_matches(schema: StructType, expected: StructType) -> bool:
     return [(f.name, f.dataType) for f in schema.fields] == [(f.name, f.dataType) for f in expected.fields]
 
@@ -81,3 +98,8 @@ def profile_table(complaints: DataFrame, date_col: str = "sr_open_dt") -> DataFr
 
 def sample_rows(complaints: DataFrame, n: int = 5) -> DataFrame:
     return complaints.limit(n)
+
+
+def date_list(complaints: DataFrame, date_col: str = "sr_open_dt") -> DataFrame:
+    """(date, rows) of every date in the table."""
+    return complaints.groupBy(F.col(date_col).alias("date")).agg(F.count(F.lit(1)).alias("rows"))

@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from murmur.plans import queries_core, queries_enrich, queries_ingest, queries_ops, queries_periods, queries_state, queries_stream, queries_text, queries_views  # noqa: F401,E501
+    from murmur.plans import queries_core, queries_enrich, queries_ingest, queries_ops, queries_periods, queries_reports, queries_state, queries_stream, queries_text, queries_views  # noqa: F401,E501

@@ -58,3 +58,33 @@ def test_texts_of_rows_that_share_an_id(spark):
     lex = spark.createDataFrame([("good", 1.0), ("many", -1.0)], "term string, weight double")
     p = sorted((str(r["id"]), r["polarity"]) for r in lexicon_polarity(d, "id", "t", lex).collect())
     assert p == [("1", -1.0), ("1", 1.0), ("2", 0.0), ("3", 0.0), ("None", -1.0)]
+
+
+def test_schema_issues_are_rows(spark):
+    from murmur.operators.validate import schema_issues
+    a = spark.createDataFrame([], "x int, y int")
+    tables = {"raw": a, "old": a, "gone": None}
+    assert schema_issues(tables, {"raw": ["x", "z"], "gone": ["x"]}, ["old", "never"]) == [
+        ("gone", "missing table"), ("raw", "missing column z"), ("old", "retired table still exists")]
+
+
+def test_report_without_keywords(spark):
+    from murmur.operators.text import format_report
+    df = spark.createDataFrame([(1, None, "unknown", 0.0, "Other", "low", [])],
+                               "complaint_id int, original_text string, sentiment string, sentiment_score double, category string, "
+                               "priority string, keywords array<string>")
+    assert format_report(df).first()["report"].endswith("Priority Level: LOW\nKey Topics: None identified")
+
+
+def test_daily_command_without_ingest_for_one_dimension(spark, tmp_dir):
+    import os
+
+    from murmur import cli
+    from murmur.sources.tables import complaints
+    table, out = os.path.join(tmp_dir, "table"), os.path.join(tmp_dir, "out")
+    view = complaints(spark, "/root/testdata/sf0.001")
+    day = str(view.agg({"sr_open_dt": "max"}).first()[0])
+    view.write.partitionBy("sr_open_dt").parquet(table)
+    cli.main(["daily", "--table", table, "--out", out, "--date", day, "--file", "/no/such/file.csv", "--no-ingest", "--dimensions", "Region"])
+    dims = {r[0] for r in spark.read.parquet(f"{out}/daily_variations").select("dimension").distinct().collect()}
+    assert dims == {"Region", "Total"}
