@@ -3,15 +3,18 @@
 A known word scores by its log frequency in each language.  An unseen word
 backs off to its character n-grams (word ends marked), longest first: the
 mean of the known n-grams of the first length that has any.  The classifier
-is fitted on a bounded sample of labelled rows (``ROWS_PER_LANG`` a language)
-and keeps the most frequent words and n-grams of each language (``TOP_WORDS``,
-``TOP_GRAMS``), so its size is bounded by the number of languages; prediction
-reads the whole of every text.
+is fitted on a bounded sample of labelled rows (``ROWS_PER_LANG`` different
+texts a language) and keeps every word and n-gram of it; prediction reads the
+whole of every text.
+
+The score is the share of the best language among all, times the share of the
+text's words of which anything is known: a text in a script that was not
+learned scores 0, however few the languages are.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language are not learned from; with nothing learned everything
-is ``und``; repeated rows are learned from as often as they occur; an empty
-table gives no rows.
+is ``und``; copies of a text are learned from once; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 from murmur.llm.common import map_arrow, text_chunks
 
 ROWS_PER_LANG = 1_500
-TOP_WORDS = 20_000
-TOP_GRAMS = 8_000
 MAX_GRAM = 4
 EVIDENCE_WORDS = 40         # a text's mean word score counts as that of at most so many words
 GATHERED_GRAMS = 100_000    # n-grams of unseen words that are scored at once
@@ -87,8 +88,8 @@ class Model:
             counts[k][i, at[x]] = c
         self.logs = [np.log10((c + 0.5) / (c.sum(axis=0) + 0.5 * max(1, len(c)))) for c in counts]
 
-    def unseen(self, words: list[str], counts: list[float]) -> np.ndarray:
-        """Back-off scores of words that were not learned, summed; nothing for a word without any known n-gram."""
+    def unseen(self, words: list[str], counts: list[float]) -> tuple[np.ndarray, float]:
+        """Back-off scores of words that were not learned, summed, and the count of words without any known n-gram."""
         total, left = np.zeros(len(self.langs)), list(zip(words, counts, strict=True))
         for n in range(MAX_GRAM, 0, -1):
             get, logs, shorter = self.rows[n].get, self.logs[n], []
@@ -107,7 +108,7 @@ class Model:
             if at:
                 total += np.array(weights) @ logs[at]
             left = shorter
-        return total
+        return total, sum(c for _, c in left)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text)) if text and self.langs else None
@@ -117,32 +118,43 @@ class Model:
         get = self.rows[0].get
         row = np.fromiter((get(w, -1) for w in counts), np.int64, len(counts))
         known = row >= 0
-        total = weights[known] @ self.logs[0][row[known]]
+        total, blank = weights[known] @ self.logs[0][row[known]], 0.0
         if not known.all():
             new = [(w, c) for (w, c), k in zip(counts.items(), known.tolist(), strict=True) if not k]
-            total = total + self.unseen([w for w, _ in new], [c for _, c in new])
+            backed_off, blank = self.unseen([w for w, _ in new], [c for _, c in new])
+            total = total + backed_off
         mean = total / weights.sum()
         scaled = (mean - mean.max()) * min(weights.sum(), EVIDENCE_WORDS) * np.log(10)
         p = np.exp(scaled)
         best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
-
-
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG,
-        top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
-    """The classifier of the non-null (text, lang) rows; a sample of about
-    ``rows_per_lang`` a language, picked by a hash of the text."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("lang", "_lang")
-    share = F.least(F.lit(1.0), rows_per_lang / F.col("_n")) * 1_000_000
+        return self.langs[best], float(p[best] / p.sum() * (1 - blank / weights.sum()))
+
+
+def learning_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                    rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:
+    """(text, lang) of at most ``rows_per_lang`` different texts a language: those with the smallest hashes.
+
+    Texts are counted by their hashes; a share that leaves about twice as many
+    is drawn before any text is shuffled, and copies meet map-side.
+    """
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().withColumn(
+        "_h", F.xxhash64("text"))
+    totals = rows.select("lang", "_h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    totals = totals.withColumnRenamed("lang", "_lang")
+    # hashes fall evenly into [-2^63, 2^63): the bound of the share, as a double
+    bound = F.least(F.lit(1.0), 2 * rows_per_lang / F.col("_n")) * 2.0 ** 64 - 2.0 ** 63
     if totals.count() <= BROADCAST_LANGS:
         totals = F.broadcast(totals)                            # a row a language
-    sample = (rows.join(totals, F.col("lang") == F.col("_lang"))
-              .filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text", "lang"))
-    ranked = _gram_counts(sample).withColumn("_r", F.row_number().over(
-        Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")))
-    top = ranked.filter(F.col("_r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
-    table = top.select("lang", "n", "gram", "count").toArrow()  # TOP_WORDS and TOP_GRAMS a language
+    drawn = (rows.join(totals, F.col("lang") == F.col("_lang")).filter(F.col("_h").cast("double") <= bound)
+             .groupBy("lang", "_h").agg(F.min("text").alias("text")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    return drawn.withColumn("_place", place).filter(F.col("_place") <= rows_per_lang).select("text", "lang")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Model:
+    """The classifier of the non-null (text, lang) rows, from their ``learning_sample``."""
+    counts = _gram_counts(learning_sample(labelled, text_col, lang_col, rows_per_lang))
+    table = counts.toArrow()                                    # words and n-grams of ROWS_PER_LANG texts a language
     return Model(*(table.column(i).to_pylist() for i in range(4)))
 
 

@@ -174,6 +174,60 @@ def test_language_id(docs, none, spark):
     assert langid.identify(none, model).count() == 0
 
 
+def plain_language(labelled, text, max_gram=4):
+    """The language and score of ``text``, straight from the definition."""
+    def parts(w, n):
+        m = f" {w} "
+        return [w] if n == 0 else list(w) if n == 1 else [m[i:i + n] for i in range(len(m) - n + 1)]
+
+    seen = {(lang, n): Counter(g for t, k in set(labelled) if t is not None and k == lang for w in langid.words_of(t) for g in parts(w, n))
+            for lang in {k for t, k in labelled if k and t is not None} for n in range(max_gram + 1)}
+    langs = sorted({k for k, n in seen if any(seen[k, m] for m in range(max_gram + 1))})
+    vocabulary = {n: set().union(*(seen[k, n] for k in langs)) for n in range(max_gram + 1)}
+    asked = langid.words_of(text or "")
+    if not asked or not langs:
+        return "und", 0.0
+    total, blank = dict.fromkeys(langs, 0.0), 0
+    for w in asked:
+        for n in (0, *range(max_gram, 0, -1)):
+            if known := [g for g in parts(w, n) if g in vocabulary[n]]:
+                for k in langs:
+                    size = sum(seen[k, n].values()) + 0.5 * max(1, len(vocabulary[n]))
+                    total[k] += sum(math.log10((seen[k, n][g] + 0.5) / size) for g in known) / len(known)
+                break
+        else:
+            blank += 1
+    weight = min(len(asked), langid.EVIDENCE_WORDS) / len(asked)
+    odds = {k: 10 ** ((total[k] - max(total.values())) * weight) for k in langs}
+    best = max(langs, key=lambda k: (odds[k], [-ord(c) for c in k]))
+    return best, odds[best] / sum(odds.values()) * (1 - blank / len(asked))
+
+
+def test_language_id_against_the_plain_definition(spark):
+    rng = random.Random(3)
+    stems = {"en": "the cat hat and house", "fr": "le chat la table et maison", "de": "die katze das haus und straße"}
+    labelled = [(" ".join(rng.choices(stems[k].split(), k=rng.randint(3, 12))), k) for k in stems for _ in range(15)]
+    labelled += [labelled[0]] * 5 + [(None, "en"), ("nothing learned", None), ("", "de"), ("42", "xx")]
+    asked = ["the cat", "chats", "hatted houses", "Straßen und Häuser", "Привет мир", "日本語", "cat Привет мир", "", None, "7 8", "zzz qqq",
+             "le chat the " * 60, *(t for t, _ in labelled[:9])]
+    model = langid.fit(spark.createDataFrame(labelled, "text string, lang string"))
+    got = langid.identify(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), model, keep=["i"]).collect()
+    assert len(got) == len(asked)
+    for i, lang, score in got:
+        want = plain_language(labelled, asked[i])
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-9), (asked[i], lang, score, want)
+    assert plain_language(labelled, "Привет мир")[1] == 0.0
+
+
+def test_learning_sample_is_bounded_under_copies(spark):
+    rows = spark.range(4000).selectExpr("'one text over and over' AS text", "'en' AS lang").unionAll(
+        spark.range(3000).selectExpr("concat('text ', id) AS text", "'en' AS lang")).unionAll(
+        spark.range(20).selectExpr("concat('texte ', id) AS text", "'fr' AS lang"))
+    sample = langid.learning_sample(rows, rows_per_lang=500)
+    assert {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"en": 500, "fr": 20}
+    assert sample.distinct().count() == 520
+
+
 def test_lm_scoring(docs, none):
     train = [t for d, t, *_ in ROWS if d is None or d % 2]
     counts = Counter(x for t in train for x in [*tokens(t), b""])
