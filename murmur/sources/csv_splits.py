@@ -16,12 +16,18 @@ The only thing broadcast is the table of first states: a row a block.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# the functions below travel with the job: executors need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CLOSE = re.compile(rb'(?:[^"]|"")*+"')
 _PIECE = pa.schema([("file", pa.string()), ("block", pa.int64()), ("position", pa.int64()), ("record", pa.binary()),
                     ("whole", pa.bool_()), ("starts", pa.bool_()), ("header", pa.bool_())])
@@ -56,9 +62,14 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
     """(block, line without a byte-order mark, first state if there is one) in the order read."""
     previous = None
     for b in batches:
-        first = b.column("inside").to_pylist() if "inside" in b.schema.names else [None] * b.num_rows
-        for file, block, line, inside in zip(b.column("file").to_pylist(), b.column("block").to_pylist(),
-                                             b.column("line").to_pylist(), first):
+        if not b.num_rows:
+            continue
+        place = [b.column(c) for c in ("file", "block", "inside") if c in b.schema.names]
+        ends = [tuple(c[i].as_py() for c in place) for i in (0, b.num_rows - 1)]
+        # a block's lines stand together, so equal ends mean one block
+        places = repeat(ends[0]) if ends[0] == ends[1] else zip(*(c.to_pylist() for c in place))
+        for (file, block, *first), line in zip(places, b.column("line").to_pylist()):
+            inside = first[0] if first else None
             key = (file, block)
             if key != previous and block == 0:
                 line = line.removeprefix(b"\xef\xbb\xbf")
