@@ -1,9 +1,9 @@
 """Bigram language model held in a log-frequency Bloom filter.
 
-Counts cover every training text.  A word or bigram seen c >= 2 times (the
-usual cut-off of one, at every size) has level floor(2 log2 c); the filter
-holds one key for each level from 2 up to its own, and the level is read back
-by probing 2, 3, 4, ... until a probe misses.  The filter is built in segments, one task
+Counts cover every training text.  A word or bigram seen c >= ``min_count`` times
+(1: every one; 2: the usual cut-off of one) has level floor(2 log2 c); the filter
+holds one key for each level from the lowest up to its own, and the level is read back
+by probing the lowest, the next, ... until a probe misses.  The filter is built in segments, one task
 each, whose number grows with the keys.  Up to ``MAX_FILTER_BYTES`` they are
 assembled on the driver and broadcast; a larger filter stays a table, and the
 distinct codes of the texts are sent to their segments and probed there.  Both
@@ -38,7 +38,9 @@ from murmur.llm.common import fold_words, map_arrow, mix64, signed, staged, text
 
 END = b""
 HEAD_WORDS = 300_000
-MIN_LEVEL = 2                       # floor(2 log2 c): n-grams seen once are left out
+MIN_COUNT = 2                       # n-grams seen less often are not held; 1 holds all
+MIN_LEVEL = 2                       # floor(2 log2 c) of MIN_COUNT
+NOT_HELD = -1
 PRIOR = 100.0                       # K: counts the unigram prior is worth
 BITS_PER_KEY, HASHES = 10, 6
 SEGMENT_BITS = 1 << 20              # a power of two
@@ -95,8 +97,8 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _code_counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """(code, n) of words and bigrams seen twice or more.
+def _code_counts(texts: DataFrame, buckets: int, min_count: int = MIN_COUNT) -> DataFrame:
+    """(code, n) of words and bigrams seen ``min_count`` times or more.
 
     Tasks send sorted arrays of codes to the buckets of the code space, not a
     row a code; one bucket holds about ``CODES_PER_BUCKET`` of them.
@@ -133,7 +135,7 @@ def _code_counts(texts: DataFrame, buckets: int) -> DataFrame:
         codes, counts = codes[order], counts[order]
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         codes, counts = codes[starts], np.add.reduceat(counts, starts)
-        often = counts > 1
+        often = counts >= min_count
         return pa.table({"code": signed(codes[often]), "n": pa.array(counts[often])})
 
     sent = map_arrow(texts, run, "bucket int, codes binary, counts binary")
@@ -161,8 +163,8 @@ class Filter:
         self.bits, self.segments, self.min_level = bits, len(bits) * 8 // SEGMENT_BITS, min_level
 
     def levels(self, codes: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
-        """Level of each code (0: not held): membership probes, level after level, in its ``segment`` of these bits."""
-        out = np.zeros(len(codes), np.int64)
+        """Level of each code (``NOT_HELD``: in no training text): membership probes, level after level, in its ``segment`` of these bits."""
+        out = np.full(len(codes), NOT_HELD)
         if not self.segments:
             return out
         base = (segment_of(codes, self.segments) if segment is None else segment) * (SEGMENT_BITS // 8)
@@ -179,10 +181,11 @@ class Filter:
         return out
 
 
-def expected_counts(none: float) -> np.ndarray:
-    """Middle count of each level; ``none`` for n-grams that are not held."""
+def expected_counts(none: float, low: int = MIN_LEVEL) -> np.ndarray:
+    """Middle count of each level; ``none``, the last, for n-grams that are not held."""
     first = np.ceil(2.0 ** (np.arange(MAX_LEVEL + 1) / 2) - 1e-9)
-    return np.where(np.arange(MAX_LEVEL) >= MIN_LEVEL, (first[:-1] + np.maximum(first[1:] - 1, first[:-1])) / 2, none)
+    middle = (first[:-1] + np.maximum(first[1:] - 1, first[:-1])) / 2
+    return np.append(np.where(np.arange(MAX_LEVEL) >= low, middle, none), none)
 
 
 def _level() -> Column:
@@ -218,15 +221,15 @@ def filter_segments(counts: DataFrame, segments: int, low: int = MIN_LEVEL) -> D
             .groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
 
 
-def build_filter(counts: DataFrame) -> Filter:
-    """The filter of (code, n) rows with n >= 2; ``segments_for`` tells its size beforehand."""
-    segments = segments_for(level_rows(counts))
+def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
+    """The filter of (code, n) rows; ``segments_for`` tells its size beforehand."""
+    segments = segments_for(level_rows(counts), low)
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     if segments:
         size = SEGMENT_BITS // 8
-        for r in filter_segments(counts, segments).toLocalIterator():                # max_filter_bytes in all
+        for r in filter_segments(counts, segments, low).toLocalIterator():                # max_filter_bytes in all
             bits[r["segment"] * size:(r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, MIN_LEVEL)
+    return Filter(bits, low)
 
 
 # -- a filter that is too large to broadcast ------------------------------------------
@@ -257,7 +260,7 @@ def chunk_codes(h: np.ndarray, numbers: np.ndarray, segments: int) -> tuple[np.n
     return codes[order], bucket[order]
 
 
-def probed(chunks: DataFrame, parts: DataFrame, segments: int) -> DataFrame:
+def probed(chunks: DataFrame, parts: DataFrame, segments: int, low: int = MIN_LEVEL) -> DataFrame:
     """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its segment."""
     def send(group: pa.Table) -> pa.Table:
         words, numbers, _ = numbered(group.column("_text"))
@@ -278,8 +281,8 @@ def probed(chunks: DataFrame, parts: DataFrame, segments: int) -> DataFrame:
                 bits[at:at + size] = np.frombuffer(data, np.uint8)
             else:
                 asked.append((chunk, np.frombuffer(data, np.uint64)))
-        held = Filter(bits, MIN_LEVEL)
-        answers = [held.levels(c, segment_of(c, segments) - bucket * SEGMENTS_PER_BUCKET).astype(np.uint8).tobytes() for _, c in asked]
+        held = Filter(bits, low)
+        answers = [held.levels(c, segment_of(c, segments) - bucket * SEGMENTS_PER_BUCKET).astype(np.int8).tobytes() for _, c in asked]
         return pa.table({"chunk": pa.array([k for k, _ in asked], pa.int64()), "bucket": pa.array([bucket] * len(asked), pa.int32()),
                          "levels": pa.array(answers, pa.binary())})
 
@@ -306,27 +309,29 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: list[str] | None = None, head_words: int = HEAD_WORDS, prior: float = PRIOR,
-                max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+                max_filter_bytes: int = MAX_FILTER_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
     """Columns ``keep`` plus n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
-    ``train`` is any DataFrame with ``text_col``.
+    ``train`` is any DataFrame with ``text_col``.  Words and bigrams seen less
+    often than ``min_count`` (1 or 2) count as not seen in ``score``.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     learned = train.select(F.col(text_col).alias("text"))
+    low = MIN_LEVEL if min_count > 1 else 0
     counts = staged(_word_counts(learned), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    codes = staged(_code_counts(learned, max(1, -(-2 * total // CODES_PER_BUCKET))), "lm-codes")
-    segments = segments_for(level_rows(codes))
+    codes = staged(_code_counts(learned, max(1, -(-2 * total // CODES_PER_BUCKET)), min_count), "lm-codes")
+    segments = segments_for(level_rows(codes), low)
     whole = segments * SEGMENT_BITS // 8 <= max_filter_bytes                        # beyond: texts' codes go to the segments
-    bloom = build_filter(codes) if whole else Filter(np.zeros(0, np.uint8), MIN_LEVEL)
+    bloom = build_filter(codes, low) if whole else Filter(np.zeros(0, np.uint8), low)
     head = frequent_words(counts, head_words)
     shared = spark.sparkContext.broadcast((head, bloom.bits))                       # head_words and max_filter_bytes
     norm = float(total + distinct + 1)
 
     def score(columns: list, texts: pa.Array | pa.ChunkedArray, levels: Callable) -> pa.RecordBatch:
         head = shared.value[0]
-        seen_words, seen_pairs = expected_counts(0.5), expected_counts(0.0)
+        seen_words, seen_pairs = expected_counts(0.5, low), expected_counts(0.0, low)
         words, numbers, ends = numbered(texts)
         starts = np.concatenate([[0], ends[:-1]])
         h = word_hashes(words)
@@ -354,7 +359,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
             [*keep, "_row", "n_tokens", "n_known", "base_score", "score", "_tail"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Filter(shared.value[1], MIN_LEVEL)
+        bloom = Filter(shared.value[1], low)
 
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pairs, at = np.unique(previous(numbers) * len(h) + numbers, return_inverse=True)     # each bigram is probed once
@@ -370,7 +375,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             codes, _ = chunk_codes(h, numbers, segments)
             found = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-            level = np.concatenate([np.frombuffer(found[b], np.uint8) for b in sorted(found)])
+            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)])
             order = np.argsort(codes)
             codes, level = codes[order], level[order].astype(np.int64)
             look = lambda x: level[np.searchsorted(codes, x)]
@@ -387,7 +392,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         scored = map_arrow(rows, run, ddl)
     else:
         chunks = chunked(rows)
-        answers = probed(chunks, filter_segments(codes, segments), segments)
+        answers = probed(chunks, filter_segments(codes, segments, low), segments, low)
         scored = chunks.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, ddl)
     scored = staged(scored, "lm-scored")
     rare = scored.select("_row", F.inline("_tail")).join(counts, "token", "left")

@@ -275,6 +275,19 @@ def test_lm_score_against_a_plain_model(docs):
     assert sum(x < 1e-9 for x in off) > 0.5 * len(off) and max(off) < 0.1
 
 
+@pytest.mark.parametrize("size", [1 << 25, 0])
+def test_lm_learns_words_and_pairs_seen_once(spark, size):
+    """With ``min_count`` 1 a pair seen once counts once."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(reversed(words)) + " new")], "doc_id long, text string")
+    rows = lm.score_texts(docs, docs.filter("doc_id = 1"), max_filter_bytes=size, min_count=1).collect()
+    norm = 401 + 401 + 1
+    known, unknown = ((c + lm.PRIOR * 2 / norm) / (1 + lm.PRIOR) for c in (1, 0))
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert got[1] == pytest.approx(401 * math.log10(known), abs=2)    # seldom false positives of the filter
+    assert got[2] == pytest.approx(402 * math.log10(unknown), abs=25)
+
+
 def test_lm_scores_do_not_depend_on_the_filter_s_form(docs, none):
     training = docs.filter("doc_id is null or doc_id % 2 = 1")
     whole, large = (sorted(map(tuple, lm.score_texts(docs, training, max_filter_bytes=size).collect()), key=str) for size in (1 << 25, 0))
