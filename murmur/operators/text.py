@@ -213,23 +213,26 @@ def extract_keywords(df: DataFrame, id_col: str, text_col: str, n: int = KEYWORD
                      stop_words: list[str] = KEYWORD_STOP_WORDS, row_local: bool = False) -> DataFrame:
     """(id, word, freq, first_pos, rank) for the top ``n`` keywords of every text.
 
-    Default plan: one aggregation by (id, word), combined map-side (a text is
-    one input row, so its counts are complete before the shuffle), then a
-    per-text top-n window whose row limit is applied before its shuffle.
-    ``row_local=True`` uses ``with_top_keywords`` instead: no shuffle at all,
-    at a higher CPU cost (array functions are interpreted).
+    Rows that share an id are one text.  An id of one row takes its keywords
+    from ``with_top_keywords``, so only ids are shuffled; the rows of repeated
+    ids are aggregated by (id, word), with a top-n window.
+    ``row_local=True`` gives every row its own keywords.
     """
-    if row_local:
-        top = with_top_keywords(df.select(id_col, text_col), text_col, "_top", n, stop_words)
-        # posexplode_outer + a filter above it: a plain explode makes the optimizer
-        # infer size(_top) > 0 and push it below the projections, re-inlining them
-        top = top.select(id_col, F.posexplode_outer("_top").alias("_r", "_k")).filter(F.col("_k").isNotNull())
-        return top.select(id_col, F.col("_k.word").alias("word"), F.col("_k.freq").alias("freq"),
-                          F.col("_k.first_pos").alias("first_pos"), (F.col("_r") + 1).alias("rank"))
-    freq = word_frequencies(df, id_col, text_col, stop_words)
-    w = Window.partitionBy(id_col).orderBy(F.desc("freq"), "first_pos")
-    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
-        .select(id_col, "word", "freq", F.col("first_pos").cast("bigint").alias("first_pos"), "rank")
+    if not row_local:
+        shared = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_id")
+        own = extract_keywords(df, id_col, text_col, n, stop_words, row_local=True)
+        if shared.isEmpty():
+            return own
+        same = F.col(id_col).eqNullSafe(F.col("_id"))
+        freq = word_frequencies(df.join(shared, same, "left_semi"), id_col, text_col, stop_words)
+        w = Window.partitionBy(id_col).orderBy(F.desc("freq"), "first_pos")
+        ranked = freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n) \
+            .select(id_col, "word", "freq", F.col("first_pos").cast("bigint").alias("first_pos"), "rank")
+        return own.join(shared, same, "left_anti").union(ranked)
+    top = with_top_keywords(df.select(id_col, text_col), text_col, "_top", n, stop_words)
+    top = top.select(id_col, F.posexplode("_top").alias("_r", "_k"))
+    return top.select(id_col, F.col("_k.word").alias("word"), F.col("_k.freq").alias("freq"),
+                      F.col("_k.first_pos").alias("first_pos"), (F.col("_r") + 1).alias("rank"))
 
 
 def word_frequencies(df: DataFrame, id_col: str, text_col: str,

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from murmur.operators import text
 from murmur.operators.text import (analyze_complaints, clean_text, determine_priority, load_text_dedup,
                                    priority_distribution, sentiment_by_category)
 
@@ -87,3 +88,22 @@ def test_row_local_keywords_equal_set_based(spark):
     df = spark.createDataFrame(g, "complaint_id long, complaint_text string")
     x = {r["complaint_id"]: r["keywords"] for r in analyze_complaints(df, row_local_keywords=True).collect()}
     assert [x[i] for i in range(len(GOLDEN))] == [row[4] for row in GOLDEN]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_of_unique_ids_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "late late parcel, Parcel late"), (2, None), (3, "")], "id long, text string")
+    top = text.extract_keywords(df, "id", "text")
+    assert [tuple(r) for r in top.orderBy("rank").collect()] == [(1, "late", 3, 0, 1), (1, "parcel", 2, 2, 2)]
+    assert "Exchange" not in _plan(top) and "Window" not in _plan(top)
+
+
+def test_keywords_of_repeated_and_missing_ids_are_counted_together(spark):
+    rows = [(1, "alpha beta"), (1, "beta gamma beta"), (None, "delta"), (None, "delta alpha"), (2, "alpha alpha zeta")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["id"], r["word"]): (r["freq"], r["first_pos"]) for r in text.extract_keywords(df, "id", "text").collect()}
+    assert got == {(1, "beta"): (3, 0), (1, "alpha"): (1, 0), (1, "gamma"): (1, 1), (None, "delta"): (2, 0), (None, "alpha"): (1, 1),
+                   (2, "alpha"): (2, 0), (2, "zeta"): (1, 2)}
