@@ -21,6 +21,10 @@ fixed values of ``murmur.constants``; callers may pass their own.
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ from murmur.constants import (CATEGORY_TERMS, KEYWORD_MIN_LENGTH, KEYWORD_STOP_W
 from murmur.functions.text import (EMAIL_PATTERN_ANCHORED, NON_WORD_PATTERN, SPECIAL_PATTERN, URL_PATTERN,
                                    count_contained, any_contained, squeeze_spaces, whole_word_count, words)
 
+LEMMA_CHUNK_BYTES = 4_000_000           # texts whose distinct words are looked up together
 ANALYSIS_COLUMNS = ["complaint_id", "original_text", "cleaned_text", "sentiment", "sentiment_score",
                     "category", "priority", "keywords"]
 
@@ -173,40 +178,24 @@ def with_top_keywords(df: DataFrame, text_col: str, out_col: str = "_top_keyword
                       stop_words: list[str] = KEYWORD_STOP_WORDS) -> DataFrame:
     """Add ``out_col``: array<struct<word, freq, first_pos>> of the ``n`` top keywords, in rank order.
 
-    Row-local, built-in array functions only: a text is one row, so its word
-    frequencies need no shuffle and no join back to the text.  The candidate
-    (word, position) pairs are sorted, runs of equal words are found from
-    their start indices, and each run gives (count, first position, word);
-    sorting the runs by (-count, first position) ranks them.  O(w log w) per
-    text of w words.  The sorted pairs and the run starts are columns of their
-    own (separate projections): lambdas read them instead of re-evaluating
-    them per element.
+    Row-local: a text is one row, so its words are counted in an Arrow batch
+    with no shuffle and no join back to the text.
     """
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    toks = F.filter(
-        F.transform(words(F.regexp_replace(F.lower(F.col(text_col)), NON_WORD_PATTERN, "")),
-                    lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
-        lambda t: (F.length(t["word"]) >= KEYWORD_MIN_LENGTH) & ~F.array_contains(stops, t["word"]))
-    keep = [c for c in df.columns]
-    step1 = df.select(*keep, F.array_sort(toks).alias("_kw_srt"))
-    srt = F.col("_kw_srt")
-    m = F.size(srt)
-
-    def is_start(i):
-        prev_differs = F.element_at(srt, i)["word"] != F.element_at(srt, F.greatest(i - 1, F.lit(1)))["word"]
-        return F.when(i > m, F.lit(False)).when(i == 1, F.lit(True)).otherwise(prev_differs)
-
-    step2 = step1.select(*keep, "_kw_srt",
-                         F.filter(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), is_start).alias("_kw_starts"))
-    starts = F.col("_kw_starts")
-    runs = F.transform(starts, lambda st, j: F.struct(
-        (st - F.coalesce(F.try_element_at(starts, j + 2), m + 1)).alias("neg_freq"),
-        F.element_at(srt, st)["pos"].alias("first_pos"),
-        F.element_at(srt, st)["word"].alias("word")))
-    top = F.transform(F.slice(F.array_sort(runs), 1, n),
-                      lambda r: F.struct(r["word"].alias("word"), (-r["neg_freq"]).cast("bigint").alias("freq"),
-                                         r["first_pos"].cast("bigint").alias("first_pos")))
-    return step2.select(*keep, top.alias(out_col))
+    stops = frozenset(stop_words)
+    least = KEYWORD_MIN_LENGTH
+
+    def top(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            tokens = t.split() if t else []             # the white space of ``words``
+            held = Counter(tokens)                      # by first occurrence, which ``nsmallest`` keeps on ties
+            best = nsmallest(n, ((w, k) for w, k in held.items() if len(w) >= least and w not in stops), key=lambda x: -x[1])
+            out.append([{"word": w, "freq": k, "first_pos": tokens.index(w)} for w, k in best])
+        return pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("freq", pa.int64()), ("first_pos", pa.int64())])))
+
+    cleaned = F.regexp_replace(F.lower(F.col(text_col)), NON_WORD_PATTERN, "")
+    count = F.arrow_udf(top, "array<struct<word: string, freq: bigint, first_pos: bigint>>")
+    return df.withColumn(out_col, count(cleaned))
 
 
 def extract_keywords(df: DataFrame, id_col: str, text_col: str, n: int = KEYWORDS_KEPT,

@@ -107,3 +107,10 @@ def test_keywords_of_repeated_and_missing_ids_are_counted_together(spark):
     got = {(r["id"], r["word"]): (r["freq"], r["first_pos"]) for r in text.extract_keywords(df, "id", "text").collect()}
     assert got == {(1, "beta"): (3, 0), (1, "alpha"): (1, 0), (1, "gamma"): (1, 1), (None, "delta"): (2, 0), (None, "alpha"): (1, 1),
                    (2, "alpha"): (2, 0), (2, "zeta"): (1, 2)}
+
+
+def test_analysis_counts_keywords_in_arrow_batches(spark):
+    df = spark.createDataFrame([(1, "slow slow refund Refund the x"), (2, None)], "complaint_id long, complaint_text string")
+    out = text.analyze_complaints(df)
+    assert {r["complaint_id"]: r["keywords"] for r in out.collect()} == {1: ["slow", "refund"], 2: []}
+    assert "ArrowEvalPython" in _plan(out) and "array_sort" not in _plan(out)
