@@ -76,24 +76,33 @@ def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
 def lemmatize(df: DataFrame, text_col: str, id_col: str | None, lemmas: DataFrame | None) -> DataFrame:
     """Replace tokens by lemmas from a (form, lemma) table; identity without a table.
 
-    Only forms of the texts' own vocabulary that change are joined to the
-    tokens (a lexicon: the planner broadcasts it when its statistics are
-    small), and only texts that hold one are rebuilt, once a distinct text.
+    Texts are dealt to chunks of a few MB; the distinct words of a chunk are
+    joined to the forms that change, and a chunk's texts are rebuilt with the
+    lemmas found.  Texts without a form that changes stay as they are.
     Rows that share an id, or have none, keep their own texts (``id_col`` is
     not used); of several lemmas of a form the smallest counts.
     """
     if lemmas is None:
         return df
-    forms = (lemmas.filter(F.col("form") != F.col("lemma")).groupBy("form").agg(F.min("lemma").alias("lemma"))
-             .join(vocabulary(df, text_col).withColumnRenamed("word", "form"), "form", "left_semi"))
     text = F.col(text_col)
-    toks = df.select(*_text_key(text), F.posexplode(words(text)).alias("pos", "form"))
-    back = (toks.join(forms, "form", "left").groupBy("_k1", "_k2")
-            .agg(F.array_sort(F.collect_set(F.struct("pos", F.coalesce("lemma", "form").alias("w")))).alias("_w"),
-                 F.count("lemma").alias("_n")).filter(F.col("_n") > 0)
-            .select("_k1", "_k2", F.array_join(F.transform("_w", lambda t: t["w"]), " ").alias("_lem")))
-    return df.select("*", *_text_key(text)).join(back, ["_k1", "_k2"], "left").select(
-        *[F.coalesce("_lem", text).alias(c) if c == text_col else F.col(c) for c in df.columns])
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64(*df.columns), F.lit(size // LEMMA_CHUNK_BYTES + 1))
+    placed = df.withColumn("_chunk", chunk)
+    tokens = placed.select("_chunk", text.alias("_t")).repartition("_chunk").select(
+        "_chunk", F.explode(F.array_distinct(words(F.col("_t")))).alias("form")).distinct()
+    forms = lemmas.filter(F.col("form") != F.col("lemma")).groupBy("form").agg(F.min("lemma").alias("lemma"))
+    found = tokens.join(forms, "form").select(F.col("_chunk").alias("_at"), "form", "lemma")
+
+    def rebuild(group: pa.Table, changed: pa.Table) -> pa.Table:
+        group = group.drop_columns("_chunk")
+        lemma = dict(zip(changed.column("form").to_pylist(), changed.column("lemma").to_pylist()))
+        out = []
+        for t in group.column(text_col).to_pylist():
+            parts = t.split() if t else []              # the white space of ``words``
+            out.append(" ".join([lemma.get(w, w) for w in parts]) if not lemma.keys().isdisjoint(parts) else t)
+        return group.set_column(group.column_names.index(text_col), text_col, pa.array(out, pa.string()))
+
+    return placed.groupBy("_chunk").cogroup(found.groupBy("_at")).applyInArrow(rebuild, df.schema)
 
 
 def preprocess(df: DataFrame, text_col: str, stop_words: list[str] | None = KEYWORD_STOP_WORDS,

@@ -114,3 +114,15 @@ def test_analysis_counts_keywords_in_arrow_batches(spark):
     out = text.analyze_complaints(df)
     assert {r["complaint_id"]: r["keywords"] for r in out.collect()} == {1: ["slow", "refund"], 2: []}
     assert "ArrowEvalPython" in _plan(out) and "array_sort" not in _plan(out)
+
+
+def test_lemmas_shuffle_words_of_chunks_not_tokens(spark, monkeypatch):
+    monkeypatch.setattr(text, "LEMMA_CHUNK_BYTES", 40)
+    rows = [(1, "cats  and dogs cats"), (1, "dogs ran"), (None, None), (2, "no  change"), (3, "cats " * 50), (3, "cats " * 50)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "cax"), ("dogs", "dog"), ("no", "no")], "form string, lemma string")
+    out = text.lemmatize(df, "text", "id", lemmas)
+    cats = " ".join(["cat"] * 50)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "cat and dog cat"), (1, "dog ran"), (None, None), (2, "no  change"), (3, cats), (3, cats)], key=str)
+    assert "posexplode" not in _plan(out) and "collect_set" not in _plan(out)
