@@ -29,14 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import fold_words, map_arrow, mix64, signed, staged, text_chunks
+from murmur.llm.common import END, map_arrow, mix64, numbered, signed, staged, text_chunks
 
-END = b""
 HEAD_WORDS = 300_000
 MIN_COUNT = 2                       # n-grams seen less often are not held; 1 holds all
 MIN_LEVEL = 2                       # floor(2 log2 c) of MIN_COUNT
@@ -66,21 +64,6 @@ def bigram_codes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mix64(mix64(first, 2) * np.uint64(0x9FB21C651E98DF25) + second, 3)
 
 
-def numbered(texts: pa.Array | pa.ChunkedArray | list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, numbers, ends): the texts' tokens as numbers into ``words``, end token (number 0) after each text."""
-    held = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(held, "")))
-    words = parts.flatten()
-    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0            # none before a leading space
-    of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))[real]
-    coded = words.filter(pa.array(real)).dictionary_encode()
-    ends = np.cumsum(np.bincount(of, minlength=len(parts)) + 1).astype(np.int64)
-    numbers = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-    numbers[np.arange(len(of)) + of] = coded.indices.to_numpy().astype(np.int64) + 1
-    return [END, *coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()], numbers, ends
-
-
 def previous(numbers: np.ndarray) -> np.ndarray:
     """The token before each one; the end token stands before a text's first."""
     return np.concatenate([[0], numbers[:-1]])
