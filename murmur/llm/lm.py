@@ -3,10 +3,10 @@
 Counts cover every training text.  A word or bigram seen c >= ``min_count`` times
 (1: every one; 2: the usual cut-off of one) has level floor(2 log2 c); the filter
 holds one key for each level from the lowest up to its own, and the level is read back
-by probing the lowest, the next, ... until a probe misses.  The filter is built in segments, one task
-each, whose number grows with the keys.  Up to ``MAX_FILTER_BYTES`` they are
+by probing the lowest, the next, ... until a probe misses.  The filter is built in buckets of the code
+space, where the counts meet, each of as many segments as its keys need.  Up to ``MAX_FILTER_BYTES`` they are
 assembled on the driver and broadcast; a larger filter stays a table, and the
-distinct codes of the texts are sent to their segments and probed there.  Both
+distinct codes of the texts are sent to their buckets and probed there.  Both
 forms have the same segments and cut-off, so the same scores.
 Probabilities are Dirichlet-smoothed,
 
@@ -25,12 +25,13 @@ gives no rows.  Words are bytes, the end token is the empty byte string.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import END, map_arrow, mix64, numbered, signed, staged, text_chunks
@@ -43,12 +44,11 @@ PRIOR = 100.0                       # K: counts the unigram prior is worth
 BITS_PER_KEY, HASHES = 10, 6
 SEGMENT_BITS = 1 << 20              # a power of two
 MAX_FILTER_BYTES = 48 << 20
-CODES_PER_BUCKET = 600_000
+CODES_PER_BUCKET = 1_200_000
 FLUSH_CODES = 4_000_000
 MAX_LEVEL = 96
-SEGMENTS_PER_BUCKET = 8             # segments one task probes, beyond MAX_FILTER_BYTES
 COUNT_CHARS = 8_000_000             # texts whose words are counted together
-CHUNK_CHARS = 2_000_000             # texts whose distinct codes are probed together
+CHUNK_CHARS = 4_000_000             # texts whose distinct codes are probed together
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -80,24 +80,42 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def _code_counts(texts: DataFrame, buckets: int, min_count: int = MIN_COUNT) -> DataFrame:
-    """(code, n) of words and bigrams seen ``min_count`` times or more.
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of the code space each code lies in."""
+    return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def by_bucket(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, its part) of sorted codes."""
+    bucket = bucket_of(codes, buckets)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(codes)]
+    return ((int(bucket[i]), slice(i, j)) for i, j in itertools.pairwise(cuts) if j > i)
+
+
+def planes(sorted_codes: np.ndarray) -> bytes:
+    """The gaps of sorted codes, byte by byte of all: the high bytes are zero, so Spark's compression drops them."""
+    return np.diff(sorted_codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, codes, counts) of sorted codes."""
+    parts = [(b, planes(codes[at]), counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+             for b, at in by_bucket(codes, buckets)]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))],
+                                      ["bucket", "codes", "counts"])
+
+
+def _code_counts(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, codes, counts) of words and bigrams, to be added up by bucket.
 
     Tasks send sorted arrays of codes to the buckets of the code space, not a
     row a code; one bucket holds about ``CODES_PER_BUCKET`` of them.
     """
-    width = min((1 << 64) // buckets + 1, (1 << 64) - 1)
-
-    def packed(codes: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(codes), return_counts=True)
-        bucket = (values // np.uint64(width)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = [(int(b[0]), v.tobytes(), c.astype(np.uint32).tobytes()) for b, v, c in
-                 zip(np.split(bucket, cuts), np.split(values, cuts), np.split(n, cuts), strict=True)]
-        b, v, c = zip(*parts, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(v, pa.binary()), pa.array(c, pa.binary())],
-                                          ["bucket", "codes", "counts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
@@ -106,27 +124,17 @@ def _code_counts(texts: DataFrame, buckets: int, min_count: int = MIN_COUNT) ->
                 h = word_hashes(words)
                 held += [unigram_codes(h)[numbers], bigram_codes(h[previous(numbers)], h[numbers])]
                 if sum(map(len, held)) > FLUSH_CODES:
-                    yield packed(held)
+                    yield _counted(*np.unique(np.concatenate(held), return_counts=True), buckets)
                     held = []
         if held:
-            yield packed(held)
+            yield _counted(*np.unique(np.concatenate(held), return_counts=True), buckets)
 
-    def merge(group: pa.Table) -> pa.Table:
-        codes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("codes")])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("counts")]).astype(np.int64)
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        codes, counts = codes[starts], np.add.reduceat(counts, starts)
-        often = counts >= min_count
-        return pa.table({"code": signed(codes[often]), "n": pa.array(counts[often])})
+    return map_arrow(texts, run, "bucket int, codes binary, counts binary")
 
-    sent = map_arrow(texts, run, "bucket int, codes binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "code long, n long")
 
-
-def segment_of(codes: np.ndarray, segments: int) -> np.ndarray:
-    return ((codes >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
+def segment_of(codes: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """Segment of each code among the ``segments`` of its bucket."""
+    return ((codes >> np.uint64(32)) % segments.astype(np.uint64)).astype(np.int64)
 
 
 def _seeds(codes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,18 +148,19 @@ def _position(a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
 
 
 class Filter:
-    """Log-frequency Bloom filter; ``bits`` is one byte array of whole segments."""
+    """Log-frequency Bloom filter; ``bits`` is one byte array of whole segments, ``sizes`` the segments of each bucket in turn."""
 
-    def __init__(self, bits: np.ndarray, min_level: int):
-        self.bits, self.segments, self.min_level = bits, len(bits) * 8 // SEGMENT_BITS, min_level
+    def __init__(self, bits: np.ndarray, min_level: int, sizes: np.ndarray | None = None):
+        self.bits, self.min_level = bits, min_level
+        self.sizes = np.array([len(bits) * 8 // SEGMENT_BITS]) if sizes is None else sizes
 
-    def levels(self, codes: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
-        """Level of each code (``NOT_HELD``: in no training text): membership probes, level after level, in its ``segment`` of these bits."""
+    def levels(self, codes: np.ndarray) -> np.ndarray:
+        """Level of each code (``NOT_HELD``: in no training text): membership probes, level after level, in its segment."""
         out = np.full(len(codes), NOT_HELD)
-        if not self.segments:
-            return out
-        base = (segment_of(codes, self.segments) if segment is None else segment) * (SEGMENT_BITS // 8)
-        alive = np.arange(len(codes))
+        bucket = bucket_of(codes, len(self.sizes))
+        size = self.sizes[bucket]
+        base = ((np.cumsum(self.sizes) - self.sizes)[bucket] + segment_of(codes, np.maximum(size, 1))) * (SEGMENT_BITS // 8)
+        alive = np.flatnonzero(size > 0)
         for level in range(self.min_level, MAX_LEVEL):
             a, b = _seeds(codes[alive], level)
             for i in range(HASHES):                 # a key that misses one probe needs no other
@@ -171,108 +180,86 @@ def expected_counts(none: float, low: int = MIN_LEVEL) -> np.ndarray:
     return np.append(np.where(np.arange(MAX_LEVEL) >= low, middle, none), none)
 
 
-def _level() -> Column:
-    return F.least(F.floor(2 * F.log2("n") + 1e-9), F.lit(MAX_LEVEL - 1)).cast("int")
+def filter_parts(counts: DataFrame, low: int = MIN_LEVEL) -> DataFrame:
+    """(bucket, bits) of the filter of (bucket, codes, counts) rows, as many segments as the bucket's keys need; none without a key."""
+    def fill(group: pa.Table) -> pa.Table:
+        codes = np.concatenate([from_planes(x.as_py()) for x in group.column("codes")])
+        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                                 for x in group.column("counts")]).astype(np.int64)
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        codes, counts = codes[starts], np.add.reduceat(counts, starts)
+        levels = np.minimum(np.floor(2 * np.log2(counts) + 1e-9), MAX_LEVEL - 1).astype(np.int64)
+        segments = -(-int(np.maximum(levels - low + 1, 0).sum()) * BITS_PER_KEY // SEGMENT_BITS)
+        if not segments:
+            return pa.table({"bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+        bits = np.zeros(segments * SEGMENT_BITS, np.uint8)
+        base = segment_of(codes, np.array(segments)) * SEGMENT_BITS
+        for lv in range(low, int(levels.max()) + 1):
+            held = levels >= lv
+            a, b = _seeds(codes[held], lv)
+            for i in range(HASHES):
+                bits[base[held] + _position(a, b, i)] = 1
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
+    return counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
 
-def level_rows(counts: DataFrame) -> dict[int, int]:
-    """Rows of each level in (code, n)."""
-    return {r["level"]: r["rows"] for r in counts.groupBy(_level().alias("level"))
-            .agg(F.count(F.lit(1)).alias("rows")).collect()}                        # one row a level
 
+def assembled(parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> Filter:
+    """The filter of all its parts, on the driver."""
+    held = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in parts.toLocalIterator()}       # max_filter_bytes in all
+    sizes = np.array([len(held.get(b, b"")) * 8 // SEGMENT_BITS for b in range(buckets)])
+    return Filter(np.concatenate([np.zeros(0, np.uint8), *(held[b] for b in sorted(held))]), low, sizes)
 
-def segments_for(held: dict[int, int], low: int = MIN_LEVEL) -> int:
-    keys = sum((lv - low + 1) * n for lv, n in held.items() if lv >= low)
-    return -(-keys * BITS_PER_KEY // SEGMENT_BITS)
 
+def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
+    """The filter of (code, n) rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("code").to_numpy().view(np.uint64)
+            order = np.argsort(codes)
+            yield _counted(codes[order], batch.column("n").to_numpy()[order], 1)
 
-def filter_segments(counts: DataFrame, segments: int, low: int = MIN_LEVEL) -> DataFrame:
-    """(segment, bits) of the filter of (code, n) rows; segments without a key have no row."""
-    def fill(group: pa.Table) -> pa.Table:
-        codes = group.column("code").to_numpy().view(np.uint64)
-        levels = group.column("level").to_numpy()
-        bits = np.zeros(SEGMENT_BITS, np.uint8)
-        for lv in range(low, int(levels.max()) + 1):
-            a, b = _seeds(codes[levels >= lv], lv)
-            for i in range(HASHES):
-                bits[_position(a, b, i)] = 1
-        return pa.table({"segment": group.column("segment")[:1],
-                         "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+    return assembled(filter_parts(map_arrow(counts.select("code", "n"), run, "bucket int, codes binary, counts binary"), low), 1, low)
 
-    segment = F.pmod(F.shiftrightunsigned("code", 32), F.lit(segments)).cast("int")
-    return (counts.select("code", _level().alias("level"), segment.alias("segment")).filter(F.col("level") >= low)
-            .groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
 
+# -- a filter that is too large to broadcast ------------------------------------------
+def chunked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` plus ``_chunk``: about ``CHUNK_CHARS`` of texts, dealt by what the rows hold."""
+    chars = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64(*keys, "_text", F.spark_partition_id()), F.lit(chars // CHUNK_CHARS + 1)))
 
-def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
-    """The filter of (code, n) rows; ``segments_for`` tells its size beforehand."""
-    segments = segments_for(level_rows(counts), low)
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    if segments:
-        size = SEGMENT_BITS // 8
-        for r in filter_segments(counts, segments, low).toLocalIterator():                # max_filter_bytes in all
-            bits[r["segment"] * size:(r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(bits, low)
 
+def chunk_codes(h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The distinct codes of a chunk's words and bigrams."""
+    return np.unique(np.concatenate([unigram_codes(h), bigram_codes(h[previous(numbers)], h[numbers])]))
 
-# -- a filter that is too large to broadcast ------------------------------------------
-def chunked(rows: DataFrame) -> DataFrame:
-    """``rows`` plus ``_chunk``: texts of about ``CHUNK_CHARS`` of one task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, chars = -1, CHUNK_CHARS
-        for batch in batches:
-            task = batch.column("_chunk")
-            for i, j in text_chunks(batch, "_text", CHUNK_CHARS):
-                size = sum(len(t.as_py() or "") for t in batch.column("_text")[i:j])
-                if chars + size > CHUNK_CHARS:
-                    chunk, chars = chunk + 1, 0
-                chars += size
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k)[i:j] for k in range(batch.num_columns - 1)),
-                     pa.array([t.as_py() << 33 | chunk for t in task[i:j]], pa.int64())], batch.schema.names)
-
-    tagged = rows.withColumn("_chunk", F.spark_partition_id().cast("long"))
-    return staged(map_arrow(tagged, run, tagged.schema), "lm-chunks")
-
-
-def chunk_codes(h: np.ndarray, numbers: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct codes of a chunk's words and bigrams, their buckets), by bucket and code."""
-    codes = np.unique(np.concatenate([unigram_codes(h), bigram_codes(h[previous(numbers)], h[numbers])]))
-    bucket = segment_of(codes, segments) // SEGMENTS_PER_BUCKET
-    order = np.argsort(bucket, kind="stable")
-    return codes[order], bucket[order]
-
-
-def probed(chunks: DataFrame, parts: DataFrame, segments: int, low: int = MIN_LEVEL) -> DataFrame:
-    """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its segment."""
+
+def probed(chunks: DataFrame, parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> DataFrame:
+    """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its bucket of the filter."""
     def send(group: pa.Table) -> pa.Table:
         words, numbers, _ = numbered(group.column("_text"))
-        codes, bucket = chunk_codes(word_hashes(words), numbers, segments)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        b, x = np.split(bucket, cuts), np.split(codes, cuts)
-        return pa.table({"bucket": pa.array([int(k[0]) for k in b], pa.int32()),
-                         "chunk": pa.array([group.column("_chunk")[0].as_py()] * len(b), pa.int64()),
-                         "segment": pa.array([-1] * len(b), pa.int32()), "data": pa.array([c.tobytes() for c in x], pa.binary())})
+        codes = chunk_codes(word_hashes(words), numbers)
+        sent = [(b, planes(codes[at])) for b, at in by_bucket(codes, buckets)]
+        return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()),
+                         "chunk": pa.array([group.column("_chunk")[0].as_py()] * len(sent), pa.int64()),
+                         "data": pa.array([x for _, x in sent], pa.binary())})
 
     def probe(group: pa.Table) -> pa.Table:
-        size = SEGMENT_BITS // 8
-        bits, bucket = np.zeros(SEGMENTS_PER_BUCKET * size, np.uint8), group.column("bucket")[0].as_py()
-        asked = []
-        for chunk, segment, data in zip(*(group.column(c).to_pylist() for c in ("chunk", "segment", "data")), strict=True):
-            if segment >= 0:
-                at = (segment - bucket * SEGMENTS_PER_BUCKET) * size
-                bits[at:at + size] = np.frombuffer(data, np.uint8)
+        bucket, held, asked = group.column("bucket")[0].as_py(), Filter(np.zeros(0, np.uint8), low), []
+        for chunk, data in zip(group.column("chunk").to_pylist(), group.column("data"), strict=True):
+            if chunk < 0:
+                held = Filter(np.frombuffer(data.as_py(), np.uint8), low)
             else:
-                asked.append((chunk, np.frombuffer(data, np.uint64)))
-        held = Filter(bits, low)
-        answers = [held.levels(c, segment_of(c, segments) - bucket * SEGMENTS_PER_BUCKET).astype(np.int8).tobytes() for _, c in asked]
+                asked.append((chunk, data))
+        answers = [held.levels(from_planes(x.as_py())).astype(np.int8).tobytes() for _, x in asked]
         return pa.table({"chunk": pa.array([k for k, _ in asked], pa.int64()), "bucket": pa.array([bucket] * len(asked), pa.int32()),
                          "levels": pa.array(answers, pa.binary())})
 
-    # a chunk's rows meet in one task; its codes are sent to the buckets of segments
-    codes = chunks.select("_chunk", "_text").groupBy("_chunk").applyInArrow(send, "bucket int, chunk long, segment int, data binary")
-    table = parts.select(F.floor(F.col("segment") / SEGMENTS_PER_BUCKET).cast("int").alias("bucket"), F.lit(-1).cast("long").alias("chunk"),
-                         "segment", F.col("bits").alias("data"))
+    # the texts are dealt to their chunks once: ``score_texts`` groups the same columns, so Spark reuses the exchange
+    codes = chunks.groupBy("_chunk").applyInArrow(send, "bucket int, chunk long, data binary")
+    table = parts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
     return codes.union(table).groupBy("bucket").applyInArrow(probe, "chunk long, bucket int, levels binary")
 
 
@@ -304,12 +291,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     low = MIN_LEVEL if min_count > 1 else 0
     counts = staged(_word_counts(learned), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    codes = staged(_code_counts(learned, max(1, -(-2 * total // CODES_PER_BUCKET)), min_count), "lm-codes")
-    segments = segments_for(level_rows(codes), low)
-    whole = segments * SEGMENT_BITS // 8 <= max_filter_bytes                        # beyond: texts' codes go to the segments
-    bloom = build_filter(codes, low) if whole else Filter(np.zeros(0, np.uint8), low)
+    buckets = max(1, -(-2 * total // CODES_PER_BUCKET))
+    parts = staged(filter_parts(_code_counts(learned, buckets), low), "lm-filter")
+    size = parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    whole = size <= max_filter_bytes                                                # beyond: texts' codes go to the buckets
+    bloom = assembled(parts, buckets, low) if whole else Filter(np.zeros(0, np.uint8), low)
     head = frequent_words(counts, head_words)
-    shared = spark.sparkContext.broadcast((head, bloom.bits))                       # head_words and max_filter_bytes
+    shared = spark.sparkContext.broadcast((head, bloom))                       # head_words and max_filter_bytes
     norm = float(total + distinct + 1)
 
     def score(columns: list, texts: pa.Array | pa.ChunkedArray, levels: Callable) -> pa.RecordBatch:
@@ -330,8 +318,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         # words beyond the head, once a text with their number there
         rare = np.flatnonzero(~known)
         text_of = np.searchsorted(ends, rare, side="right")
-        held, n = np.unique(text_of * len(words) + numbers[rare], return_counts=True)
-        offsets = np.searchsorted(held, np.arange(len(ends) + 1) * len(words)).astype(np.int32)
+        held, at, n = np.unique(text_of * len(words) + numbers[rare], return_index=True, return_counts=True)
+        order = np.argsort(at)                          # in the text's order, whatever texts lie in the chunk
+        held, n = held[order], n[order]
+        offsets = np.searchsorted(held // len(words), np.arange(len(ends) + 1)).astype(np.int32)
         tokens = pa.array(words, pa.binary()).take(pa.array(held % max(1, len(words))))
         tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([tokens, pa.array(n, pa.int64())], ["token", "n"]))
         add = lambda x: np.add.reduceat(x, starts)
@@ -342,7 +332,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
             [*keep, "_row", "n_tokens", "n_known", "base_score", "score", "_tail"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Filter(shared.value[1], low)
+        bloom = shared.value[1]
 
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pairs, at = np.unique(previous(numbers) * len(h) + numbers, return_inverse=True)     # each bigram is probed once
@@ -356,11 +346,9 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         group = group.combine_chunks()
 
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            codes, _ = chunk_codes(h, numbers, segments)
+            codes = chunk_codes(h, numbers)                             # sorted, as the buckets are
             found = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)])
-            order = np.argsort(codes)
-            codes, level = codes[order], level[order].astype(np.int64)
+            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)]).astype(np.int64)
             look = lambda x: level[np.searchsorted(codes, x)]
             return look(unigram_codes(h)), look(bigram_codes(h[previous(numbers)], h[numbers]))
 
@@ -374,8 +362,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     if whole:
         scored = map_arrow(rows, run, ddl)
     else:
-        chunks = chunked(rows)
-        answers = probed(chunks, filter_segments(codes, segments, low), segments, low)
+        chunks = chunked(rows, keep)
+        answers = probed(chunks, parts, buckets, low)
         scored = chunks.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, ddl)
     scored = staged(scored, "lm-scored")
     rare = scored.select("_row", F.inline("_tail")).join(counts, "token", "left")
