@@ -6,7 +6,8 @@ holds one key for each level from the lowest up to its own, and the level is rea
 by probing the lowest, the next, ... until a probe misses.  The filter is built in buckets of the code
 space, where the counts meet, each of as many segments as its keys need.  Up to ``MAX_FILTER_BYTES`` they are
 assembled on the driver and broadcast; a larger filter stays a table, and the
-distinct codes of the texts are sent to their buckets and probed there.  Both
+distinct codes of the texts are sent to their buckets and probed there, but for the
+``HEAD_CODES`` most frequent, whose levels are broadcast.  Both
 forms have the same segments and cut-off, so the same scores.
 Probabilities are Dirichlet-smoothed,
 
@@ -31,12 +32,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import END, map_arrow, mix64, numbered, signed, staged, text_chunks
 
 HEAD_WORDS = 300_000
+HEAD_CODES = 4_000_000              # n-grams whose levels are broadcast beside a filter that is not
 MIN_COUNT = 2                       # n-grams seen less often are not held; 1 holds all
 MIN_LEVEL = 2                       # floor(2 log2 c) of MIN_COUNT
 NOT_HELD = -1
@@ -180,8 +183,11 @@ def expected_counts(none: float, low: int = MIN_LEVEL) -> np.ndarray:
     return np.append(np.where(np.arange(MAX_LEVEL) >= low, middle, none), none)
 
 
-def filter_parts(counts: DataFrame, low: int = MIN_LEVEL) -> DataFrame:
-    """(bucket, bits) of the filter of (bucket, codes, counts) rows, as many segments as the bucket's keys need; none without a key."""
+def filter_parts(counts: DataFrame, low: int = MIN_LEVEL, frequent: int = 0) -> DataFrame:
+    """(bucket, bits, codes, levels) of the filter of (bucket, codes, counts) rows, as many segments as the bucket's keys need.
+
+    ``codes`` are the bucket's ``frequent`` most frequent and ``levels`` what the filter says of them.  No row without a key.
+    """
     def fill(group: pa.Table) -> pa.Table:
         codes = np.concatenate([from_planes(x.as_py()) for x in group.column("codes")])
         counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
@@ -193,7 +199,7 @@ def filter_parts(counts: DataFrame, low: int = MIN_LEVEL) -> DataFrame:
         levels = np.minimum(np.floor(2 * np.log2(counts) + 1e-9), MAX_LEVEL - 1).astype(np.int64)
         segments = -(-int(np.maximum(levels - low + 1, 0).sum()) * BITS_PER_KEY // SEGMENT_BITS)
         if not segments:
-            return pa.table({"bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), *((n, pa.binary()) for n in ("bits", "codes", "levels")))})
         bits = np.zeros(segments * SEGMENT_BITS, np.uint8)
         base = segment_of(codes, np.array(segments)) * SEGMENT_BITS
         for lv in range(low, int(levels.max()) + 1):
@@ -201,18 +207,37 @@ def filter_parts(counts: DataFrame, low: int = MIN_LEVEL) -> DataFrame:
             a, b = _seeds(codes[held], lv)
             for i in range(HASHES):
                 bits[base[held] + _position(a, b, i)] = 1
-        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        packed = np.packbits(bits, bitorder="little")
+        often = codes[np.sort(np.argsort(-counts, kind="stable")[:frequent])]
+        found = Filter(packed, low).levels(often).astype(np.int8)
+        return pa.table({"bucket": group.column("bucket")[:1], **{n: pa.array([x], pa.binary()) for n, x in (
+            ("bits", packed.tobytes()), ("codes", planes(often)), ("levels", found.tobytes()))}})
 
-    return counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
+    return counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary, codes binary, levels binary")
 
 
 def assembled(parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> Filter:
     """The filter of all its parts, on the driver."""
-    held = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in parts.toLocalIterator()}       # max_filter_bytes in all
+    held = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in parts.select("bucket", "bits").toLocalIterator()}       # max_filter_bytes in all
     sizes = np.array([len(held.get(b, b"")) * 8 // SEGMENT_BITS for b in range(buckets)])
     return Filter(np.concatenate([np.zeros(0, np.uint8), *(held[b] for b in sorted(held))]), low, sizes)
 
 
+def frequent_levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, levels) of the buckets' frequent codes, sorted."""
+    held = sorted((r["bucket"], from_planes(r["codes"]), np.frombuffer(r["levels"], np.int8))
+                  for r in parts.select("bucket", "codes", "levels").toLocalIterator())                # HEAD_CODES in all
+    return (np.concatenate([np.zeros(0, np.uint64), *(c for _, c, _ in held)]), np.concatenate([np.zeros(0, np.int8), *(x for _, _, x in held)]))
+
+
+def among(codes: np.ndarray, sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each code is among the sorted ones, its place there)."""
+    if not len(sorted_codes):
+        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return sorted_codes[at] == codes, at
+
+
 def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
     """The filter of (code, n) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,11 +261,15 @@ def chunk_codes(h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([unigram_codes(h), bigram_codes(h[previous(numbers)], h[numbers])]))
 
 
-def probed(chunks: DataFrame, parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> DataFrame:
-    """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its bucket of the filter."""
+def probed(chunks: DataFrame, parts: DataFrame, buckets: int, shared: Broadcast, low: int = MIN_LEVEL) -> DataFrame:
+    """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its bucket of the filter.
+
+    The frequent codes, whose levels are in ``shared``, are not sent.
+    """
     def send(group: pa.Table) -> pa.Table:
         words, numbers, _ = numbered(group.column("_text"))
         codes = chunk_codes(word_hashes(words), numbers)
+        codes = codes[~among(codes, shared.value[2][0])[0]]
         sent = [(b, planes(codes[at])) for b, at in by_bucket(codes, buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()),
                          "chunk": pa.array([group.column("_chunk")[0].as_py()] * len(sent), pa.int64()),
@@ -279,11 +308,12 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: list[str] | None = None, head_words: int = HEAD_WORDS, prior: float = PRIOR,
-                max_filter_bytes: int = MAX_FILTER_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
+                max_filter_bytes: int = MAX_FILTER_BYTES, min_count: int = MIN_COUNT, head_codes: int = HEAD_CODES) -> DataFrame:
     """Columns ``keep`` plus n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
     ``train`` is any DataFrame with ``text_col``.  Words and bigrams seen less
-    often than ``min_count`` (1 or 2) count as not seen in ``score``.
+    often than ``min_count`` (1 or 2) count as not seen in ``score``.  Beyond
+    ``max_filter_bytes`` the levels of ``head_codes`` frequent ones are broadcast.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
@@ -292,12 +322,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     counts = staged(_word_counts(learned), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-2 * total // CODES_PER_BUCKET))
-    parts = staged(filter_parts(_code_counts(learned, buckets), low), "lm-filter")
+    parts = staged(filter_parts(_code_counts(learned, buckets), low, head_codes // buckets), "lm-filter")
     size = parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     whole = size <= max_filter_bytes                                                # beyond: texts' codes go to the buckets
+    often = None if whole else frequent_levels(parts)
     bloom = assembled(parts, buckets, low) if whole else Filter(np.zeros(0, np.uint8), low)
     head = frequent_words(counts, head_words)
-    shared = spark.sparkContext.broadcast((head, bloom))                       # head_words and max_filter_bytes
+    shared = spark.sparkContext.broadcast((head, bloom, often))                       # head_words and max_filter_bytes
     norm = float(total + distinct + 1)
 
     def score(columns: list, texts: pa.Array | pa.ChunkedArray, levels: Callable) -> pa.RecordBatch:
@@ -348,7 +379,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             codes = chunk_codes(h, numbers)                             # sorted, as the buckets are
             found = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)]).astype(np.int64)
+            known, at = among(codes, shared.value[2][0])
+            level = np.empty(len(codes), np.int64)
+            level[known] = shared.value[2][1][at[known]]
+            level[~known] = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(found[b], np.int8) for b in sorted(found))])
             look = lambda x: level[np.searchsorted(codes, x)]
             return look(unigram_codes(h)), look(bigram_codes(h[previous(numbers)], h[numbers]))
 
@@ -363,7 +397,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         scored = map_arrow(rows, run, ddl)
     else:
         chunks = chunked(rows, keep)
-        answers = probed(chunks, parts, buckets, low)
+        answers = probed(chunks, parts, buckets, shared, low)
         scored = chunks.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, ddl)
     scored = staged(scored, "lm-scored")
     rare = scored.select("_row", F.inline("_tail")).join(counts, "token", "left")

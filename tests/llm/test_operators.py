@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -295,6 +296,24 @@ def test_lm_scores_do_not_depend_on_the_filter_s_form(docs, none):
     assert lm.score_texts(none, docs, max_filter_bytes=0).count() == 0
 
 
+@pytest.mark.parametrize("head_codes", [0, 300])
+def test_lm_large_filter_scores_alike_in_many_buckets(docs, monkeypatch, head_codes):
+    """Counts of many buckets, texts in many chunks and a few frequent codes known everywhere: the same scores."""
+    monkeypatch.setattr(lm, "CODES_PER_BUCKET", 3_000)
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 20_000)
+    training = docs.filter("doc_id is null or doc_id % 2 = 1")
+    whole, large = (Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
+                            for r in lm.score_texts(docs, training, max_filter_bytes=size, min_count=1, head_codes=head_codes).collect())
+                    for size in (1 << 25, 0))
+    assert whole == large and whole.total() == len(ROWS)
+
+
+def test_sorted_codes_travel_as_planes():
+    codes = np.unique(np.random.default_rng(3).integers(0, 2**64, 5_000, dtype=np.uint64))
+    assert (lm.from_planes(lm.planes(codes)) == codes).all() and len(lm.from_planes(lm.planes(codes[:0]))) == 0
+    assert len(zlib.compress(lm.planes(codes), 1)) < 0.9 * codes.nbytes
+
+
 def test_log_frequency_filter(spark):
     rng = np.random.default_rng(2)
     codes, n = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)), rng.integers(2, 5000, 20_000)
