@@ -4,11 +4,12 @@ Counts cover every training text.  A word or bigram seen c >= ``min_count`` time
 (1: every one; 2: the usual cut-off of one) has level floor(2 log2 c); the filter
 holds one key for each level from the lowest up to its own, and the level is read back
 by probing the lowest, the next, ... until a probe misses.  The filter is built in buckets of the code
-space, where the counts meet, each of as many segments as its keys need.  Up to ``MAX_FILTER_BYTES`` they are
-assembled on the driver and broadcast; a larger filter stays a table, and the
-distinct codes of the texts are sent to their buckets and probed there, but for the
-``HEAD_CODES`` most frequent, whose levels are broadcast.  Both
-forms have the same segments and cut-off, so the same scores.
+space, where the counts meet, each of as many segments as its keys need.  If all n-grams of the training
+texts must fit ``MAX_FILTER_BYTES``, they are assembled on the driver and broadcast.  If not, the texts are dealt
+to chunks, and a chunk sends each of its distinct codes once, with its count in the chunk's training
+texts: the bucket adds up the counts, fills its part of the filter, probes it and answers the chunks.
+What is sent is in proportion to the texts, whatever their number.  Both forms have the same segments and
+cut-off, so the same scores.
 Probabilities are Dirichlet-smoothed,
 
     p(w | v) = (c(v w) + K p(w)) / (c(v) + K),  p(w) = (c(w) + 1) / (N + V + 1),
@@ -31,20 +32,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import END, map_arrow, mix64, numbered, signed, staged, text_chunks
 
 HEAD_WORDS = 300_000
-HEAD_CODES = 4_000_000              # n-grams whose levels are broadcast beside a filter that is not
 MIN_COUNT = 2                       # n-grams seen less often are not held; 1 holds all
 MIN_LEVEL = 2                       # floor(2 log2 c) of MIN_COUNT
-NOT_HELD = -1
+NOT_HELD, NO_CHUNK = -1, -1
 PRIOR = 100.0                       # K: counts the unigram prior is worth
 BITS_PER_KEY, HASHES = 10, 6
+KEYS_PER_COUNT = 1.5                # at most: an n-gram seen twice has three levels
 SEGMENT_BITS = 1 << 20              # a power of two
 MAX_FILTER_BYTES = 48 << 20
 CODES_PER_BUCKET = 1_200_000
@@ -52,6 +53,7 @@ FLUSH_CODES = 4_000_000
 MAX_LEVEL = 96
 COUNT_CHARS = 8_000_000             # texts whose words are counted together
 CHUNK_CHARS = 4_000_000             # texts whose distinct codes are probed together
+SENT = "bucket int, chunk long, codes binary, counts binary"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -105,16 +107,33 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """(bucket, codes, counts) of sorted codes."""
-    parts = [(b, planes(codes[at]), counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int, chunk: int = NO_CHUNK) -> pa.RecordBatch:
+    """(bucket, chunk, codes, counts) of sorted codes."""
+    parts = [(b, chunk, planes(codes[at]), counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
              for b, at in by_bucket(codes, buckets)]
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))],
-                                      ["bucket", "codes", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                      ["bucket", "chunk", "codes", "counts"])
+
+
+def _parts_of(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The codes and the counts of each (bucket, chunk, codes, counts) row."""
+    return ([from_planes(x.as_py()) for x in group.column("codes")],
+            [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in group.column("counts")])
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, the sums of their counts, the place among them of each code given)."""
+    given = np.concatenate(codes)
+    order = np.argsort(given, kind="stable")
+    given = given[order]
+    first = np.concatenate([[True], given[1:] != given[:-1]])
+    place = np.empty(len(given), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return given[first], np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(first)), place
 
 
 def _code_counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, codes, counts) of words and bigrams, to be added up by bucket.
+    """(bucket, chunk, codes, counts) of words and bigrams, to be added up by bucket; they belong to no chunk.
 
     Tasks send sorted arrays of codes to the buckets of the code space, not a
     row a code; one bucket holds about ``CODES_PER_BUCKET`` of them.
@@ -132,7 +151,7 @@ def _code_counts(texts: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield _counted(*np.unique(np.concatenate(held), return_counts=True), buckets)
 
-    return map_arrow(texts, run, "bucket int, codes binary, counts binary")
+    return map_arrow(texts, run, SENT)
 
 
 def segment_of(codes: np.ndarray, segments: np.ndarray) -> np.ndarray:
@@ -183,37 +202,30 @@ def expected_counts(none: float, low: int = MIN_LEVEL) -> np.ndarray:
     return np.append(np.where(np.arange(MAX_LEVEL) >= low, middle, none), none)
 
 
-def filter_parts(counts: DataFrame, low: int = MIN_LEVEL, frequent: int = 0) -> DataFrame:
-    """(bucket, bits, codes, levels) of the filter of (bucket, codes, counts) rows, as many segments as the bucket's keys need.
-
-    ``codes`` are the bucket's ``frequent`` most frequent and ``levels`` what the filter says of them.  No row without a key.
-    """
+def filled(codes: np.ndarray, counts: np.ndarray, low: int) -> np.ndarray:
+    """The bits of a bucket's codes, as many segments as their keys need; none without a key."""
+    codes, counts = codes[counts > 0], counts[counts > 0]
+    levels = np.minimum(np.floor(2 * np.log2(counts) + 1e-9), MAX_LEVEL - 1).astype(np.int64)
+    segments = -(-int(np.maximum(levels - low + 1, 0).sum()) * BITS_PER_KEY // SEGMENT_BITS)
+    if not segments:
+        return np.zeros(0, np.uint8)
+    bits = np.zeros(segments * SEGMENT_BITS, np.uint8)
+    base = segment_of(codes, np.array(segments)) * SEGMENT_BITS
+    for lv in range(low, int(levels.max()) + 1):
+        held = levels >= lv
+        a, b = _seeds(codes[held], lv)
+        for i in range(HASHES):
+            bits[base[held] + _position(a, b, i)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def filter_parts(counts: DataFrame, low: int = MIN_LEVEL) -> DataFrame:
+    """(bucket, bits) of the filter of ``SENT`` rows."""
     def fill(group: pa.Table) -> pa.Table:
-        codes = np.concatenate([from_planes(x.as_py()) for x in group.column("codes")])
-        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                                 for x in group.column("counts")]).astype(np.int64)
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        codes, counts = codes[starts], np.add.reduceat(counts, starts)
-        levels = np.minimum(np.floor(2 * np.log2(counts) + 1e-9), MAX_LEVEL - 1).astype(np.int64)
-        segments = -(-int(np.maximum(levels - low + 1, 0).sum()) * BITS_PER_KEY // SEGMENT_BITS)
-        if not segments:
-            return pa.table({n: pa.array([], t) for n, t in (("bucket", pa.int32()), *((n, pa.binary()) for n in ("bits", "codes", "levels")))})
-        bits = np.zeros(segments * SEGMENT_BITS, np.uint8)
-        base = segment_of(codes, np.array(segments)) * SEGMENT_BITS
-        for lv in range(low, int(levels.max()) + 1):
-            held = levels >= lv
-            a, b = _seeds(codes[held], lv)
-            for i in range(HASHES):
-                bits[base[held] + _position(a, b, i)] = 1
-        packed = np.packbits(bits, bitorder="little")
-        often = codes[np.sort(np.argsort(-counts, kind="stable")[:frequent])]
-        found = Filter(packed, low).levels(often).astype(np.int8)
-        return pa.table({"bucket": group.column("bucket")[:1], **{n: pa.array([x], pa.binary()) for n, x in (
-            ("bits", packed.tobytes()), ("codes", planes(often)), ("levels", found.tobytes()))}})
-
-    return counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary, codes binary, levels binary")
+        codes, counts, _ = _summed(*_parts_of(group))
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": pa.array([filled(codes, counts, low).tobytes()], pa.binary())})
+
+    return counts.groupBy("bucket").applyInArrow(fill, "bucket int, bits binary")
 
 
 def assembled(parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> Filter:
@@ -223,21 +235,6 @@ def assembled(parts: DataFrame, buckets: int, low: int = MIN_LEVEL) -> Filter:
     return Filter(np.concatenate([np.zeros(0, np.uint8), *(held[b] for b in sorted(held))]), low, sizes)
 
 
-def frequent_levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, levels) of the buckets' frequent codes, sorted."""
-    held = sorted((r["bucket"], from_planes(r["codes"]), np.frombuffer(r["levels"], np.int8))
-                  for r in parts.select("bucket", "codes", "levels").toLocalIterator())                # HEAD_CODES in all
-    return (np.concatenate([np.zeros(0, np.uint64), *(c for _, c, _ in held)]), np.concatenate([np.zeros(0, np.int8), *(x for _, _, x in held)]))
-
-
-def among(codes: np.ndarray, sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each code is among the sorted ones, its place there)."""
-    if not len(sorted_codes):
-        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return sorted_codes[at] == codes, at
-
-
 def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
     """The filter of (code, n) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +243,7 @@ def build_filter(counts: DataFrame, low: int = MIN_LEVEL) -> Filter:
             order = np.argsort(codes)
             yield _counted(codes[order], batch.column("n").to_numpy()[order], 1)
 
-    return assembled(filter_parts(map_arrow(counts.select("code", "n"), run, "bucket int, codes binary, counts binary"), low), 1, low)
+    return assembled(filter_parts(map_arrow(counts.select("code", "n"), run, SENT), low), 1, low)
 
 
 # -- a filter that is too large to broadcast ------------------------------------------
@@ -256,40 +253,39 @@ def chunked(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("_chunk", F.pmod(F.xxhash64(*keys, "_text", F.spark_partition_id()), F.lit(chars // CHUNK_CHARS + 1)))
 
 
-def chunk_codes(h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """The distinct codes of a chunk's words and bigrams."""
-    return np.unique(np.concatenate([unigram_codes(h), bigram_codes(h[previous(numbers)], h[numbers])]))
+def chunk_codes(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted codes of a chunk's words and distinct bigrams, the place there of each word, that of each token's bigram)."""
+    pairs, at = np.unique(previous(numbers) * len(h) + numbers, return_inverse=True)
+    codes = np.concatenate([unigram_codes(h), bigram_codes(h[pairs // len(h)], h[pairs % len(h)])])
+    order = np.argsort(codes)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.arange(len(codes))
+    return codes[order], place[:len(h)], place[len(h):][at]
 
 
-def probed(chunks: DataFrame, parts: DataFrame, buckets: int, shared: Broadcast, low: int = MIN_LEVEL) -> DataFrame:
-    """(chunk, bucket, levels): the level of each distinct code of the chunks, probed at its bucket of the filter.
+def answered(chunks: DataFrame, counts: DataFrame | None, buckets: int, low: int = MIN_LEVEL) -> DataFrame:
+    """(chunk, bucket, levels): the level of each code of the chunks, probed at its bucket of the filter.
 
-    The frequent codes, whose levels are in ``shared``, are not sent.
+    Learned from the chunks' ``_train`` rows and from ``counts``.
     """
     def send(group: pa.Table) -> pa.Table:
-        words, numbers, _ = numbered(group.column("_text"))
-        codes = chunk_codes(word_hashes(words), numbers)
-        codes = codes[~among(codes, shared.value[2][0])[0]]
-        sent = [(b, planes(codes[at])) for b, at in by_bucket(codes, buckets)]
-        return pa.table({"bucket": pa.array([b for b, _ in sent], pa.int32()),
-                         "chunk": pa.array([group.column("_chunk")[0].as_py()] * len(sent), pa.int64()),
-                         "data": pa.array([x for _, x in sent], pa.binary())})
-
-    def probe(group: pa.Table) -> pa.Table:
-        bucket, held, asked = group.column("bucket")[0].as_py(), Filter(np.zeros(0, np.uint8), low), []
-        for chunk, data in zip(group.column("chunk").to_pylist(), group.column("data"), strict=True):
-            if chunk < 0:
-                held = Filter(np.frombuffer(data.as_py(), np.uint8), low)
-            else:
-                asked.append((chunk, data))
-        answers = [held.levels(from_planes(x.as_py())).astype(np.int8).tobytes() for _, x in asked]
-        return pa.table({"chunk": pa.array([k for k, _ in asked], pa.int64()), "bucket": pa.array([bucket] * len(asked), pa.int32()),
-                         "levels": pa.array(answers, pa.binary())})
+        words, numbers, ends = numbered(group.column("_text"))
+        codes, of_words, of_pairs = chunk_codes(word_hashes(words), numbers)
+        learned = np.repeat(group.column("_train").to_numpy(), np.diff(ends, prepend=0))
+        n = np.bincount(of_words[numbers[learned]], minlength=len(codes)) + np.bincount(of_pairs[learned], minlength=len(codes))
+        return pa.Table.from_batches([_counted(codes, n, buckets, group.column("_chunk")[0].as_py())])
+
+    def answer(group: pa.Table) -> pa.Table:
+        codes, n = _parts_of(group)
+        distinct, total, place = _summed(codes, n)
+        levels = Filter(filled(distinct, total, low), low).levels(distinct).astype(np.int8)[place]
+        answers = [x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in codes])[:-1])]
+        asked = group.select(["chunk", "bucket"]).append_column("levels", pa.array(answers, pa.binary()))
+        return asked.filter(pc.not_equal(asked.column("chunk"), NO_CHUNK))
 
     # the texts are dealt to their chunks once: ``score_texts`` groups the same columns, so Spark reuses the exchange
-    codes = chunks.groupBy("_chunk").applyInArrow(send, "bucket int, chunk long, data binary")
-    table = parts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    return codes.union(table).groupBy("bucket").applyInArrow(probe, "chunk long, bucket int, levels binary")
+    sent = chunks.groupBy("_chunk").applyInArrow(send, SENT)
+    return (sent if counts is None else sent.union(counts)).groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, levels binary")
 
 
 def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -306,29 +302,30 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(table.column("token").to_pylist(), table.column("c").to_pylist(), strict=True))
 
 
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_id", text_col: str = "text",
                 keep: list[str] | None = None, head_words: int = HEAD_WORDS, prior: float = PRIOR,
-                max_filter_bytes: int = MAX_FILTER_BYTES, min_count: int = MIN_COUNT, head_codes: int = HEAD_CODES) -> DataFrame:
+                max_filter_bytes: int = MAX_FILTER_BYTES, min_count: int = MIN_COUNT, head_codes: int = 0) -> DataFrame:
     """Columns ``keep`` plus n_tokens, n_known, train_tokens, base_score and score per row of ``docs``.
 
-    ``train`` is any DataFrame with ``text_col``.  Words and bigrams seen less
-    often than ``min_count`` (1 or 2) count as not seen in ``score``.  Beyond
-    ``max_filter_bytes`` the levels of ``head_codes`` frequent ones are broadcast.
+    ``train`` is any DataFrame with ``text_col``, or a condition on the rows of
+    ``docs`` (null: not learned from), which saves sending their codes twice.
+    Words and bigrams seen less often than ``min_count`` (1 or 2) count as not
+    seen in ``score``.  A filter that might exceed ``max_filter_bytes`` is not
+    broadcast.  ``head_codes`` has no effect any more: no code is sent for its level alone.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
-    learned = train.select(F.col(text_col).alias("text"))
+    own = isinstance(train, Column)
+    learned = (docs.filter(train) if own else train).select(F.col(text_col).alias("text"))
     low = MIN_LEVEL if min_count > 1 else 0
     counts = staged(_word_counts(learned), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-2 * total // CODES_PER_BUCKET))
-    parts = staged(filter_parts(_code_counts(learned, buckets), low, head_codes // buckets), "lm-filter")
-    size = parts.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    whole = size <= max_filter_bytes                                                # beyond: texts' codes go to the buckets
-    often = None if whole else frequent_levels(parts)
-    bloom = assembled(parts, buckets, low) if whole else Filter(np.zeros(0, np.uint8), low)
+    # at most so many bytes of keys, and a started segment a bucket
+    whole = (2 * total * KEYS_PER_COUNT * BITS_PER_KEY + buckets * SEGMENT_BITS) / 8 <= max_filter_bytes
+    bloom = assembled(staged(filter_parts(_code_counts(learned, buckets), low), "lm-filter"), buckets, low) if whole else None
     head = frequent_words(counts, head_words)
-    shared = spark.sparkContext.broadcast((head, bloom, often))                       # head_words and max_filter_bytes
+    shared = spark.sparkContext.broadcast((head, bloom))                       # head_words and max_filter_bytes
     norm = float(total + distinct + 1)
 
     def score(columns: list, texts: pa.Array | pa.ChunkedArray, levels: Callable) -> pa.RecordBatch:
@@ -377,14 +374,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         group = group.combine_chunks()
 
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            codes = chunk_codes(h, numbers)                             # sorted, as the buckets are
+            _, of_words, of_pairs = chunk_codes(h, numbers)             # sorted, as the buckets are
             found = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-            known, at = among(codes, shared.value[2][0])
-            level = np.empty(len(codes), np.int64)
-            level[known] = shared.value[2][1][at[known]]
-            level[~known] = np.concatenate([np.zeros(0, np.int8), *(np.frombuffer(found[b], np.int8) for b in sorted(found))])
-            look = lambda x: level[np.searchsorted(codes, x)]
-            return look(unigram_codes(h)), look(bigram_codes(h[previous(numbers)], h[numbers]))
+            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)])
+            return level[of_words], level[of_pairs]
 
         columns = [group.column(k).combine_chunks() for k in range(len(keep) + 1)]
         return pa.Table.from_batches([score(columns, group.column("_text"), levels)])
@@ -392,12 +385,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     schema = (docs.select(*keep).schema.add("_row", "long").add("n_tokens", "long").add("n_known", "long")
               .add("base_score", "double").add("score", "double"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _tail array<struct<token: binary, n: bigint>>"
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"),
+                       (F.coalesce(train, F.lit(False)) if own else F.lit(False)).alias("_train"))
     if whole:
         scored = map_arrow(rows, run, ddl)
     else:
         chunks = chunked(rows, keep)
-        answers = probed(chunks, parts, buckets, shared, low)
+        answers = answered(chunks, None if own else _code_counts(learned, buckets), buckets, low)
         scored = chunks.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, ddl)
     scored = staged(scored, "lm-scored")
     rare = scored.select("_row", F.inline("_tail")).join(counts, "token", "left")

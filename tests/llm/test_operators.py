@@ -308,6 +308,26 @@ def test_lm_large_filter_scores_alike_in_many_buckets(docs, monkeypatch, head_co
     assert whole == large and whole.total() == len(ROWS)
 
 
+@pytest.mark.parametrize("condition", ["doc_id is null or doc_id % 2 = 1", "doc_id % 2 = 1"])
+def test_lm_learns_from_a_condition_on_the_scored_rows(docs, monkeypatch, condition):
+    """A chunk sends its codes once, to be counted and answered: the same scores, null conditions left out, no table of the filter."""
+    monkeypatch.setattr(lm, "CODES_PER_BUCKET", 3_000)
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 20_000)
+    tables, real = [], lm.staged
+    monkeypatch.setattr(lm, "staged", lambda df, name: tables.append(name) or real(df, name))
+    apart, whole, large = (Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+                                   for r in lm.score_texts(docs, train, max_filter_bytes=size, min_count=1).collect())
+                           for train, size in ((docs.filter(condition), 1 << 25), (F.expr(condition), 1 << 25), (F.expr(condition), 0)))
+    assert apart == whole == large and whole.total() == len(ROWS)
+    assert tables == ["lm-words", "lm-filter", "lm-scored"] * 2 + ["lm-words", "lm-scored"]
+
+
+def test_lm_bound_on_the_filter_s_keys():
+    """No count has more levels than the bound that decides the filter's form allows."""
+    c = np.arange(1, 1 << 16)
+    assert (np.floor(2 * np.log2(c) + 1e-9) + 1 <= lm.KEYS_PER_COUNT * c).all()
+
+
 def test_sorted_codes_travel_as_planes():
     codes = np.unique(np.random.default_rng(3).integers(0, 2**64, 5_000, dtype=np.uint64))
     assert (lm.from_planes(lm.planes(codes)) == codes).all() and len(lm.from_planes(lm.planes(codes[:0]))) == 0
