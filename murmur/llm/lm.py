@@ -28,6 +28,7 @@ gives no rows.  Words are bytes, the end token is the empty byte string.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,8 +109,8 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int, chunk: int = NO_CHUNK) -> pa.RecordBatch:
-    """(bucket, chunk, codes, counts) of sorted codes."""
-    parts = [(b, chunk, planes(codes[at]), counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    """(bucket, chunk, codes, counts) of sorted codes; a few small counts in any order, which Spark's compression would leave long."""
+    parts = [(b, chunk, planes(codes[at]), zlib.compress(counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
              for b, at in by_bucket(codes, buckets)]
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in parts], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                                       ["bucket", "chunk", "codes", "counts"])
@@ -118,7 +119,7 @@ def _counted(codes: np.ndarray, counts: np.ndarray, buckets: int, chunk: int = N
 def _parts_of(group: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The codes and the counts of each (bucket, chunk, codes, counts) row."""
     return ([from_planes(x.as_py()) for x in group.column("codes")],
-            [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in group.column("counts")])
+            [np.ascontiguousarray(np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in group.column("counts")])
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,7 +280,7 @@ def answered(chunks: DataFrame, counts: DataFrame | None, buckets: int, low: int
         codes, n = _parts_of(group)
         distinct, total, place = _summed(codes, n)
         levels = Filter(filled(distinct, total, low), low).levels(distinct).astype(np.int8)[place]
-        answers = [x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in codes])[:-1])]
+        answers = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, np.cumsum([len(x) for x in codes])[:-1])]
         asked = group.select(["chunk", "bucket"]).append_column("levels", pa.array(answers, pa.binary()))
         return asked.filter(pc.not_equal(asked.column("chunk"), NO_CHUNK))
 
@@ -376,7 +377,7 @@ def score_texts(docs: DataFrame, train: DataFrame | Column, id_col: str = "doc_i
         def levels(h: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             _, of_words, of_pairs = chunk_codes(h, numbers)             # sorted, as the buckets are
             found = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
-            level = np.concatenate([np.frombuffer(found[b], np.int8) for b in sorted(found)])
+            level = np.concatenate([np.frombuffer(zlib.decompress(found[b]), np.int8) for b in sorted(found)])
             return level[of_words], level[of_pairs]
 
         columns = [group.column(k).combine_chunks() for k in range(len(keep) + 1)]
